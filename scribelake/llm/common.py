@@ -31,15 +31,19 @@ def holdout_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, max_rows: int) -> list:
-    """At most max_rows (text, label) rows outside the held-out remainder, chosen by a hash of the id, in a fixed order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, each: int) -> tuple[list, float]:
+    """(text, label) rows outside the held-out remainder, at most `each` of label 0 and of label 1, chosen by a hash of
+    the id and in a fixed order; and the share of label 1 among all labels outside that remainder.
 
     A model is fitted on these rows only. Nothing but the text leaves this function with the label.
     """
-    keep = labels.where((holdout_bucket(F.col("doc_id"), modulus) != held) & F.col(label).isNotNull())
-    keep = keep.select("doc_id", F.col(label).alias("label"), F.xxhash64("doc_id").alias("pick"))
-    chosen = keep.orderBy("pick", "doc_id", "label").limit(max_rows)
+    known = labels.where((holdout_bucket(F.col("doc_id"), modulus) != held) & F.col(label).isin(0, 1))
+    known = known.select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("pick"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    take = lambda y: known.where(F.col("label") == y).orderBy("pick", "doc_id").limit(each)
+    chosen = take(0).unionByName(take(1))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
     found = rows.select("pick", "doc_id", "label", "text").collect()
     found.sort(key=lambda r: (r["pick"], r["doc_id"], r["label"], r["text"]))
-    return [(r["text"], r["label"]) for r in found]
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
+    return [(r["text"], r["label"]) for r in found], share
