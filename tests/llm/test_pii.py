@@ -1,0 +1,79 @@
+"""Base spans against the regular expressions themselves, added spans by example."""
+
+import hashlib
+import random
+import re
+
+from scribelake.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(map(int, d[::-1]))) % 10 == 0
+
+
+def plain(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 13 <= len(digits) <= 19 and plain_luhn(digits or "0"), "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+FIXED = [
+    None, "", "a@b.c@d.e x@y@z.org .@a.b %@-.-", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.4 1..2.3.4 256.1.1.1.1", "4111 1111-1111 1111 4111  1111 4111111111111111",
+    "+1 (456) 555-2186 +1 +12 345 67 89 0. +4930123456789012 ++49301234567 +1-(2)", "é@ü.de é.a@b.de日本a@b.jp", "1" * 3000, "1-" * 900, "a" * 3000 + "@" + "b" * 3000, "@" * 500,
+    "+1 4111111111111111 10.0.0.1", "1.2.3.400 5.6.7.8", "İ a@b.c 4111111111111111",
+]
+
+
+def test_base_spans():
+    rng = random.Random(6)
+    alphabet = "0123456789" * 2 + "..  --++()@@ab%é\n"
+    texts = FIXED + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(90))) for _ in range(6000)]
+    for t in texts:
+        assert pii.joined(pii.find_spans(t), pii.BASE_KINDS) == plain(t), t
+
+
+def test_added_spans():
+    def one(kind, text):
+        return [text[a:b] for a, b in pii.find_spans(text)[kind]]
+
+    assert one("account", "IBAN: DE89 3704 0044 0532 0130 00 AND so") == ["DE89 3704 0044 0532 0130 00"]
+    assert one("account", "IBAN DE88 3704 0044 0532 0130 00") == []
+    assert one("account", "SSN 123-45-6789; discount 12; Account no. 12345678") == ["123-45-6789", "12345678"]
+    assert one("account", "password=a9ce33 passwords 1234567 password hunter") == ["a9ce33"]
+    assert one("address", "see ftp://anna:pw@files.example.com/x, http://example.com/ and http://10.1.2.3:80/a.") == [
+        "ftp://anna:pw@files.example.com/x", "http://10.1.2.3:80/a",
+    ]
+
+
+def test_redaction():
+    text = "Mail a.b@c.org or +1 (456) 555-2186, ftp://a:b@c.org/x at 10.0.0.1."
+    assert pii.redacted(text) == "Mail [EMAIL] or [PHONE], [ADDRESS] at [IP]."
+    assert pii.redacted(None) is None and pii.redacted("") == "" and pii.redacted("clean text 12") == "clean text 12"
+
+
+def test_query(spark, tmp_path):
+    folder = str(tmp_path / "sf")
+    rows = [(i, t, 3, "k") for i, t in enumerate(FIXED)] + [(None, "x a@b.c", 1, "k"), (1, "", 1, "k")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans int, n_email string").write.parquet(f"{folder}/documents.parquet")
+    got = pii.op1_anchor_expansion_pii(spark, folder).collect()
+    key = lambda r: (str(r[0]), r[1])
+    want = [(r[0], hashlib.sha256(plain(r[1]).encode()).hexdigest(), plain(r[1])) for r in rows]
+    assert sorted(((r["doc_id"], r["base_sha256"]) for r in got), key=key) == sorted((w[:2] for w in want), key=key)
+    for r in got:
+        base = ",".join(s for s in r["spans"].split(",") if s.partition(":")[0] in pii.BASE_KINDS)
+        assert hashlib.sha256(base.encode()).hexdigest() == r["base_sha256"]
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [base.count(k + ":") for k in pii.BASE_KINDS]
+    assert pii.redact(spark.createDataFrame(rows, "doc_id long, text string, spans int, n_email string")).count() == len(rows)
