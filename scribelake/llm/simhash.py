@@ -235,6 +235,24 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, largest: int = LARGES
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, radius: int = RADIUS, largest: int = LARGEST_SHARD) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id that is not null, and of rows alike in
+    id the one with the smallest hash of its text. Rows alike in both are one document."""
+    key = F.xxhash64("text")
+    rows = with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = materialize(rows.select("doc_id", key.alias("text_key"), "fp"), "simhash")
+    copies = rows.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")
+    first = materialize(copies.groupBy("fp").agg(F.min(place).alias("first")), "simhash-first")
+    roots = components(fingerprint_links(first.select("fp"), radius, largest))
+    members = first.join(roots, first["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = members.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key", "first.n")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n").alias("__n"))
+    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key"))).withColumn("__row", key)
+    single, repeated = found.where(F.col("__n") == 1), found.where(F.col("__n") > 1).dropDuplicates(["__id", "__key"])
+    return single.unionByName(repeated).select(*[docs[c] for c in docs.columns])
+
+
 def op5_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
