@@ -32,9 +32,16 @@ def substring_of(c: Column, pattern: str) -> Column:
     return F.regexp_substr(c, F.lit(pattern if pattern.startswith("(?i)") else "(?i)" + pattern))
 
 
+def let(c: Column, f) -> Column:
+    """f of c, with c evaluated once however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def first_pattern(c: Column, patterns, group: int = 0) -> Column:
     """The match of the first pattern, in their order, that matches anywhere; null if none does."""
-    return F.coalesce(*[F.when(c.rlike(p), F.regexp_extract(c, p, group)) for p in patterns])
+    if group == 0:
+        return F.coalesce(*[F.regexp_substr(c, F.lit(p)) for p in patterns])
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, group), F.lit("")) for p in patterns])
 
 
 def clean_empty_to_null(c: Column) -> Column:
@@ -160,8 +167,8 @@ def numbered_list(values: Column) -> Column:
 
 def prune_contained(values: Column) -> Column:
     """Distinct values without those that another one contains, case aside."""
-    own = F.array_distinct(values)
-    return F.filter(own, lambda x: ~F.exists(own, lambda y: (y != x) & F.contains(F.lower(y), F.lower(x))))
+    kept = lambda own: F.filter(own, lambda x: ~F.exists(own, lambda y: (y != x) & F.contains(F.lower(y), F.lower(x))))
+    return let(F.array_distinct(values), kept)
 
 
 def align_overlap(committed: Column, new: Column, most: int = 8) -> Column:

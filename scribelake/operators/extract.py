@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import rules as R
 from ..functions.normalize import normalize_text, word_numbers
-from ..functions.text import canonical_frequency, find_span, first_pattern, has, prune_contained, substring_of
+from ..functions.text import canonical_frequency, find_span, first_pattern, has, let, prune_contained, substring_of
 from ..storage import materialize
 from . import clauses as S
 from . import formulary as C
@@ -37,9 +37,11 @@ def extract_frequency(clause: Column, full: Column) -> Column:
     """struct(value, raw, start, confidence): in the first 120 characters, in the clause, or said of all or of 'it'."""
 
     def found(c: Column, confidence: float, at: bool) -> Column:
-        raw = first_pattern(c, R.FREQUENCIES)
-        start = F.when(F.lit(at), F.instr(clause, raw) - 1)
-        return F.when(raw.isNotNull(), F.struct(canonical_frequency(raw).alias("value"), raw.alias("raw"), start.alias("start"), F.lit(confidence).alias("confidence")))
+        def pack(raw: Column) -> Column:
+            start = F.when(F.lit(at), F.instr(clause, raw) - 1)
+            return F.when(raw.isNotNull(), F.struct(canonical_frequency(raw).alias("value"), raw.alias("raw"), start.alias("start"), F.lit(confidence).alias("confidence")))
+
+        return let(first_pattern(c, R.FREQUENCIES), pack)
 
     of = lambda pattern: F.nullif(F.trim(F.regexp_extract(full, pattern, 1)), F.lit(""))
     return F.coalesce(found(F.substring(clause, 1, 120), 0.95, True), found(clause, 0.90, True), found(of(R.PLURAL_FREQUENCY), 0.85, False), found(of(R.SINGULAR_FREQUENCY), 0.80, False))
@@ -47,12 +49,15 @@ def extract_frequency(clause: Column, full: Column) -> Column:
 
 def extract_duration(clause: Column, full: Column) -> Column:
     """struct(value, start, confidence)."""
-    own = F.trim(first_pattern(clause, R.DURATIONS, 1))
-    days = F.regexp_extract(own, r"(?i)^(\d+)\s+day$", 1)
-    value = F.when((days != "") & (days.cast("int") > 1), F.concat(days, F.lit(" days"))).otherwise(own)
-    shared = F.nullif(F.trim(F.regexp_extract(full, R.PLURAL_DURATION, 1)), F.lit(""))
     pack = lambda v, s, c: F.when(v.isNotNull(), F.struct(v.alias("value"), s.alias("start"), F.lit(c).alias("confidence")))
-    return F.coalesce(pack(value, F.instr(clause, own) - 1, 0.95), pack(shared, F.lit(None).cast("int"), 0.85))
+
+    def said(own: Column) -> Column:
+        days = F.regexp_extract(own, r"(?i)^(\d+)\s+day$", 1)
+        value = F.when((days != "") & (days.cast("int") > 1), F.concat(days, F.lit(" days"))).otherwise(own)
+        return pack(value, F.instr(clause, own) - 1, 0.95)
+
+    shared = F.nullif(F.trim(F.regexp_extract(full, R.PLURAL_DURATION, 1)), F.lit(""))
+    return F.coalesce(let(F.trim(first_pattern(clause, R.DURATIONS, 1)), said), pack(shared, F.lit(None).cast("int"), 0.85))
 
 
 def extract_route(clause: Column, formulary_routes: Column | None = None, policy: str = "stated") -> Column:
@@ -94,11 +99,12 @@ def extract_instructions(clause: Column, advice: Column, full: Column) -> Column
     none = F.array().cast("array<string>")
     advice = F.coalesce(advice, none)
     told = F.nullif(F.trim(F.regexp_extract(full, R.BROADCAST_INSTRUCTION, 0)), F.lit(""))
-    primary = F.concat(_primary(clause), F.flatten(F.transform(advice, _primary)), F.coalesce(_primary(told), none))
+    # Each text goes through one copy of the patterns.
+    primary = F.flatten(F.transform(F.array_compact(F.concat(F.array(clause), advice, F.array(told))), _primary))
     pattern = "|".join(R.ADDITIONAL)
     loose = F.filter(advice, lambda a: ~has(a, pattern) & (F.length(a) > 5))
-    own = F.array_distinct(F.concat(_additional(clause), F.flatten(F.transform(advice, _additional)), loose))
-    additional = F.when(F.size(own) > 0, own).otherwise(_additional(full))
+    own = F.array_distinct(F.concat(F.flatten(F.transform(F.concat(F.array(clause), advice), _additional)), loose))
+    additional = F.coalesce(F.nullif(own, none), F.flatten(F.transform(F.array(full), _additional)))
     join = lambda a: F.nullif(F.array_join(prune_contained(a), "; "), F.lit(""))
     return F.struct(join(primary).alias("primary"), join(additional).alias("additional"))
 
