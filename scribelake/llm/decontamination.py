@@ -3,7 +3,8 @@
 Text is lower-cased words (runs of letters, digits and underscores); a shingle is five words, or all words of an item
 that has fewer. A benchmark item has a weighted SimHash of its shingles (weight: occurrences / number of items with the
 shingle). For a document, the windows as long as an item that share a shingle with it, laid so that a shared shingle
-falls on itself, are fingerprinted alike. A multi-index finds the items of that length within RADIUS: the BITS bits are
+falls on itself, are fingerprinted alike. For an item longer than the document, the window is the whole document: it is
+compared with each such item that shares a shingle and enough weight, without fingerprints. A multi-index finds the items of that length within RADIUS: the BITS bits are
 cut into RADIUS + 1 blocks, of which a fingerprint within RADIUS must agree in one. Candidates are verified by exact
 weighted-shingle similarity, sum of minima / sum of maxima, which must reach SIMILARITY.
 
@@ -93,6 +94,7 @@ class Benchmark:
             values = [f for f, n in zip(self.shingles, self.sizes) if min(SHINGLE, n) == size]
             self.by_size[size] = np.unique(np.concatenate(values))
         self.counts = [self._bag(f) for f in self.shingles]
+        self.totals = [sum(self.weight[h] * n for h, n in bag.items()) for bag in self.counts]
         self.prints = [self._print(f) for f in self.shingles]
         cuts = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
         self.blocks = list(zip(cuts, cuts[1:]))
@@ -126,6 +128,7 @@ class Benchmark:
         """item number: (highest similarity, first word, words) of the windows that match it."""
         windows: set[tuple[int, int]] = set()
         own: dict[int, np.ndarray] = {}
+        longer: dict[int, float] = {}  # item longer than the text: no less than the weight that they share
         for size, known in self.by_size.items():
             own[size] = found = shingle_hashes(words, size)
             if not len(found):
@@ -135,9 +138,17 @@ class Benchmark:
             for p in hits.tolist():
                 for k, place in self.places[int(found[p])]:
                     n = self.sizes[k]
-                    if min(SHINGLE, n) == size and n <= len(words):
-                        windows.add((min(max(0, p - place), len(words) - n), n))
+                    if min(SHINGLE, n) == size:
+                        if n <= len(words):
+                            windows.add((min(max(0, p - place), len(words) - n), n))
+                        else:
+                            longer[k] = longer.get(k, 0.0) + self.weight[int(found[p])]
         best: dict[int, tuple[float, int, int]] = {}
+        for k, shared in longer.items():
+            if shared >= SIMILARITY * self.totals[k] - 1e-9:
+                likeness = self.similarity(k, own[min(SHINGLE, self.sizes[k])])
+                if likeness >= SIMILARITY:
+                    best[k] = (likeness, 0, len(words))
         for begin, n in sorted(windows):
             size = min(SHINGLE, n)
             window = own[size][begin : begin + n - size + 1]

@@ -88,3 +88,42 @@ def test_radius_covers_the_similarity():
             far = max(far, int((index._print(window) != index.prints[k]).sum()))
             assert index.similarity(k, window) >= 0.8
     assert far < dc.RADIUS - 8
+
+
+def plain_whole(docs, items):
+    """plain, and the whole document against each item that is longer."""
+    parsed = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in items]
+    df = {}
+    for _, w in parsed:
+        for s in bag(w, min(5, len(w))) if w else ():
+            df[s] = df.get(s, 0) + 1
+    out = plain(docs, items)
+    for doc, text in docs:
+        words = re.findall(r"\w+", (text or "").lower())
+        for item, w in parsed:
+            mine, b = bag(words, min(5, len(w))), bag(w, min(5, len(w)))
+            if len(words) < len(w) and mine.keys() & b.keys():
+                both = mine.keys() | b.keys()
+                low, high = (sum(f(mine.get(s, 0), b.get(s, 0)) / df.get(s, 1) for s in both) for f in (min, max))
+                if low / high >= 0.8:
+                    out[doc, item] = low / high
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    items = [(i, " ".join(say(n))) for i, n in enumerate([3, 5, 6, 9, 10, 16, 16, 30, 59, 59])] + [(10, "again " * 30)]
+    docs = []
+    for _, text in items:
+        words = text.split()
+        for cut in range(1, len(words)):
+            docs += [(len(docs), " ".join(words[:-cut])), (len(docs) + 1, " ".join(words[cut:]))]
+        docs.append((len(docs), " ".join(words[: len(words) // 2] + words[len(words) // 2 + 1 :])))
+        docs.append((len(docs), " ".join(["new", *words[1:-1]])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = dc.with_matches(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], m["item_id"]): m["similarity"] for r in found for m in r["matches"]}
+    want = plain_whole(docs, items)
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    assert len(want) > 40 and not plain(docs, items).keys() >= want.keys()
