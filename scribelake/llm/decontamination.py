@@ -1,15 +1,17 @@
 """Benchmark decontamination (operator 3): SimHash over item-sized windows.
 
 Text is lower-cased words (runs of letters, digits and underscores); a shingle is five words, or all words of an item
-that has fewer. A benchmark item has a weighted SimHash of its shingles (weight: occurrences / number of items with the
-shingle). For a document, the windows as long as an item that share a shingle with it, laid so that a shared shingle
+that has fewer. A benchmark item has a weighted SimHash of its shingles (weight: occurrences / number of distinct texts,
+in words, of the whole benchmark that have the shingle). For a document, the windows as long as an item that share a shingle with it, laid so that a shared shingle
 falls on itself, are fingerprinted alike. For an item longer than the document, the window is the whole document: it is
 compared with each such item that shares a shingle and enough weight, without fingerprints. A multi-index finds the items of that length within RADIUS: the BITS bits are
 cut into RADIUS + 1 blocks, of which a fingerprint within RADIUS must agree in one. Candidates are verified by exact
-weighted-shingle similarity, sum of minima / sum of maxima, which must reach SIMILARITY.
+weighted-shingle similarity, sum of minima / sum of maxima, which must reach SIMILARITY. There, a shingle that the item
+lacks weighs the mean of the item's shingles that the window lacks, which it replaces. So the similarity hangs on the
+item and the counts alone; other items of the block only show in the fingerprints of windows.
 
 A window that shares no shingle has similarity 0, so leaving it out loses nothing. The benchmark is shipped to the
-workers in blocks of ITEMS_AT_ONCE items at most, one pass over the documents for each block.
+workers in blocks of ITEMS_AT_ONCE items at most, with the counts of their shingles; one pass over the documents a block.
 
 Null and empty texts contain nothing; items without a word match nothing. Equal items match alike, repeated rows too.
 An empty table gives an empty result. Other columns of docs are kept by decontaminate.
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialize, read_table
 
 SHINGLE, SIMILARITY, BITS, RADIUS, ITEMS_AT_ONCE = 5, 0.8, 128, 44, 20_000
 MEMO_ENTRIES = 500_000
@@ -69,9 +71,12 @@ def _bit_signs(hashes: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """Index of a block of items: shingles, fingerprints and the multi-index of their blocks."""
+    """Index of a block of items: shingles, fingerprints and the multi-index of their blocks.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    within: the number of distinct texts with a shingle, where it is not 1; None counts those of items.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], within: dict[int, int] | None = None):
         memo = _Hashes()
         parsed = [(i, word_hashes(t or "", memo)) for i, t in items]
         self.ids, self.sizes, self.shingles = [], [], []
@@ -80,11 +85,12 @@ class Benchmark:
                 self.ids.append(item)
                 self.sizes.append(len(words))
                 self.shingles.append(shingle_hashes(words, min(SHINGLE, len(words))))
-        within: dict[int, int] = {}
-        for found in self.shingles:
-            for h in set(found.tolist()):
-                within[h] = within.get(h, 0) + 1
-        self.weight = {h: 1.0 / n for h, n in within.items()}
+        if within is None:
+            within = {}
+            for found in {words.tobytes(): shingle_hashes(words, min(SHINGLE, len(words))) for _, words in parsed}.values():
+                for h in set(found.tolist()):
+                    within[h] = within.get(h, 0) + 1
+        self.weight = {h: 1.0 / within.get(h, 1) for found in self.shingles for h in found.tolist()}
         self.places: dict[int, list[tuple[int, int]]] = {}  # shingle: (item, its first place there)
         for k, found in enumerate(self.shingles):
             for place, h in enumerate(found.tolist()):
@@ -111,18 +117,21 @@ class Benchmark:
         return bag
 
     def _print(self, shingles: np.ndarray) -> np.ndarray:
-        weights = np.array([self.weight.get(h, 1.0) for h in shingles.tolist()])
+        weights = np.array([self.weight.get(h, 0.0) for h in shingles.tolist()])  # shingles of no item are noise to all
         return weights @ _bit_signs(shingles) > 0
 
     def _keys(self, size: int, bits: np.ndarray) -> list[tuple[int, int, int]]:
         return [(size, k, int(np.packbits(bits[a:b])[0])) for k, (a, b) in enumerate(self.blocks)]
 
     def similarity(self, k: int, window: np.ndarray) -> float:
-        mine, low, high = self._bag(window), 0.0, 0.0
-        for h in mine.keys() | self.counts[k].keys():
-            a, b, w = mine.get(h, 0), self.counts[k].get(h, 0), self.weight.get(h, 1.0)
+        mine, low, high, gone, missing = self._bag(window), 0.0, 0.0, 0.0, 0
+        for h, b in self.counts[k].items():
+            a, w = mine.pop(h, 0), self.weight[h]
             low, high = low + w * min(a, b), high + w * max(a, b)
-        return low / high
+            if a < b:
+                gone, missing = gone + w * (b - a), missing + b - a
+        foreign = sum(mine.values())
+        return low / (high + (foreign * gone / missing if foreign else 0.0))
 
     def matches(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """item number: (highest similarity, first word, words) of the windows that match it."""
@@ -165,14 +174,37 @@ class Benchmark:
 MATCHES = "array<struct<item_id:long,similarity:double,start_word:long,n_words:long>>"
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows, ITEMS_AT_ONCE at most at a time."""
+def _word_string(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: " ".join(_WORD.findall(t.lower())))
+
+
+def _distinct_shingles(texts: pd.Series) -> pd.Series:
+    memo = _Hashes()
+
+    def of(text: str) -> np.ndarray:
+        words = word_hashes(text, memo)
+        return np.unique(shingle_hashes(words, min(SHINGLE, len(words)))).view(np.int64) if len(words) else np.zeros(0, np.int64)
+
+    return texts.map(of)
+
+
+def _shingles(texts: DataFrame) -> DataFrame:
+    """The distinct shingles of each distinct text, compared by its words."""
+    words = texts.select(F.pandas_udf(_word_string, "string")("text").alias("words")).distinct()
+    return words.select(F.explode(F.pandas_udf(_distinct_shingles, "array<long>")("words")).alias("shingle"))
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, int]]]:
+    """The benchmark's rows, ITEMS_AT_ONCE at most at a time, and the counts of their shingles in the whole benchmark, where not 1."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     n = rows.count()
     parts = -(-n // ITEMS_AT_ONCE)
+    counts = materialize(_shingles(rows).groupBy("shingle").count().where("count > 1"), "benchmark-shingles") if parts else None
     for k in range(parts):
         block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        yield sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in block.collect())
+        found = counts if parts == 1 else counts.join(_shingles(block).distinct(), "shingle", "left_semi")
+        within = {r["shingle"] % 2**64: r["count"] for r in found.collect()}
+        yield sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in block.collect()), within
 
 
 def _finder(shared):
@@ -182,7 +214,7 @@ def _finder(shared):
     @F.pandas_udf(MATCHES)
     def find(texts: pd.Series) -> pd.Series:
         if not workers:
-            workers.update(index=Benchmark(shared.value), memo=_Hashes())
+            workers.update(index=Benchmark(*shared.value), memo=_Hashes())
         index, memo, out = workers["index"], workers["memo"], []
         for text in texts:
             found = index.matches(word_hashes(text, memo)) if isinstance(text, str) and text else {}
@@ -196,9 +228,9 @@ def _finder(shared):
 def with_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with column matches: the benchmark items that the text contains, with their best windows."""
     context, columns = docs.sparkSession.sparkContext, []
-    for k, items in enumerate(_blocks(benchmark)):
+    for k, block in enumerate(_blocks(benchmark)):
         columns.append(f"__matches_{k}")
-        docs = docs.withColumn(columns[-1], _finder(context.broadcast(items))("text"))  # ITEMS_AT_ONCE at most
+        docs = docs.withColumn(columns[-1], _finder(context.broadcast(block))("text"))  # ITEMS_AT_ONCE at most
     found = F.concat(*columns) if columns else F.from_json(F.lit("[]"), MATCHES)
     return docs.withColumn("matches", found).drop(*columns)
 

@@ -127,3 +127,28 @@ def test_documents_shorter_than_the_item(spark):
     want = plain_whole(docs, items)
     assert got == {k: pytest.approx(v) for k, v in want.items()}
     assert len(want) > 40 and not plain(docs, items).keys() >= want.keys()
+
+
+def test_copies_and_blocks_leave_the_similarity(spark, monkeypatch):
+    rng = random.Random(8)
+    text = [f"w{i}" for i in range(59)]
+    near = " ".join([*text[:30], "changed", *text[31:]])
+    for copies in (1, 2, 5):
+        index = dc.Benchmark([(i, " ".join(text)) for i in range(copies)])
+        found = index.matches(dc.word_hashes(near, dc._Hashes()))
+        assert [round(s, 3) for s, _, _ in found.values()] == [0.833] * copies
+    start, end = [f"a{i}" for i in range(25)], [f"b{i}" for i in range(25)]
+    items = [(i, " ".join([*start, f"slot{i}", *end])) for i in range(12)] + [(50 + i, ("W0, " if i else "w0 ") + " ".join(text[1:])) for i in range(6)]
+    items += [(80 + i, " ".join(f"v{rng.randrange(90)}" for _ in range(20))) for i in range(6)]
+    docs = [(0, near), (1, " ".join(["x", *start[1:], "slot3", *end])), (2, " ".join([*start, "slot99", *end])), (3, items[-1][1] + " more")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = []
+    for at_once in (20_000, 7, 3):
+        monkeypatch.setattr(dc, "ITEMS_AT_ONCE", at_once)
+        rows = dc.with_matches(frame, benchmark).collect()
+        got.append({(r["doc_id"], m["item_id"]): round(m["similarity"], 9) for r in rows for m in r["matches"]})
+    assert got[0] == got[1] == got[2]
+    assert {i for d, i in got[0] if d == 0} == set(range(50, 56)) and {i for d, i in got[0] if d == 1} == {3} and (3, 85) in got[0]
+    # in item 3, the shingles without the slot are in 12 texts: 37 and 5 of weight 1/12 and 1; the first of them is replaced
+    assert got[0][1, 3] == pytest.approx((41 / 12 + 5) / (42 / 12 + 5 + 1 / 12))
