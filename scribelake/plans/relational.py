@@ -516,6 +516,53 @@ def j22_pair_by_ordinal(spark, sf):
     return _scored(spark, sf).select("rx_id", "pos", c("e.medicine").alias("expected"), c("a.strength").alias("actual"))
 
 
+# --- whole orders: the queries above over all items of an order (their SQL keeps the first item alone) -----------------------
+def _all_items(spark, sf) -> DataFrame:
+    """Every dictated item of each order, numbered in order: the columns of _single."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("rx_id").orderBy("line", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "text"))
+    return S.dictation(spark, sf).withColumn("item_no", place).selectExpr(
+        "rx_id", "item_no", "concat(p_name, ' ', truth_strength) as medicine", "truth_strength as strength", "truth_frequency as frequency", "truth_duration as duration", "cast(null as string) as route",
+        "truth_instruction as instruction", "cast(null as string) as additional_instruction", "text as raw_text", "text as norm_text", "p_name", "line", "0.95D as confidence",
+    )
+
+
+@query()
+def x14_reconcile_all_items(spark, sf):
+    """a lacks every sixth item; b has the items in reverse, lacks some and changes some strengths. SQL cannot express the greedy match."""
+    rows = _all_items(spark, sf)
+    b = rows.where("(rx_id + item_no) % 5 != 0").withColumn("strength", F.when((c("rx_id") + c("item_no")) % 7 == 0, F.lit("777 mg")).otherwise(c("strength")))
+    b = b.withColumn("medicine", c("p_name")).withColumn("item_no", -c("item_no"))
+    out = reconcile.reconcile(rows.where("item_no % 6 != 0"), b, S.transcripts(spark, sf).withColumnRenamed("text", "raw_text"))
+    return out.select("rx_id", "item_no", "medicine", "strength", "status", F.size("conflicts").alias("conflicts"))
+
+
+def _all_validated(spark, sf) -> DataFrame:
+    turn, none = c("rx_id") + c("item_no"), F.array().cast("array<string>")
+    rows = _all_items(spark, sf).withColumn("strength", F.when(turn % 5 == 0, F.lit("999 mg")).otherwise(c("strength"))).withColumn("frequency", F.when(turn % 3 == 0, F.lit("once or twice daily")).otherwise(c("frequency")))
+    rows = rows.withColumn("did_you_mean", F.lit(None).cast("string")).withColumn("status", F.lit("EXTRACTED")).withColumn("conflicts", none).withColumn("review_reasons", none)
+    return validate.validate_items(validate.recognized(rows, S.catalogue(spark, sf)))
+
+
+@query()
+def a16_assemble_all_items(spark, sf):
+    out = assemble.assemble(_all_validated(spark, sf))
+    kept = F.array_join(F.transform("items", lambda i: i["item_no"].cast("string")), ",")
+    return out.select("rx_id", kept.alias("items"), c("metadata.rejected").alias("rejected"), "overall_status", "total_medicines")
+
+
+@query()
+def a10_case_failures_all_items(spark, sf):
+    """Actual items: every fourth is missing, so that those behind it pair with another and the counts differ."""
+    e = _all_items(spark, sf)
+    a = e.where("(rx_id + item_no) % 4 != 0")
+    n = lambda df, name: df.groupBy("rx_id").agg(F.count("*").alias(name))
+    counts = n(e, "expected_count").join(n(a, "actual_count"), "rx_id", "left").fillna(0, ["actual_count"])
+    out = evaluate.case_failures(evaluate.pair_by_ordinal(e, a), counts)
+    return out.select("rx_id", F.array_join("failures", ";").alias("failures"), "passed")
+
+
 # --- threads and history ----------------------------------------------------------------------------------------------------
 def _threads(spark, sf) -> DataFrame:
     return S.table(spark, sf, "orders").selectExpr("o_orderkey as process_id", "o_orderpriority as name", "case when o_orderstatus = 'O' then 'active' else 'stopped' end as status", "o_orderdate as created_at", "cast(null as timestamp_ntz) as stopped_at")
