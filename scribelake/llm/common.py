@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FIT_CHARS = 30_000  # of a row that a model is fitted on; with the bound on rows, this bounds what the driver holds
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,7 +37,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """(text, label) rows outside the held-out remainder, at most `each` of label 0 and of label 1, chosen by a hash of
     the id and in a fixed order; and the share of label 1 among all labels outside that remainder.
 
-    A model is fitted on these rows only. Nothing but the text leaves this function with the label.
+    A model is fitted on these rows only, on FIT_CHARS characters at most of each. Nothing but the text leaves this
+    function with the label.
     """
     known = labels.where((holdout_bucket(F.col("doc_id"), modulus) != held) & F.col(label).isin(0, 1))
     known = known.select("doc_id", F.col(label).cast("int").alias("label"), F.xxhash64("doc_id").alias("pick"))
@@ -43,7 +46,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     take = lambda y: known.where(F.col("label") == y).orderBy("pick", "doc_id").limit(each)
     chosen = take(0).unionByName(take(1))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    found = rows.select("pick", "doc_id", "label", "text").collect()
+    found = rows.select("pick", "doc_id", "label", F.left("text", F.lit(FIT_CHARS)).alias("text")).collect()
     found.sort(key=lambda r: (r["pick"], r["doc_id"], r["label"], r["text"]))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return [(r["text"], r["label"]) for r in found], share

@@ -7,11 +7,13 @@ deterministic parser then expands each anchor to the left and right and validate
     digits   ip (parts to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits after a plus), each within the
              longest run of characters that any of them may have, as those runs hold all their matches
     scheme   address: a web address that names a user or whose host is an IP address
-    cue      account: the identifier behind a word such as "IBAN" (check digits must agree), "SSN" or "password"
+    cue      account: the identifier behind a word such as "IBAN" (check digits must agree), "SSN", "password" or "token"
+    shape    key: an access key, known by how its issuer lets it begin, and whole private-key blocks
 
 Base kinds are leftmost and do not overlap within their kind; spans of different kinds may overlap. Positions are code
-points, ends exclusive. Null and empty texts have no spans. Repeated rows have the same spans. An empty table gives an
-empty one. Other columns of docs are kept by redact and ignored by the query.
+points, ends exclusive. Null and empty texts have no spans. Texts are read whole, in time and memory that grow with
+their length. Repeated rows have the same spans. An empty table gives an empty one. Other columns of docs are kept by
+redact and with_spans (which replaces a column of the name of its result) and ignored by the query.
 """
 
 from __future__ import annotations
@@ -25,13 +27,23 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "address", "account")
+KINDS = (*BASE_KINDS, "address", "account", "key")
 # What identifier cues look like, in lower case.
 CUES = (
     "iban", "ssn", "social security", "passport", "account", "acct", "customer id", "patient id", "mrn", "tax id", "konto", "cuenta",
-    "compte", "password", "passwd", "api_key", "apikey", "secret",
+    "compte", "password", "passwd", "passphrase", "api_key", "api-key", "api key", "apikey", "secret", "token", "bearer", "access key",
+    "access_key", "accesskey", "private key", "private_key", "secret key", "secret_key",
 )
-_SECRETS = frozenset(("password", "passwd", "api_key", "apikey", "secret"))
+# How access keys of well-known issuers begin, in lower case, and what follows.
+SHAPES = {
+    "akia": r"AKIA[0-9A-Z]{16}", "asia": r"ASIA[0-9A-Z]{16}", "aiza": r"AIza[0-9A-Za-z_-]{35}", "ghp_": r"ghp_[0-9A-Za-z]{36}", "gho_": r"gho_[0-9A-Za-z]{36}",
+    "github_pat_": r"github_pat_[0-9A-Za-z_]{22,}", "glpat-": r"glpat-[0-9A-Za-z_-]{20,}", "sk-": r"sk-[0-9A-Za-z_-]{20,}", "sk_live_": r"sk_live_[0-9A-Za-z]{16,}",
+    "xoxb-": r"xoxb-[0-9A-Za-z-]{20,}", "xoxp-": r"xoxp-[0-9A-Za-z-]{20,}", "eyj": r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "-----begin ": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----",
+}
+_PASSWORDS = frozenset(("password", "passwd", "passphrase"))
+_SECRETS = frozenset(c for c in CUES if c in _PASSWORDS or "key" in c or c in ("secret", "token", "bearer"))
+_SHAPES = {k: re.compile(v) for k, v in SHAPES.items()}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -43,7 +55,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^]*")
 _HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.?(?::[0-9]{1,5})?\Z")
-_GAP = re.compile(r"(?:\s?(?:number|no|nr|num|id)\b\.?)?\s{0,2}[:=#]?\s{0,2}[\"']?", re.I)
+_GAP = re.compile(r"(?:\s?(?:number|no|nr|num|id)\b\.?)?[\"']?\s{0,2}(:=|=>|[:=#])?\s{0,2}[\"']?", re.I)
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _IDENTIFIER = re.compile(r"[A-Za-z]{0,3}[0-9](?:[ -]?[0-9]){4,18}(?![0-9A-Za-z])")
 _CREDENTIAL = re.compile(r"[^\s\"'<>,;]{6,}")
@@ -64,6 +76,8 @@ def _automaton():
     found.add_word("://", ("scheme", 3))
     for cue in CUES:
         found.add_word(cue, ("cue", len(cue)))
+    for shape in SHAPES:
+        found.add_word(shape, (shape, len(shape)))
     found.make_automaton()
     return found
 
@@ -103,8 +117,12 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
                 out["email"].append((begin, mail_end))
         elif kind == "scheme":
             _address(text, at, out)
-        else:
+        elif kind == "cue":
             _account(text, low, at, end + 1, out)
+        else:
+            m = not (at and text[at - 1].isalnum()) and _SHAPES[kind].match(text, at)
+            if m and not (out["key"] and out["key"][-1][1] > at) and not text[m.end() : m.end() + 1].isalnum():
+                out["key"].append(m.span())
     return out
 
 
@@ -139,7 +157,8 @@ def _address(text: str, at: int, out: dict) -> None:
 def _account(text: str, low: str, begin: int, end: int, out: dict) -> None:
     if begin and low[begin - 1].isalnum() or end < len(low) and low[end].isalpha():
         return
-    at, cue = _GAP.match(text, end).end(), low[begin:end]
+    gap, cue = _GAP.match(text, end), low[begin:end]
+    at = gap.end()
     if at == end:
         return
     if cue == "iban":
@@ -151,7 +170,8 @@ def _account(text: str, low: str, begin: int, end: int, out: dict) -> None:
         found = size >= 15 and (at, at + size)
     elif cue in _SECRETS:
         m = _CREDENTIAL.match(text, at)
-        found = m and any(map(str.isdigit, m[0])) and m.span()
+        # Without a sign of assignment, only passwords may be short: "token 42 of 500000" is prose.
+        found = m and any(map(str.isdigit, m[0])) and (gap[1] or cue in _PASSWORDS or len(m[0]) >= 16) and m.span()
     else:
         m = _IDENTIFIER.match(text, at)
         found = m and m.span()

@@ -2,15 +2,18 @@
 
 A word is the mean of the vectors of its hashed character n-grams (with word ends marked), an instance the mean of its
 words, and a softmax layer reads the instance; embeddings and layer are trained together by backpropagation. An unseen
-misspelling shares n-grams with the word that it bends. Fitting takes whole documents first, then, ROUNDS times, the window of
-each document that scored highest (those of clean documents are kept from round to round), so that a few words in a
-long text still count. A document's score is that of its
-highest window; a logistic scale, fitted on the same rows, maps it to 0..1.
-
-Fitted on at most MAX_ROWS_EACH rows of each label of the training remainders, and of the words that only one of these
-has on SINGLE_WORDS at most; every document is scored over its whole text.
-Null and empty texts score as a text of no words. Repeated rows score alike. Without labels of both kinds every score
-is the share of label 1 (0 without labels). An empty table gives an empty one. Other columns of docs are ignored.
+misspelling shares n-grams with the word that it bends. Few words of a long text are toxic, so an instance is a window
+of WINDOW words. Which window of a fitting row is its instance is not known: the rows are halved, each half has its own
+embeddings, and the other half's, which have not seen the row, choose its highest window. The first epochs take whole
+rows; then, ROUNDS times, windows are chosen anew (those of clean rows are kept from round to round). A text's score is
+that of its highest window under the mean of the two halves' logits, which a logistic scale maps to 0..1; that scale is
+fitted on the windows that the other half chose, with both labels weighing alike.
+
+Fitted on at most MAX_ROWS_EACH rows of each label of the training remainders, of which FIT_CHARS characters at most are
+read; every document is scored over its whole text, however long. Null and empty texts score as a text of no words.
+Repeated rows score alike; ties of windows go to the first. Without labels of both kinds every score is the share of
+label 1 (0 without labels). held_out is null for a null doc_id. An empty table gives an empty one. Other columns of
+docs are ignored by the query; with_toxicity keeps them and replaces a column of the name of its result.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import holdout_bucket, labelled_sample, read_table
 
-MAX_ROWS_EACH, SINGLE_WORDS, DIMENSION, BUCKETS, GRAMS = 1500, 40_000, 6, 1 << 15, (3, 4, 5)
-WINDOW, STEP, EPOCHS, ROUNDS, RATE = 32, 8, 30, 3, 0.15
+MAX_ROWS_EACH, DIMENSION, BUCKETS, GRAMS = 1500, 4, 1 << 16, (3, 4, 5, 6)
+WINDOW, FIRST_EPOCHS, EPOCHS, ROUNDS, RATE = 2, 12, 10, 5, 0.15
 MEMO_ENTRIES = 300_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»…“”’"
 
@@ -107,77 +110,93 @@ def _logistic(x, y, weight, steps: int = 200) -> tuple[float, float]:
     return a, b
 
 
+class _Half:
+    """Embeddings and softmax layer of one half of the fitting rows."""
+
+    def __init__(self, rng: np.random.Generator, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes, self.begin = ids, sizes, np.cumsum(sizes) - sizes
+        self.params = {
+            "table": rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32),
+            "layer": rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), "bias": np.zeros(2, np.float32),
+        }
+
+    def train(self, instances: list[np.ndarray], y: np.ndarray, epochs: int) -> None:
+        """instances: word numbers. Each label weighs alike."""
+        used, words = np.unique(np.concatenate(instances), return_inverse=True)
+        sizes = self.sizes[used]
+        at = np.repeat(self.begin[used] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        grams = _Bags(self.ids[at], sizes, BUCKETS)
+        bags = _Bags(words, np.array([len(x) for x in instances]), len(used))
+        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
+        adam = _Adam(RATE)
+        for _ in range(epochs):
+            adam.step(self.params, joint_gradients(self.params, grams, bags, y, weight)[1])
+
+    def flat(self) -> np.ndarray:
+        """What each n-gram adds to the difference of the two logits."""
+        return (self.params["table"] @ (self.params["layer"][:, 1] - self.params["layer"][:, 0])).astype(np.float32)
+
+    def word_scores(self) -> np.ndarray:
+        return np.add.reduceat(self.flat()[self.ids], self.begin) / self.sizes
+
+
+def joint_gradients(params: dict, grams: _Bags, bags: _Bags, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Weighted cross entropy of the instances and its gradients by embeddings, layer and bias."""
+    hidden = bags.mean(grams.mean(params["table"]))
+    logits = hidden @ params["layer"] + params["bias"]
+    logits -= logits.max(axis=1, keepdims=True)
+    p = np.exp(logits)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -float((weight * np.log(np.maximum(p[np.arange(len(y)), y], 1e-12))).sum())
+    d = (p - np.eye(2, dtype=np.float32)[y]) * weight[:, None]
+    table = grams.back(bags.back(d @ params["layer"].T)) + 1e-6 * params["table"]
+    return loss, {"table": table, "layer": hidden.T @ d, "bias": d.sum(axis=0)}
+
+
 def fit(rows: list[tuple[str, int]], share: float = 0.5, seed: int = 7) -> dict:
-    """The model as {"grams": one number a bucket, "bias", "slope", "offset"}; softmax over two classes is the sigmoid
-    of the difference of their logits, so each bucket needs its share of that difference alone. share: of label 1 among
-    all labels, which the scale is fitted to."""
-    rows = [(t, int(y)) for t, y in rows]
-    y = np.array([v for _, v in rows])
-    if len(set(y.tolist())) < 2:
+    """The model as {"grams": one number a bucket, "slope", "offset"}; softmax over two classes is the sigmoid of the
+    difference of their logits, so each bucket needs its share of that difference alone. share: of label 1 among all
+    labels, the score of every text where rows of one label are all there is."""
+    y = np.array([int(v) for _, v in rows])
+    if len(rows) < 4 or min((y == 0).sum(), (y == 1).sum()) < 2:
         logit = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        return {"grams": np.zeros(BUCKETS, np.float32), "bias": 0.0, "slope": 1.0, "offset": logit}
-    texts = [[word_of(p) for p in t.split()] or [""] for t, _ in rows]
-    seen_in: dict[str, int] = {}
-    for words in texts:
-        for w in set(words):
-            seen_in[w] = seen_in.get(w, 0) + 1
-    once = [w for w, n in seen_in.items() if n == 1]
+        return {"grams": np.zeros(BUCKETS, np.float32), "slope": 1.0, "offset": logit}
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ([word_of(p) for p in t.split()] or [""])]) for t, _ in rows]
     rng = np.random.default_rng(seed)
-    left_out = {once[i] for i in rng.permutation(len(once))[SINGLE_WORDS:]}
-    vocabulary = {w: i for i, w in enumerate(w for w in seen_in if w not in left_out)}
-    docs = [np.array([vocabulary[w] for w in words if w in vocabulary] or [vocabulary.setdefault("", len(vocabulary))]) for words in texts]
-    grams = _Bags(*gram_ids(list(vocabulary)), BUCKETS)
-    params = {
-        "table": rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32),
-        "layer": rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), "bias": np.zeros(2, np.float32),
-    }
-
-    def train(instances: list[np.ndarray], y: np.ndarray) -> None:
-        weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()).astype(np.float32)
-        target = np.eye(2, dtype=np.float32)[y]
-        adam = _Adam(RATE)
-        bags = _Bags(np.concatenate(instances), np.array([len(x) for x in instances]), len(vocabulary))
-        for _ in range(EPOCHS):
-            words = grams.mean(params["table"])
-            hidden = bags.mean(words)
-            logits = hidden @ params["layer"] + params["bias"]
-            logits -= logits.max(axis=1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(axis=1, keepdims=True)
-            d = (p - target) * weight[:, None]
-            hidden_d = d @ params["layer"].T
-            table_d = grams.back(bags.back(hidden_d)) + 1e-6 * params["table"]
-            adam.step(params, {"table": table_d, "layer": hidden.T @ d, "bias": d.sum(axis=0)})
-
-    def word_scores() -> np.ndarray:
-        return (grams.mean(params["table"]) @ (params["layer"][:, 1] - params["layer"][:, 0])).ravel()
-
-    train(docs, y)
-    clean: list[np.ndarray] = []
-    for _ in range(ROUNDS):
-        scores = word_scores()
-        tops = [d[slice(*best_window(scores[d])[1:])] for d in docs]
-        clean += [t for t, v in zip(tops, y) if not v]
-        toxic = [t for t, v in zip(tops, y) if v]
-        train(toxic + clean, np.array([1] * len(toxic) + [0] * len(clean)))
-    scores = word_scores()
-    tops = np.array([best_window(scores[d])[0] for d in docs])
-    spread = tops.std() or 1.0
-    slope, offset = _logistic(tops / spread, y, np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean()))
-    flat = (params["table"] @ (params["layer"][:, 1] - params["layer"][:, 0])).astype(np.float32)
-    return {"grams": flat, "bias": 0.0, "slope": slope / spread, "offset": offset}
-
-
-def best_window(scores: np.ndarray, window: int = WINDOW, step: int = STEP) -> tuple[float, int, int]:
-    """The highest mean over windows of `window` words that begin every `step` words, the last one at the end."""
+    half = np.zeros(len(rows), int)
+    for label in (0, 1):
+        mine = rng.permutation(np.flatnonzero(y == label))
+        half[mine[: len(mine) // 2]] = 1
+    grams = gram_ids(list(vocabulary))
+    halves = [_Half(rng, *grams) for _ in range(2)]
+    for k, model in enumerate(halves):
+        model.train([docs[i] for i in np.flatnonzero(half == k)], y[half == k], FIRST_EPOCHS)
+    clean: list[list[np.ndarray]] = [[], []]
+    for turn in range(ROUNDS + 1):
+        scores = [model.word_scores() for model in halves]
+        tops = [best_window(scores[1 - k][d]) for d, k in zip(docs, half)]
+        if turn == ROUNDS:
+            break
+        for k, model in enumerate(halves):
+            toxic = [docs[i][slice(*tops[i][1:])] for i in np.flatnonzero((half == k) & (y == 1))]
+            clean[k] += [docs[i][slice(*tops[i][1:])] for i in np.flatnonzero((half == k) & (y == 0))]
+            model.train(toxic + clean[k], np.array([1] * len(toxic) + [0] * len(clean[k])), EPOCHS)
+    highest = np.array([t[0] for t in tops])
+    spread = [highest[half == 1 - k].std() or 1.0 for k in (0, 1)]  # of what half k scored
+    slope, offset = _logistic(highest / np.where(half == 0, spread[1], spread[0]), y, np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()))
+    return {"grams": sum(model.flat() / s / 2 for model, s in zip(halves, spread)).astype(np.float32), "slope": slope, "offset": offset}
+
+
+def best_window(scores: np.ndarray, window: int = WINDOW) -> tuple[float, int, int]:
+    """(mean, begin, end) of the window of `window` words with the highest mean; a shorter text is one window."""
     n = len(scores)
     if n <= window:
-        return (float(scores.sum()) / max(n, window // 2) if n else 0.0), 0, n
+        return (float(scores.mean()) if n else 0.0), 0, n
     sums = np.concatenate(([0.0], np.cumsum(scores, dtype=np.float64)))
-    begins = np.append(np.arange(0, n - window, step), n - window)
-    means = (sums[begins + window] - sums[begins]) / window
+    means = (sums[window:] - sums[:-window]) / window
     k = int(means.argmax())
-    return float(means[k]), int(begins[k]), int(begins[k]) + window
+    return float(means[k]), k, k + window
 
 
 class Scorer:

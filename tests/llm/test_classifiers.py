@@ -84,7 +84,7 @@ def test_misspellings_share_grams():
 def test_grams_are_those_of_each_word():
     words = ["abc", "", "éa", "abcdefghij"]
     ids, sizes = toxicity.gram_ids(words)
-    assert len(ids) == sizes.sum() and sizes.tolist() == [1 + 3 + 2 + 1, 1, 1 + 3 + 2 + 1, 1 + 10 + 9 + 8]
+    assert len(ids) == sizes.sum() and sizes.tolist() == [1 + 3 + 2 + 1, 1, 1 + 3 + 2 + 1, 1 + 10 + 9 + 8 + 7]
     for k, w in enumerate(words):
         alone, _ = toxicity.gram_ids([w])
         assert ids[sizes[:k].sum() :][: sizes[k]].tolist() == alone.tolist()
@@ -92,9 +92,72 @@ def test_grams_are_those_of_each_word():
 
 def test_best_window_is_the_highest_mean():
     x = np.random.default_rng(0).normal(size=101)
-    best, begin, end = toxicity.best_window(x, 10, 4)
-    begins = [*range(0, 91, 4), 91]
-    assert best == pytest.approx(max(x[b : b + 10].mean() for b in begins)) and x[begin:end].mean() == pytest.approx(best)
+    best, begin, end = toxicity.best_window(x, 10)
+    assert best == pytest.approx(max(x[b : b + 10].mean() for b in range(92))) and x[begin:end].mean() == pytest.approx(best)
+    assert toxicity.best_window(x[:0]) == (0.0, 0, 0) and toxicity.best_window(x[:1], 10) == (pytest.approx(x[0]), 0, 1)
+
+
+def test_joint_gradients():
+    rng = np.random.default_rng(4)
+    ids, sizes = np.array([0, 2, 2, 1, 3]), np.array([2, 1, 2])  # three words of five grams
+    grams, bags = toxicity._Bags(ids, sizes, 5), toxicity._Bags(np.array([0, 1, 2, 2]), np.array([1, 3]), 3)
+    params = {"table": rng.normal(size=(5, 3)), "layer": rng.normal(size=(3, 2)), "bias": rng.normal(size=2)}
+    y, weight = np.array([1, 0]), np.array([0.7, 0.3])
+
+    def plain_loss():
+        words = [np.mean([params["table"][i] for i in part], axis=0) for part in ([0, 2], [2], [1, 3])]
+        hidden = [words[0], (words[1] + 2 * words[2]) / 3]
+        total = 0.0
+        for h, label, w in zip(hidden, y, weight):
+            logits = h @ params["layer"] + params["bias"]
+            total -= w * (logits[label] - np.log(np.exp(logits).sum()))
+        return total
+
+    loss, grads = toxicity.joint_gradients(params, grams, bags, y, weight)
+    assert loss == pytest.approx(plain_loss())
+    for name, value in params.items():
+        for at in np.ndindex(value.shape):
+            held, step = value[at], 1e-6
+            value[at] = held + step
+            up = plain_loss()
+            value[at] = held - step
+            down = plain_loss()
+            value[at] = held
+            assert grads[name][at] == pytest.approx((up - down) / 2 / step, abs=1e-5), (name, at)
+
+
+def test_scores_are_those_of_the_highest_window():
+    rows = [(prose() + (" idiot" if k % 2 else ""), k % 2) for k in range(120)]
+    model = toxicity.fit(rows, 0.5)
+
+    def plain(text):
+        values = []
+        for word in (text or "").split():
+            ids, _ = toxicity.gram_ids([toxicity.word_of(word)])
+            values.append(float(np.mean([model["grams"][i] for i in ids])))
+        n = toxicity.WINDOW
+        best = max((sum(values[i : i + n]) / len(values[i : i + n]) for i in range(max(1, len(values) - n + 1))), default=0.0) if values else 0.0
+        return 1 / (1 + np.exp(-(model["slope"] * best + model["offset"])))
+
+    texts = [None, "", "one", prose(), prose() + " Idiots!", prose(n=4000) + " idiot " + prose(n=4000)]
+    assert toxicity.Scorer(model).scores(texts) == pytest.approx([plain(t) for t in texts], abs=1e-5)
+    assert [s >= 0.5 for s in toxicity.Scorer(model).scores(texts)[3:]] == [False, True, True]
+
+
+def test_pairwise_fit_is_at_the_minimum():
+    """Newton's weights against the gradient of the pairwise loss, by plain loops."""
+    rng = random.Random(2)
+    rows = [(prose(n=rng.randrange(5, 60)) if k % 2 else bad_prose(), k % 2) for k in range(60)]
+    model = quality.fit(rows, 0.5)
+    x = np.array([quality.features(t) for t, _ in rows])
+    z = quality._expand(x, model)
+    pick = np.random.default_rng(3)
+    better, worse = pick.choice(np.flatnonzero([y == 1 for _, y in rows]), quality.PAIRS), pick.choice(np.flatnonzero([y == 0 for _, y in rows]), quality.PAIRS)
+    gradient = quality.RIDGE * model["weights"]
+    for a, b in zip(better, worse):
+        d = z[a] - z[b]
+        gradient = gradient - d / (1 + np.exp(d @ model["weights"])) / quality.PAIRS
+    assert np.abs(gradient).max() < 1e-6
 
 
 def test_one_kind_of_label():
