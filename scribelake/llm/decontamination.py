@@ -1,26 +1,36 @@
 """Benchmark decontamination (operator 3): SimHash over item-sized windows.
 
 Text is lower-cased words (runs of letters, digits and underscores); a shingle is five words, or all words of an item
-that has fewer. A benchmark item has a weighted SimHash of its shingles (weight: occurrences / number of distinct texts,
-in words, of the whole benchmark that have the shingle). For a document, the windows as long as an item that share a shingle with it, laid so that a shared shingle
-falls on itself, are fingerprinted alike. For an item longer than the document, the window is the whole document: it is
-compared with each such item that shares a shingle and enough weight, without fingerprints. A multi-index finds the items of that length within RADIUS: the BITS bits are
-cut into RADIUS + 1 blocks, of which a fingerprint within RADIUS must agree in one. Candidates are verified by exact
+that has fewer. A shingle weighs 1 / (number of distinct texts, in words, of the whole benchmark that have it), and an
+item's fingerprint is the weighted SimHash of its shingles, of BITS bits. Every window of a document that is as long as
+some item is fingerprinted alike (shingles of no item weigh nothing there); for items longer than the document, the
+window is the whole document. A multi-index finds the items of the window's length within RADIUS: the bits are cut into
+BITS / 16 blocks of 16 bits, and two fingerprints within RADIUS differ by 2 bits at most in some block, so each item is listed
+under all values that differ from one of its blocks by 2 bits at most. Candidates are verified by exact
 weighted-shingle similarity, sum of minima / sum of maxima, which must reach SIMILARITY. There, a shingle that the item
 lacks weighs the mean of the item's shingles that the window lacks, which it replaces. So the similarity hangs on the
-item and the counts alone; other items of the block only show in the fingerprints of windows.
+item and the counts alone.
 
-A window that shares no shingle has similarity 0, so leaving it out loses nothing. The benchmark is shipped to the
-workers in blocks of ITEMS_AT_ONCE items at most, with the counts of their shingles; one pass over the documents a block.
+Only windows of equal fingerprints and similarities are passed over: a window is known by the benchmark's shingles that
+lie in it, so those that hold the same ones are tried once, and those whose shingles weigh less than SIMILARITY of the
+lightest item of that length cannot match. A near copy at SIMILARITY differs in about 28 of 256 bits (standard deviation
+5), so RADIUS leaves out some 1 in 10,000 of those at the very edge; tests measure it.
+
+The benchmark is shipped to the workers in blocks of ITEMS_AT_ONCE items at most; a worker holds the index of one block,
+and each further block is one more pass over the documents.
 
 Null and empty texts contain nothing; items without a word match nothing. Equal items match alike, repeated rows too.
-An empty table gives an empty result. Other columns of docs are kept by decontaminate.
+Of windows that match an item equally well, the first is reported. Very long texts are read whole; what is held of one
+grows with its words. An empty table gives an empty result. Other columns of docs are kept by decontaminate and
+with_matches (which replaces a column of the name of its result).
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -29,8 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-SHINGLE, SIMILARITY, BITS, RADIUS, ITEMS_AT_ONCE = 5, 0.8, 128, 44, 20_000
-MEMO_ENTRIES = 500_000
+SHINGLE, SIMILARITY, BITS, RADIUS, ITEMS_AT_ONCE = 5, 0.8, 256, 47, 2000
+MEMO_ENTRIES, AT_ONCE = 500_000, 2048  # words kept by a worker; windows fingerprinted at a time
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,13 +75,45 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def _bit_signs(hashes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of BITS bits of each shingle."""
-    halves = np.stack((hashes, (hashes ^ (hashes >> np.uint64(33))) * _PRIME), axis=1)
-    bits = np.unpackbits(np.ascontiguousarray(halves).view(np.uint8).reshape(len(hashes), BITS // 8), axis=1)
+    quarters = [hashes]
+    for _ in range(BITS // 64 - 1):
+        quarters.append((quarters[-1] ^ (quarters[-1] >> np.uint64(33))) * _PRIME)
+    bits = np.unpackbits(np.ascontiguousarray(np.stack(quarters, axis=1)).view(np.uint8).reshape(len(hashes), BITS // 8), axis=1)
     return bits.astype(np.float64) * 2 - 1
 
 
+def _near_values() -> np.ndarray:
+    """The differences of a 16-bit block by BLOCK_RADIUS bits at most."""
+    bits = [1 << k for k in range(16)]
+    return np.array(sorted({0, *bits, *(a | b for a, b in combinations(bits, 2))}), np.uint32)
+
+
+class MultiIndex:
+    """Fingerprints of items of one length, under every value near one of their blocks."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray):
+        """prints: one row of BITS // 16 blocks an item."""
+        flips = _near_values()
+        keys = (prints[:, :, None] ^ flips) | (np.arange(prints.shape[1], dtype=np.uint32)[:, None] << np.uint32(16))
+        keys, owner = keys.reshape(-1), np.repeat(np.arange(len(items), dtype=np.int32), keys[0].size)
+        order = np.argsort(keys, kind="stable")
+        self.items, self.prints, self.keys, self.owner = items, prints, keys[order], owner[order]
+
+    def within(self, windows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the fingerprints within the radius, each once."""
+        keys = windows | (np.arange(windows.shape[1], dtype=np.uint32) << np.uint32(16))
+        low, high = np.searchsorted(self.keys, keys, "left").ravel(), np.searchsorted(self.keys, keys, "right").ravel()
+        count = high - low
+        window = np.repeat(np.arange(len(windows)).repeat(windows.shape[1]), count)
+        at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        pairs = np.unique(window * len(self.items) + self.owner[at])
+        window, owner = pairs // len(self.items), pairs % len(self.items)
+        near = np.bitwise_count(windows[window] ^ self.prints[owner]).sum(axis=1, dtype=np.int64) <= radius
+        return window[near], self.items[owner[near]]
+
+
 class Benchmark:
-    """Index of a block of items: shingles, fingerprints and the multi-index of their blocks.
+    """Index of a block of items: shingles, fingerprints and a multi-index for each length.
 
     within: the number of distinct texts with a shingle, where it is not 1; None counts those of items.
     """
@@ -91,23 +133,18 @@ class Benchmark:
                 for h in set(found.tolist()):
                     within[h] = within.get(h, 0) + 1
         self.weight = {h: 1.0 / within.get(h, 1) for found in self.shingles for h in found.tolist()}
-        self.places: dict[int, list[tuple[int, int]]] = {}  # shingle: (item, its first place there)
-        for k, found in enumerate(self.shingles):
-            for place, h in enumerate(found.tolist()):
-                self.places.setdefault(h, []).append((k, place))
-        self.by_size = {}  # number of words in a shingle: its sorted hashes
-        for size in {min(SHINGLE, n) for n in self.sizes}:
-            values = [f for f, n in zip(self.shingles, self.sizes) if min(SHINGLE, n) == size]
-            self.by_size[size] = np.unique(np.concatenate(values))
         self.counts = [self._bag(f) for f in self.shingles]
-        self.totals = [sum(self.weight[h] * n for h, n in bag.items()) for bag in self.counts]
-        self.prints = [self._print(f) for f in self.shingles]
-        cuts = [BITS * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-        self.blocks = list(zip(cuts, cuts[1:]))
-        self.index: dict[tuple[int, int, int], list[int]] = {}
-        for k, bits in enumerate(self.prints):
-            for key in self._keys(self.sizes[k], bits):
-                self.index.setdefault(key, []).append(k)
+        self.totals = np.array([sum(self.weight[h] * n for h, n in bag.items()) for bag in self.counts])
+        self.known = {}  # words in a shingle: sorted hashes, their weights and their signed bits
+        sizes = np.array(self.sizes)
+        for words in {min(SHINGLE, n) for n in self.sizes}:
+            hashes = np.unique(np.concatenate([f for f, n in zip(self.shingles, self.sizes) if min(SHINGLE, n) == words]))
+            self.known[words] = hashes, np.array([self.weight[h] for h in hashes.tolist()])
+        self.index, self.lightest = {}, {}
+        for n in set(self.sizes):
+            items_of = np.flatnonzero(sizes == n)
+            self.lightest[n] = float(self.totals[items_of].min())
+            self.index[n] = MultiIndex(items_of, np.concatenate([self._prints(self._running(self.shingles[k], min(SHINGLE, n)), [0], [len(self.shingles[k])]) for k in items_of]))
 
     @staticmethod
     def _bag(shingles: np.ndarray) -> dict[int, int]:
@@ -116,12 +153,27 @@ class Benchmark:
             bag[h] = bag.get(h, 0) + 1
         return bag
 
-    def _print(self, shingles: np.ndarray) -> np.ndarray:
-        weights = np.array([self.weight.get(h, 0.0) for h in shingles.tolist()])  # shingles of no item are noise to all
-        return weights @ _bit_signs(shingles) > 0
+    def _hits(self, found: np.ndarray, words: int) -> np.ndarray:
+        """Places of the shingles that some item has."""
+        known = self.known[words][0]
+        at = np.searchsorted(known, found)
+        return np.flatnonzero(known[np.minimum(at, len(known) - 1)] == found)
+
+    def _weights(self, hits: np.ndarray, words: int) -> np.ndarray:
+        hashes, weights = self.known[words]
+        return weights[np.searchsorted(hashes, hits)]
+
+    def _running(self, hits: np.ndarray, words: int) -> np.ndarray:
+        """Running sums of the weighted bits of shingles of items."""
+        bits = np.zeros((len(hits) + 1, BITS))
+        np.cumsum(_bit_signs(hits) * self._weights(hits, words)[:, None], axis=0, out=bits[1:])
+        return bits
 
-    def _keys(self, size: int, bits: np.ndarray) -> list[tuple[int, int, int]]:
-        return [(size, k, int(np.packbits(bits[a:b])[0])) for k, (a, b) in enumerate(self.blocks)]
+    @staticmethod
+    def _prints(running: np.ndarray, first, end) -> np.ndarray:
+        """Fingerprints of the runs first:end, as rows of 16-bit blocks."""
+        on = np.packbits(running[end] - running[first] > 1e-9, axis=1)
+        return np.ascontiguousarray(on).view("<u2").astype(np.uint32)
 
     def similarity(self, k: int, window: np.ndarray) -> float:
         mine, low, high, gone, missing = self._bag(window), 0.0, 0.0, 0.0, 0
@@ -135,42 +187,45 @@ class Benchmark:
 
     def matches(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """item number: (highest similarity, first word, words) of the windows that match it."""
-        windows: set[tuple[int, int]] = set()
-        own: dict[int, np.ndarray] = {}
-        longer: dict[int, float] = {}  # item longer than the text: no less than the weight that they share
-        for size, known in self.by_size.items():
-            own[size] = found = shingle_hashes(words, size)
-            if not len(found):
-                continue
-            at = np.searchsorted(known, found)
-            hits = np.flatnonzero(known[np.minimum(at, len(known) - 1)] == found)
-            for p in hits.tolist():
-                for k, place in self.places[int(found[p])]:
-                    n = self.sizes[k]
-                    if min(SHINGLE, n) == size:
-                        if n <= len(words):
-                            windows.add((min(max(0, p - place), len(words) - n), n))
-                        else:
-                            longer[k] = longer.get(k, 0.0) + self.weight[int(found[p])]
         best: dict[int, tuple[float, int, int]] = {}
-        for k, shared in longer.items():
-            if shared >= SIMILARITY * self.totals[k] - 1e-9:
-                likeness = self.similarity(k, own[min(SHINGLE, self.sizes[k])])
-                if likeness >= SIMILARITY:
-                    best[k] = (likeness, 0, len(words))
-        for begin, n in sorted(windows):
-            size = min(SHINGLE, n)
-            window = own[size][begin : begin + n - size + 1]
-            bits = self._print(window)
-            candidates = {k for key in self._keys(n, bits) for k in self.index.get(key, ())}
-            for k in sorted(candidates):
-                if np.count_nonzero(bits != self.prints[k]) <= RADIUS:
-                    likeness = self.similarity(k, window)
-                    if likeness >= SIMILARITY and likeness > best.get(k, (0.0, 0, 0))[0]:
-                        best[k] = (likeness, begin, n)
+        for size in self.known:
+            found = shingle_hashes(words, size)
+            hits = self._hits(found, size) if len(found) else found
+            if not len(hits):
+                continue
+            running, low = None, 0
+            weights = np.concatenate(([0.0], np.cumsum(self._weights(found[hits], size))))
+            for n, index in self.index.items():
+                if min(SHINGLE, n) != size or weights[-1] < SIMILARITY * self.lightest[n] - 1e-9:
+                    continue
+                length = min(n, len(words))
+                begins, first, end = distinct_windows(hits, length - size + 1, len(found))
+                heavy = np.flatnonzero(weights[end] - weights[first] >= SIMILARITY * self.lightest[n] - 1e-9)
+                for i in range(0, len(heavy), AT_ONCE):
+                    some = heavy[i : i + AT_ONCE]
+                    if running is None or len(hits) > AT_ONCE:
+                        low, high = (first[some[0]], end[some[-1]]) if len(hits) > AT_ONCE else (0, len(hits))
+                        running = self._running(found[hits[low:high]], size)
+                    prints = self._prints(running, first[some] - low, end[some] - low)
+                    for w, k in zip(*index.within(prints, RADIUS)):
+                        begin, k = int(begins[some[w]]), int(k)
+                        likeness = self.similarity(k, found[begin : begin + length - size + 1])
+                        if likeness >= SIMILARITY and likeness > best.get(k, (0.0, 0, 0))[0]:
+                            best[k] = (likeness, begin, length)
         return best
 
 
+def distinct_windows(hits: np.ndarray, width: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of `width` of `places` shingles, one for each run hits[first:end] that lies in some window and is not
+    empty: (begin, first, end), the earliest begin of each."""
+    # What a window holds changes only where it takes in a hit or has just left one.
+    begins = np.concatenate(([0], hits - width + 1, hits + 1))
+    begins = np.unique(begins[(begins >= 0) & (begins <= places - width)])
+    first, end = np.searchsorted(hits, begins), np.searchsorted(hits, begins + width)
+    some = end > first
+    return begins[some], first[some], end[some]
+
+
 MATCHES = "array<struct<item_id:long,similarity:double,start_word:long,n_words:long>>"
 
 
@@ -207,15 +262,19 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[
         yield sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in block.collect()), within
 
 
+_held: dict = {}  # this worker's index: of one block
+
+
 def _finder(shared):
     """A function of texts that gives the matches with the items in the broadcast variable shared."""
-    workers: dict = {}
+    block = uuid.uuid4().hex
 
     @F.pandas_udf(MATCHES)
     def find(texts: pd.Series) -> pd.Series:
-        if not workers:
-            workers.update(index=Benchmark(*shared.value), memo=_Hashes())
-        index, memo, out = workers["index"], workers["memo"], []
+        if _held.get("block") != block:
+            _held.clear()
+            _held.update(block=block, index=Benchmark(*shared.value), memo=_Hashes())
+        index, memo, out = _held["index"], _held["memo"], []
         for text in texts:
             found = index.matches(word_hashes(text, memo)) if isinstance(text, str) and text else {}
             rows = sorted((index.ids[j], s, a, n) for j, (s, a, n) in found.items())
@@ -225,19 +284,26 @@ def _finder(shared):
     return find
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with column matches: the benchmark items that the text contains, with their best windows."""
-    context, columns = docs.sparkSession.sparkContext, []
-    for k, block in enumerate(_blocks(benchmark)):
-        columns.append(f"__matches_{k}")
-        docs = docs.withColumn(columns[-1], _finder(context.broadcast(block))("text"))  # ITEMS_AT_ONCE at most
-    found = F.concat(*columns) if columns else F.from_json(F.lit("[]"), MATCHES)
-    return docs.withColumn("matches", found).drop(*columns)
+def with_matches(docs: DataFrame, benchmark: DataFrame, out: str = "matches") -> DataFrame:
+    """docs with column out: the benchmark items that the text contains, with their best windows."""
+    context, found = docs.sparkSession.sparkContext, None
+    for block in _blocks(benchmark):
+        here = _finder(context.broadcast(block))("text")  # ITEMS_AT_ONCE items at most
+        if found is not None:
+            # One block an execution, so that a worker never holds two indexes.
+            docs = materialize(docs, "benchmark-matches")
+            here = F.concat(F.col(found), here)
+        found = out
+        docs = docs.withColumn(out, here)
+    return docs if found else docs.withColumn(out, F.from_json(F.lit("[]"), MATCHES))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no benchmark item."""
-    return with_matches(docs, benchmark).where(F.size("matches") == 0).drop("matches")
+    context, kept = docs.sparkSession.sparkContext, docs
+    for k, block in enumerate(_blocks(benchmark)):
+        kept = (materialize(kept, "benchmark-kept") if k else kept).where(F.size(_finder(context.broadcast(block))("text")) == 0)
+    return kept
 
 
 def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,7 +139,7 @@ def test_scores_are_those_of_the_highest_window():
         best = max((sum(values[i : i + n]) / len(values[i : i + n]) for i in range(max(1, len(values) - n + 1))), default=0.0) if values else 0.0
         return 1 / (1 + np.exp(-(model["slope"] * best + model["offset"])))
 
-    texts = [None, "", "one", prose(), prose() + " Idiots!", prose(n=4000) + " idiot " + prose(n=4000)]
+    texts = [None, "", "one", prose(), prose() + " Idiot!", prose(n=4000) + " idiot " + prose(n=4000)]
     assert toxicity.Scorer(model).scores(texts) == pytest.approx([plain(t) for t in texts], abs=1e-5)
     assert [s >= 0.5 for s in toxicity.Scorer(model).scores(texts)[3:]] == [False, True, True]
 
