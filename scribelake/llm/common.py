@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, shared_folder  # noqa: F401
+
 FIT_CHARS = 30_000  # of a row that a model is fitted on; with the bound on rows, this bounds what the driver holds
 
 
@@ -14,18 +14,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or "/tmp/checkpoints/scribelake").rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unused(columns, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def holdout_bucket(doc_id: Column, modulus: int) -> Column:

@@ -24,9 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, read_table, unused
 
 RADIUS, LARGEST_SHARD = 3, 8192
+BROADCAST_ROWS = 200_000  # of 17 bytes
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -217,7 +218,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", "m").unionByName(small.where("v != m").select(F.col("v").alias("u"), "m"))
-        new = materialize(small.select("u", F.col("m").alias("v")).where("u != v").distinct(), "edges")
+        new = materialize(small.select("u", F.col("m").alias("v")).where("u != v").distinct(), "edges", edges)
         edges, after = new, _signature(new)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -235,22 +236,37 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, largest: int = LARGES
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, largest: int = LARGEST_SHARD) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = RADIUS, largest: int = LARGEST_SHARD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id that is not null, and of rows alike in
-    id the one with the smallest hash of its text. Rows alike in both are one document."""
-    key = F.xxhash64("text")
+    id the one with the smallest hash of its text. Rows alike in both are one document.
+
+    What is decided is a short row for each (id, hash of text); texts stay where they are read, unless more than
+    broadcast_rows go, for then docs and decisions meet by a shuffle.
+    """
+    text_key = F.xxhash64("text")
     rows = with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    rows = materialize(rows.select("doc_id", key.alias("text_key"), "fp"), "simhash")
-    copies = rows.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "n")
+    rows = materialize(rows.select("doc_id", text_key.alias("text_key"), "fp"), "simhash")
+    copies = materialize(rows.groupBy("fp", "doc_id", "text_key").agg(F.count("*").alias("n")), "simhash-copies", rows)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     first = materialize(copies.groupBy("fp").agg(F.min(place).alias("first")), "simhash-first")
     roots = components(fingerprint_links(first.select("fp"), radius, largest))
     members = first.join(roots, first["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = members.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key", "first.n")
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("n").alias("__n"))
-    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key"))).withColumn("__row", key)
-    single, repeated = found.where(F.col("__n") == 1), found.where(F.col("__n") > 1).dropDuplicates(["__id", "__key"])
-    return single.unionByName(repeated).select(*[docs[c] for c in docs.columns])
+    kept = members.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    # All rows of a (doc_id, text_key) have one fingerprint. Those not kept go, and those kept more than once are set apart.
+    here = copies["doc_id"].eqNullSafe(kept["doc_id"]) & (copies["text_key"] == kept["text_key"])
+    gone = copies.join(kept, here, "left_anti").select("doc_id", "text_key", F.lit(False).alias("repeated"))
+    again = copies.where("n > 1").join(kept, here, "left_semi").select("doc_id", "text_key", F.lit(True).alias("repeated"))
+    decided = materialize(gone.unionByName(again), "simhash-decided", copies)
+    n = {r["repeated"]: r["count"] for r in decided.groupBy("repeated").count().collect()}
+    small = sum(n.values()) <= broadcast_rows
+    at = docs["doc_id"].cast("long").eqNullSafe(decided["doc_id"]) & (F.xxhash64(docs["text"]) == decided["text_key"])
+    left = docs.join(F.broadcast(decided) if small else decided, at, "left_anti")
+    if not n.get(True):
+        return left
+    once, key = unused(docs.columns, "kept_id", "kept_key")
+    twice = docs.join(F.broadcast(decided.where("repeated")) if small else decided.where("repeated"), at, "left_semi")
+    twice = twice.withColumn(once, F.col("doc_id").cast("long")).withColumn(key, text_key).dropDuplicates([once, key])
+    return left.unionByName(twice.select(*docs.columns))
 
 
 def op5_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
