@@ -101,14 +101,53 @@ def best_fit_decreasing(lengths, capacity):
     return len(rooms)
 
 
-def test_plan_is_best_fit():
-    rng = random.Random(2)
-    for _ in range(60):
-        capacity = rng.choice([7, 50, 100])
-        lengths = [rng.randint(1, capacity) for _ in range(rng.randrange(1, 120))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        rows = []
-        for n, low, high, first, offset in packing.plan_sequences(counts, capacity):
-            rows += [{"sequence_id": first + k, "offset": offset, "length": n} for k in range(high - low)]
-        assert sorted(r["length"] for r in rows) == sorted(lengths)
-        assert check_packing(rows, capacity) == best_fit_decreasing(lengths, capacity)
+def plain_supersteps(lengths, capacity):
+    """Sizes of the sequences after the same supersteps, with a stack for the sweep."""
+    left, gaps, steps = {n: lengths.count(n) for n in lengths}, [], 0
+    while left:
+        steps += 1
+        roomiest, longest = max(gaps, default=0), max(left)
+        opens_from = capacity // 2 + 1 if longest > capacity // 2 else 1
+        fitting = [n for n in left if n <= roomiest]
+        waiting = {n: c for n, c in left.items() if n > roomiest and n >= opens_from}
+        if fitting:
+            slots = sorted(((r // max(1, r // max(fitting)), r, i) for i, r in enumerate(gaps) for _ in range(max(1, r // max(fitting)))), key=lambda x: (-x[0], -x[1]))
+            free, k = [], 0
+            for n in sorted(fitting, reverse=True):
+                while k < len(slots) and slots[k][0] >= n:
+                    free.append(slots[k][2])
+                    k += 1
+                while left[n] and free:
+                    gaps[free.pop()] -= n
+                    left[n] -= 1
+        reached, need = 0, -(-sum(n * c for n, c in waiting.items()) // capacity)
+        for n in sorted(waiting, reverse=True):
+            reached += waiting[n]
+            need = max(need, -(-reached // (capacity // n)))
+        for n in sorted(waiting, reverse=True):
+            now = min(need, waiting[n])
+            need, left[n] = need - now, left[n] - now
+            gaps += [capacity - n] * now
+        left = {n: c for n, c in left.items() if c}
+    return sorted(gaps), steps
+
+
+@pytest.mark.parametrize("kind", ["any", "short", "ends"])
+def test_supersteps(spark, kind):
+    rng = random.Random(kind)
+    capacity, n = 100, 700
+    draw = {"any": lambda: rng.randint(1, 100), "short": lambda: min(100, int(rng.expovariate(1 / 6)) + 1), "equal": lambda: 34, "middle": lambda: rng.randint(25, 55), "one": lambda: 1, "ends": lambda: rng.choice([1, 1, 100, 99, 50])}
+    lengths = [draw[kind]() for _ in range(n)]
+    seen, rows = {}, []
+    for x in lengths:
+        seen[x] = seen.get(x, -1) + 1
+        rows.append((x, seen[x]))
+    moves = packing.best_fit(spark.createDataFrame(rows, "length long, rank long").repartition(5), capacity).collect()
+    assert sorted((r["length"], r["rank"]) for r in moves) == sorted(rows)
+    used = {}
+    for r in moves:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+    want, steps = plain_supersteps(lengths, capacity)
+    assert sorted(capacity - u for u in used.values()) == want and max(r["step"] for r in moves) == steps
+    assert len({(r["sequence_id"], r["step"], r["slot"]) for r in moves}) == n
+    assert len(used) <= 1.05 * best_fit_decreasing(lengths, capacity)
