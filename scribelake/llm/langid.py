@@ -1,13 +1,17 @@
 """Language identification (operator 10): a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads UTF-8 bytes forward and backward, starts anew at every white-space separated piece (pieces of over
-SEGMENT bytes are cut), and labels every position; it is trained by backpropagation through time on pieces of labelled
-texts. A document's probabilities are the mean of those of all its positions. As a piece's positions do not hang on its
-neighbours, a worker keeps the sums of the pieces it has labelled in a bounded memo.
-
-Learned from at most MAX_ROWS_EACH labelled texts a language. A null text and one without a letter is `und`, with score
-0. Without any labelled text every document is `und`. Repeated rows are labelled alike. An empty table gives an empty
-one. Other columns of docs are ignored.
+The network reads the UTF-8 bytes of a whole text forward and backward and labels every position; a text's
+probabilities are the mean of those of all its positions. It is trained by backpropagation through time on runs of SPAN
+bytes that begin anywhere in labelled texts. A long text is read in chunks of CHUNK bytes at once, and each begins with
+the state that the CARRY bytes before it (behind it, backward) leave: by then the gates have let go of what came
+earlier (a test compares this with one pass over the whole text), so that one very long text takes as long as many short
+ones of as many bytes.
+
+Learned from at most MAX_ROWS_EACH labelled texts a language, of which FIT_CHARS characters at most are read; every document is
+labelled over its whole text. A null text and one without a letter is `und`, with score 0. Without any labelled text
+every document is `und`. Repeated rows are labelled alike; ties go to the label that sorts first. held_out is null for a null doc_id. An
+empty table gives an empty one. Other columns of docs are ignored by the query; with_language keeps them and replaces
+columns of the names of its results.
 """
 
 from __future__ import annotations
@@ -17,22 +21,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import holdout_bucket, read_table
+from .common import FIT_CHARS, holdout_bucket, read_table, unused
 
-MAX_ROWS_EACH, HIDDEN, SEGMENT = 300, 16, 24
-STEPS, BATCH, RATE = 700, 256, 0.01
-MEMO_ENTRIES = 400_000
+MAX_ROWS_EACH, HIDDEN = 300, 8
+SPAN, STEPS, BATCH, RATE = 64, 500, 64, 0.02
+CHUNK, CARRY, COLUMNS, AT_ONCE = 256, 32, 1024, 1 << 22  # chunks side by side; bytes of texts in hand
 UNKNOWN = "und"
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def gate(x: np.ndarray) -> np.ndarray:
+    """A gate's opening, 0 to 1: the straight-line sigmoid."""
+    return np.clip(0.25 * x + 0.5, 0, 1)
 
 
-def segments(piece: str) -> list[bytes]:
-    """The piece with a blank on either side, in runs of SEGMENT bytes at most."""
-    raw = b" " + piece.encode("utf-8", "replace") + b" "
-    return [raw[i : i + SEGMENT] for i in range(0, len(raw), SEGMENT)]
+def _slope(opening: np.ndarray) -> np.ndarray:
+    return 0.25 * ((opening > 0) & (opening < 1))
 
 
 def padded(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +61,7 @@ def _run(params: dict, side: str, codes: np.ndarray, mask: np.ndarray, keep: boo
     states, tape, h = np.empty((width, n, hidden), np.float32), [], np.zeros((n, hidden), np.float32)
     for t in range(width) if side == "f" else range(width - 1, -1, -1):
         x = table[codes[:, t]]
-        zr = _sigmoid(x[:, : 2 * hidden] + h @ gates)
+        zr = gate(x[:, : 2 * hidden] + h @ gates)
         z, r = zr[:, :hidden], zr[:, hidden:]
         c = np.tanh(x[:, 2 * hidden :] + (r * h) @ new)
         m = mask[:, t, None]
@@ -101,7 +104,7 @@ def loss_gradients(params: dict, codes: np.ndarray, mask: np.ndarray, y: np.ndar
             d_step = d_h * m
             d_c = d_step * z * (1 - c * c)
             d_rh = d_c @ new.T
-            d_zr = np.concatenate((d_step * (c - h) * z * (1 - z), d_rh * h * r * (1 - r)), axis=1)
+            d_zr = np.concatenate((d_step * (c - h) * _slope(z), d_rh * h * _slope(r)), axis=1)
             np.add.at(g_in, codes[:, t], np.concatenate((d_zr, d_c), axis=1))
             g_gates += h.T @ d_zr
             g_new += (r * h).T @ d_c
@@ -114,18 +117,27 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, steps: int = STEPS) -> dict
     """{"labels": sorted labels, and the network's arrays}; each label weighs alike."""
     labels = sorted({y for _, y in rows})
     rng = np.random.default_rng(seed)
-    pools = [[s for t, y in rows if y == label for p in t.split() for s in segments(p)] for label in labels]
-    pools = [p or [b"  "] for p in pools]
+    pools = [[t.encode("utf-8", "replace") for t, y in rows if y == label and t] for label in labels]
+    pools = [p or [b" "] for p in pools]
+    chances = [np.array([len(t) for t in p]) / sum(map(len, p)) for p in pools]
     model = {"labels": labels}
     if not labels:
         return model
+
+    def span(k: int) -> bytes:
+        text = pools[k][rng.choice(len(pools[k]), p=chances[k])]
+        begin = int(rng.integers(0, max(1, len(text) - SPAN // 2)))
+        return text[begin : begin + SPAN]
+
     params, state = initial(len(labels), rng), {}
     for step in range(1, steps + 1):
         y = rng.integers(0, len(labels), BATCH)
-        codes, mask = padded([pools[k][rng.integers(len(pools[k]))] for k in y])
+        codes, mask = padded([span(k) for k in y])
         _, grads = loss_gradients(params, codes, mask, y)
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, g in grads.items():
+            g = g / max(1.0, norm)
             m, v = state.get(k, (0.0, 0.0))
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             state[k] = m, v
@@ -133,55 +145,115 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, steps: int = STEPS) -> dict
     return model | params
 
 
+class _Side:
+    """One direction of the network over many chunks side by side: states are (hidden, chunks)."""
+
+    def __init__(self, model: dict, side: str):
+        flip = lambda x: np.ascontiguousarray(x.T.astype(np.float32))
+        self.table, self.gates, self.new = flip(model[f"in_{side}"]), flip(model[f"gates_{side}"]), flip(model[f"new_{side}"])
+        self.hidden = n = len(self.new)
+        self.table[: 2 * n] = self.table[: 2 * n] / 4 + 0.5  # as in gate
+        self.gates /= 4
+
+    def step(self, h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        n = self.hidden
+        x = np.take(self.table, codes, axis=1, mode="clip")
+        g = self.gates @ h
+        g += x[: 2 * n]
+        np.maximum(g, 0, out=g)
+        np.minimum(g, 1, out=g)
+        c = self.new @ (g[n:] * h)
+        c += x[2 * n :]
+        np.tanh(c, out=c)
+        c -= h
+        c *= g[:n]
+        c += h
+        return c
+
+
 class Labeller:
-    """(label, score) of whole texts; keeps the sums of the pieces it has labelled in a bounded memo."""
-
-    def __init__(self, model: dict, memo_entries: int = MEMO_ENTRIES):
-        self.model, self.labels, self.limit = model, model["labels"], memo_entries
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.labels) + 1), np.float32)  # of position probabilities; positions
-
-    def _learn(self, pieces: list[str], at_once: int = 4096) -> None:
-        runs, owner = [], []
-        for k, p in enumerate(pieces):
-            for s in segments(p):
-                runs.append(s)
-                owner.append(k)
-        owner = np.array(owner)
-        order = np.argsort(np.fromiter(map(len, runs), np.int64, len(runs)), kind="stable")
-        found = np.zeros((len(pieces), len(self.labels) + 1), np.float32)
-        for i in range(0, len(order), at_once):
-            at = order[i : i + at_once]
-            codes, mask = padded([runs[j] for j in at])
-            p, _ = positions(self.model, codes, mask)
-            np.add.at(found, owner[at], np.column_stack(((p * mask.T[:, :, None]).sum(axis=0), mask.sum(axis=1))))
-        first = len(self.memo)
-        while first + len(pieces) > len(self.sums):
-            self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
-        self.sums[first : first + len(pieces)] = found
-        self.memo.update(zip(pieces, range(first, first + len(pieces))))
-
-    def label(self, texts, at_once: int = 64) -> list[tuple[str, float]]:
-        out, texts = [], [t if isinstance(t, str) else "" for t in texts]
-        for k in range(0, len(texts), at_once):
-            if len(self.memo) > self.limit:
-                self._forget()
-            part = [t if self.labels and any(map(str.isalpha, t)) else "" for t in texts[k : k + at_once]]
-            split = [t.split() for t in part]
-            new = list(set().union(*split).difference(self.memo))
-            if new:
-                self._learn(new)
-            for text, pieces in zip(part, split):
-                if not text:
-                    out.append((UNKNOWN, 0.0))
-                    continue
-                sums = self.sums[np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))].sum(axis=0, dtype=np.float64)
-                p = sums[:-1] / sums[-1]
-                best = int(p.argmax())
-                out.append((self.labels[best], float(min(1.0, p[best]))))
+    """(label, score) of whole texts."""
+
+    def __init__(self, model: dict):
+        self.labels = model["labels"]
+        if self.labels:
+            self.forward, self.backward = _Side(model, "f"), _Side(model, "b")
+            self.out, self.bias = np.ascontiguousarray(model["out"].T.astype(np.float32)), model["out_bias"].astype(np.float32)[:, None]
+
+    def _block(self, raw: np.ndarray, first: np.ndarray, begin: np.ndarray, size: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Sums of label probabilities over the positions of each chunk raw[begin : begin + size], longest chunk first;
+        first, last: whether it begins and ends its text."""
+        width, n = int(size[0]), len(size)
+        index = begin + np.arange(width)[:, None]
+        codes = raw[np.minimum(index, len(raw) - 1)].astype(np.intp)
+        live = np.searchsorted(-size, -np.arange(width), "left")  # chunks longer than t
+        state = np.zeros((self.forward.hidden, n), np.float32)
+        inner = (~first).astype(np.float32)
+        for t in range(CARRY):
+            state = self.forward.step(state, raw[np.maximum(begin - CARRY + t, 0)]) * inner
+        states = np.empty((width, 2 * self.forward.hidden, n), np.float32)
+        half = self.forward.hidden
+        for t in range(width):
+            k = live[t]
+            state = self.forward.step(state[:, :k], codes[t, :k])
+            states[t, :half, :k] = state
+        state, inner, end = np.zeros((half, n), np.float32), (~last).astype(np.float32), begin + size
+        for t in range(CARRY - 1, -1, -1):
+            state = self.backward.step(state, raw[np.minimum(end + t, len(raw) - 1)]) * inner
+        for t in range(width - 1, -1, -1):
+            k = live[t]
+            states[t, half:, :k] = state[:, :k] = self.backward.step(state[:, :k], codes[t, :k])
+        sums = np.zeros((len(self.labels), n), np.float32)
+        for t in range(width):
+            k = live[t]
+            p = self.out @ states[t, :, :k]
+            p += self.bias
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p /= p.sum(axis=0)
+            sums[:, :k] += p
+        return sums
+
+    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities over the positions of each text; texts are not empty."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        chunks = -(-sizes // CHUNK)
+        owner = np.repeat(np.arange(len(texts)), chunks)
+        place = np.arange(chunks.sum()) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        # Chunks of a text are of one size, give or take a byte, so that none is too short to carry a state on.
+        base, more = sizes[owner] // chunks[owner], sizes[owner] % chunks[owner]
+        begin = (np.cumsum(sizes) - sizes)[owner] + place * base + np.minimum(place, more)
+        size = base + (place < more)
+        order = np.argsort(-size, kind="stable")
+        total = np.zeros((len(texts), len(self.labels)))
+        for i in range(0, len(order), COLUMNS):
+            at = order[i : i + COLUMNS]
+            sums = self._block(raw, place[at] == 0, begin[at], size[at], place[at] == chunks[owner[at]] - 1)
+            np.add.at(total, owner[at], sums.T)
+        return total / sizes[:, None]
+
+    def label(self, texts) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        held: list[tuple[int, bytes]] = []
+        weight = 0
+
+        def flush() -> None:
+            if held:
+                for (i, _), p in zip(held, self.probabilities([b for _, b in held])):
+                    best = int(p.argmax())
+                    out[i] = self.labels[best], float(min(1.0, p[best]))
+                held.clear()
+
+        for text in texts:
+            out.append((UNKNOWN, 0.0))
+            if self.labels and isinstance(text, str) and any(map(str.isalpha, text)):
+                held.append((len(out) - 1, text.encode("utf-8", "replace")))
+                weight += len(held[-1][1])
+                if weight > AT_ONCE:
+                    flush()
+                    weight = 0
+        flush()
         return out
 
 
@@ -193,7 +265,7 @@ def labelled_texts(docs: DataFrame, modulus: int, held: int, each: int = MAX_ROW
     chosen = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("doc_id", "lang", "pick").distinct()
     # Bounded by each times the number of languages.
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").isNotNull())
-    found = rows.select("pick", "doc_id", "lang", "text").collect()
+    found = rows.select("pick", "doc_id", "lang", F.left("text", F.lit(FIT_CHARS)).alias("text")).collect()
     found.sort(key=lambda r: (r["pick"], r["doc_id"], r["lang"], r["text"]))
     return [(r["text"], r["lang"]) for r in found]
 
@@ -208,7 +280,8 @@ def with_language(docs: DataFrame, model: dict) -> DataFrame:
             workers["labeller"] = Labeller(model)
         return pd.DataFrame(workers["labeller"].label(texts), columns=["lang_pred", "score"])
 
-    return docs.withColumn("__found", label("text")).select("*", "__found.lang_pred", "__found.score").drop("__found")
+    found, kept = unused(docs.columns, "found")[0], [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return docs.withColumn(found, label("text")).select(*kept, f"{found}.lang_pred", f"{found}.score")
 
 
 def op10_byte_recurrent_language(spark: SparkSession, sf_dir: str) -> DataFrame:

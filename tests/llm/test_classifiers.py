@@ -203,14 +203,44 @@ def test_backpropagation_through_time():
             assert grads[name][at] == pytest.approx((up - down) / 2 / step, abs=2e-4), name
 
 
-def test_memo_does_not_change_labels():
-    model = langid.fit([(prose(k, 100), k) for k in WORDS for _ in range(5)], steps=120)
-    texts = [prose(k, 30) for k in WORDS] * 3 + [None, "x" * 500]
-    small, large = langid.Labeller(model, memo_entries=3), langid.Labeller(model)
-    for (a, p), (b, q) in zip(small.label(texts, at_once=1), large.label(texts)):
-        assert a == b and p == pytest.approx(q, abs=1e-4)
-    codes, mask = langid.padded(langid.segments("straße"))
-    p, _ = langid.positions(model, codes, mask)
-    label, score = large.label(["straße"])[0]
-    assert score == pytest.approx(float(p[:, 0].mean(axis=0).max()), abs=1e-4)
+def plain_network(model, raw):
+    """Mean label probabilities over the positions of a text: one step at a time, in one pass either way."""
+
+    def read(side, order):
+        n = model[f"new_{side}"].shape[0]
+        h, states = np.zeros(n), {}
+        for t in order:
+            x = model[f"in_{side}"][raw[t]].astype(float)
+            open_ = [min(1.0, max(0.0, 0.25 * v + 0.5)) for v in x[: 2 * n] + h @ model[f"gates_{side}"]]
+            z, r = np.array(open_[:n]), np.array(open_[n:])
+            c = np.tanh(x[2 * n :] + (r * h) @ model[f"new_{side}"])
+            h = (1 - z) * h + z * c
+            states[t] = h
+        return states
+
+    forward, backward = read("f", range(len(raw))), read("b", range(len(raw) - 1, -1, -1))
+    total = np.zeros(len(model["labels"]))
+    for t in range(len(raw)):
+        p = np.exp(np.concatenate((forward[t], backward[t])) @ model["out"] + model["out_bias"])
+        total += p / p.sum()
+    return total / len(raw)
+
+
+def test_whole_texts_against_a_plain_network():
+    model = langid.fit([(prose(k, 100), k) for k in WORDS for _ in range(5)], steps=150)
+    labeller = langid.Labeller(model)
+    texts = [prose(k, n) for k in WORDS for n in (1, 3, 30)] + ["x", "é", prose("de", 40) + prose("fr", 90), "straße" * 60]
+    raw = [t.encode() for t in texts]
+    got = labeller.probabilities(raw)
+    for p, r in zip(got, raw):
+        if len(r) <= langid.CHUNK:
+            assert p == pytest.approx(plain_network(model, r), abs=1e-4)
+    # In chunks, the state of CARRY bytes stands for that of all before.
+    long = [prose("en", 400).encode(), (prose("de", 300) + prose("fr", 200)).encode()]
+    for p, r in zip(labeller.probabilities(long), long):
+        assert p == pytest.approx(plain_network(model, r), abs=0.01)
+    # Whatever stands beside it, a text is labelled alike.
+    assert np.allclose(labeller.probabilities(long + raw)[2:], got, atol=1e-5)
+    small = labeller.label(texts + [None, "12", ""])
+    assert small[-3:] == [("und", 0.0)] * 3 and [a for a, _ in small[:-3]] == [model["labels"][int(p.argmax())] for p in got]
     assert langid.Labeller(langid.fit([])).label(["hello"]) == [("und", 0.0)]
