@@ -253,3 +253,28 @@ def display_time(ts: Column) -> Column:
 def clean_instruction_noise(c: Column) -> Column:
     out = replace_all(F.coalesce(c, F.lit("")), [(p, "") for p in R.NOISE])
     return F.coalesce(F.nullif(squeeze(out), F.lit("")), F.lit("NONE"))
+
+
+def chronological(phrases: Column, source: Column) -> Column:
+    """Phrases without those that another one contains, in the order in which they stand in the source; a phrase that does
+    not is looked up by its first 15 characters, and goes to the end if these do not stand there either."""
+    low = F.lower(source)
+
+    def at(phrase: Column) -> Column:
+        bare = F.lower(F.trim(F.regexp_replace(phrase, r"^\d+\.\s*", "")))
+        whole, part = F.instr(low, bare), F.instr(low, F.substring(bare, 1, 15))
+        return F.when(whole > 0, whole).when(part > 0, part).otherwise(1_000_000)
+
+    kept = prune_contained(F.filter(F.transform(phrases, F.trim), lambda p: p != ""))
+    placed = F.transform(kept, lambda p, i: F.struct(at(p).alias("at"), i.alias("i"), p.alias("phrase")))
+    return F.transform(F.array_sort(placed), lambda x: x["phrase"])
+
+
+def rule_value(c: Column, rules: list[tuple[str, str]]) -> Column:
+    """The label of the first rule (pattern, label), in their order, whose pattern is found, case aside; else null."""
+    return F.coalesce(*[F.when(has(c, pattern), F.lit(label)) for pattern, label in rules]) if rules else F.lit(None).cast("string")
+
+
+def ordered_union(*lists: Column) -> Column:
+    """The distinct values of all lists, each where it first comes, joined by '; '."""
+    return F.array_join(F.array_distinct(F.filter(F.concat(*lists), lambda v: v.isNotNull() & (v != ""))), "; ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLOCK_FIELDS, format_block
@@ -74,3 +74,10 @@ def apply_review_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
     kept = rows.where(~gone).withColumn("medicine", F.coalesce("name", "medicine")).withColumn("options", F.col("__left")).select(*items.columns)
     added = decisions.where("action = 'add'").select("rx_id", "item_no", F.col("value").alias("medicine"))
     return kept.unionByName(added, allowMissingColumns=True)
+
+
+def dedup_blocks(blocks: DataFrame, by: str = "rx_id", order: str = "item_no", name: str = "Drug_name") -> DataFrame:
+    """The first block of each medicine name, case and blanks around aside; blocks of name NONE all stay."""
+    key = F.lower(F.trim(name))
+    first = F.row_number().over(Window.partitionBy(by, key).orderBy(order))
+    return blocks.withColumn("__n", first).where((key == "none") | (F.col("__n") == 1)).drop("__n")

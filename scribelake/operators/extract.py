@@ -66,7 +66,7 @@ def extract_route(clause: Column, formulary_routes: Column | None = None, policy
     low = F.lower(clause)
     contains = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
     stated = F.lit(None).cast("string")
-    oral = r"\b(?:" + "|".join(w.replace("~", r"\s") for w in R.ORAL) + r")\b"
+    oral = r"\b(?:" + "|".join(w.replace(" ", r"\s") for w in R.ORAL) + r")\b"
     stated = F.when(has(low, oral), "oral").otherwise(stated)
     stated = F.when(contains(R.RECTAL), "rectal").otherwise(stated)
     injected = contains(R.INJECTED) | low.rlike(r"\b(?:iv|im|sc)\b")

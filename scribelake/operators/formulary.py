@@ -25,7 +25,7 @@ def curated(spark: SparkSession) -> DataFrame:
 
 
 def curated_routes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, r, k) for i, *_, routes in R.CURATED for k, r in enumerate(routes.split())], "drug_id string, route_code string, pos int")
+    return spark.createDataFrame([(i, r, k) for i, *_, routes in R.CURATED for k, r in enumerate(routes)], "drug_id string, route_code string, pos int")
 
 
 def union_absent(master: DataFrame, more: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def base_keys(formulary: DataFrame) -> DataFrame:
 def register_aliases(keys: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """base_keys and, for each alias pair of which one side alone is a key, the other side with the same products."""
     if pairs is None:
-        pairs = keys.sparkSession.createDataFrame([tuple(p.split()) for p in R.ALIASES], "a string, b string")
+        pairs = keys.sparkSession.createDataFrame(list(R.ALIASES), "a string, b string")
     have = keys.select("base_key").distinct()
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     new = both.join(have, both["a"] == have["base_key"], "left_semi").join(have, both["b"] == have["base_key"], "left_anti").distinct()

@@ -2,64 +2,88 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-@dataclass
-class Detector:
-    """Speech of one session, frame by frame: an adaptive noise floor, and hysteresis with hangover."""
+class Rule(NamedTuple):
+    """When frames are speech. A frame is loud above `threshold` and above `ratio` noise floors, with few zero crossings;
+    the floor is a moving mean of frames below `calm` thresholds. `on_after` loud frames in a row are speech; it lasts
+    until, since the last such frame, more than `hold` frames have stood at place `off_after` or later of a quiet run."""
 
-    energy_threshold: float = 0.01
-    min_speech_frames: int = 2
-    min_silence_frames: int = 10
-    hangover_frames: int = 3
+    threshold: float = 0.01
+    ratio: float = 2.8
+    crossings: float = 0.45
+    calm: float = 0.8
     floor: float = 0.004
     rate: float = 0.05
-    loud: int = 0
-    quiet: int = 0
-    speaking: bool = False
-    hangover: int = 0
-
-    def step(self, rms: float, zcr: float) -> bool:
-        if rms < 0.8 * self.energy_threshold:
-            self.floor += self.rate * (rms - self.floor)
-        if rms > max(self.energy_threshold, 2.8 * self.floor) and zcr < 0.45:
-            self.loud, self.quiet = self.loud + 1, 0
-            if self.loud >= self.min_speech_frames:
-                self.speaking, self.hangover = True, self.hangover_frames
-        else:
-            self.loud, self.quiet = 0, self.quiet + 1
-            if self.quiet >= self.min_silence_frames:
-                if self.hangover > 0:
-                    self.hangover -= 1
-                else:
-                    self.speaking = False
-        return self.speaking or self.hangover > 0
-
-
-def speech_flags(frames: DataFrame, **settings) -> DataFrame:
-    """session_id, frame_no, ts, rms, zcr, is_speech, noise_floor; each frame depends on all before it in its session."""
-
-    def session(rows: pd.DataFrame) -> pd.DataFrame:
-        detector, out = Detector(**settings), []
-        for rms, zcr in rows.sort_values("frame_no")[["rms", "zcr"]].itertuples(index=False):
-            out.append((detector.step(rms, zcr), detector.floor))
-        rows = rows.sort_values("frame_no")
-        return rows.assign(is_speech=[f for f, _ in out], noise_floor=[n for _, n in out])
-
-    kept = frames.select("session_id", "frame_no", "ts", "rms", "zcr")
-    return kept.groupBy("session_id").applyInPandas(session, "session_id long, frame_no long, ts timestamp, rms double, zcr double, is_speech boolean, noise_floor double")
-
-
-def noise_floor(frames: DataFrame, threshold: float, rate: float = 0.05, start: float = 0.004) -> DataFrame:
-    """session_id, noise_floor after all frames: the same moving mean of quiet frames as a fold over the ordered array."""
-    ordered = F.array_sort(F.collect_list(F.struct("frame_no", "rms")))
-    fold = F.aggregate(ordered, F.lit(start), lambda a, x: F.when(x["rms"] < 0.8 * threshold, (1 - rate) * a + rate * x["rms"]).otherwise(a))
-    return frames.groupBy("session_id").agg(fold.alias("noise_floor"))
+    on_after: int = 2
+    off_after: int = 10
+    hold: int = 3
+
+
+def with_noise_floor(frames: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """frames with noise_floor, after each frame.
+
+    A moving mean weighs the calm frame i of k by rate (1 - rate)^(k - i). Calm frames are cut into blocks after which
+    what came before weighs 1e-12; running sums within a block and the ends of the two blocks before give every mean,
+    so that a long session is dealt over tasks.
+    """
+    keep = 1 - rule.rate
+    block = max(1, math.ceil(12 * math.log(10) / -math.log(keep)))
+    calm = F.col("rms") < rule.calm * rule.threshold
+    rows = frames.withColumn("__k", F.sum(F.when(calm, 1).otherwise(0)).over(_by_session()))
+    rows = rows.withColumn("__block", F.floor((F.col("__k") - 1) / block)).withColumn("__j", F.col("__k") - F.col("__block") * block)
+    weighed = F.when(calm, F.col("rms") * F.pow(F.lit(keep), -F.col("__j"))).otherwise(0.0)
+    rows = rows.withColumn("__sum", rule.rate * F.sum(weighed).over(Window.partitionBy("session_id", "__block").orderBy("frame_no")))
+    ends = rows.where("__block >= 0").groupBy("session_id", "__block").agg((F.max("__sum") * keep**block).alias("__end"))
+    earlier = F.coalesce(F.lag("__end").over(Window.partitionBy("session_id").orderBy("__block")), F.lit(rule.floor))
+    ends = ends.select("session_id", (F.col("__block") + 1).alias("__block"), (F.col("__end") + keep**block * earlier).alias("__before"))
+    out = rows.join(ends, ["session_id", "__block"], "left").withColumn(
+        "noise_floor", F.when(F.col("__k") == 0, rule.floor).otherwise(F.pow(F.lit(keep), F.col("__j")) * (F.col("__sum") + F.coalesce("__before", F.lit(rule.floor))))
+    )
+    return out.drop("__k", "__block", "__j", "__sum", "__before")
+
+
+def speech_flags(frames: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """session_id, frame_no, ts, rms, zcr, is_speech, noise_floor; each frame depends on all before it in its session.
+
+    Null levels are not loud. Frames of one session and number are taken in any order.
+    """
+    rows = with_noise_floor(frames.select("session_id", "frame_no", "ts", "rms", "zcr"), rule)
+    loud = F.coalesce((F.col("rms") > F.greatest(F.lit(rule.threshold), rule.ratio * F.col("noise_floor"))) & (F.col("zcr") < rule.crossings), F.lit(False))
+    rows = rows.withColumn("__loud", loud)
+    change = F.when(F.col("__loud") != F.coalesce(F.lag("__loud").over(_by_session()), F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumn("__run", F.sum(change).over(_by_session()))
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy("session_id", "__run").orderBy("frame_no")))
+    heard = F.col("__loud") & (F.col("__place") >= rule.on_after)
+    rows = rows.withColumn("__late", F.sum(F.when(~F.col("__loud") & (F.col("__place") >= rule.off_after), 1).otherwise(0)).over(_by_session()))
+    rows = rows.withColumn("__heard", F.max(F.when(heard, F.col("__late"))).over(_by_session()))
+    flag = F.coalesce(F.col("__late") - F.col("__heard") <= rule.hold, F.lit(False))
+    return rows.select("session_id", "frame_no", "ts", "rms", "zcr", flag.alias("is_speech"), "noise_floor")
+
+
+class Heard(NamedTuple):
+    """What a live session remembers of its frames: the floor, the run it is in, and late quiet frames since speech."""
+
+    floor: float
+    loud: bool = False
+    run: int = 0
+    late: int = -1  # no speech yet
+
+    def then(self, rms: float, zcr: float, rule: Rule) -> "Heard":
+        floor = (1 - rule.rate) * self.floor + rule.rate * rms if rms < rule.calm * rule.threshold else self.floor
+        loud = rms > max(rule.threshold, rule.ratio * floor) and zcr < rule.crossings
+        run = self.run + 1 if loud == self.loud else 1
+        if loud:
+            return Heard(floor, loud, run, 0 if run >= rule.on_after else self.late)
+        return Heard(floor, loud, run, self.late + (self.late >= 0 and run >= rule.off_after))
+
+    def is_speech(self, rule: Rule) -> bool:
+        return 0 <= self.late <= rule.hold
 
 
 def _by_session(order: str = "frame_no"):

@@ -242,3 +242,15 @@ def ground_medicine(candidates: DataFrame, cat: C.Catalogue) -> DataFrame:
     done.append(materialize(rung(through(worded(), first, names), 4, F.lit(0.90), False), "rung-4"))
     done.append(rung(through(worded(), first, lambda df: did_you_mean(df, cat, 1, 0.60)), 5, F.col("confidence"), True))
     return reduce(DataFrame.unionByName, done)
+
+
+def composite_options(asked: DataFrame, cat: C.Catalogue, limit: int = 3) -> DataFrame:
+    """key, a, b -> key, a, b, drug_id, confidence, rank: the product of the sum of both strengths first, and then other
+    products of its base name in load order, `limit` in all; none where no product has the sum."""
+    found = find_composite(asked, cat)
+    product = cat.products.select("drug_id", "base_name", "ord")
+    sure = found.join(product, "drug_id").select("key", "a", "b", "drug_id", "base_name", F.lit(0).alias("place"), "ord")
+    other = product.withColumnRenamed("drug_id", "other_id")
+    rest = sure.drop("ord", "place").join(other, "base_name").where("other_id != drug_id").select("key", "a", "b", F.col("other_id").alias("drug_id"), "base_name", F.lit(1).alias("place"), "ord")
+    ranked = top(sure.unionByName(rest), ["key", "a", "b"], ["place", "ord", "drug_id"], limit)
+    return ranked.select("key", "a", "b", "drug_id", F.when(F.col("place") == 0, 0.95).otherwise(0.85).alias("confidence"), "rank")

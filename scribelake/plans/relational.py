@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import assemble, clauses, evaluate, extract, frames, history, lookup, reconcile, validate
 from ..operators import formulary as C
 from ..sources import writers
+from . import live
 from . import tables as S
 
 QUERIES: dict = {}
@@ -673,12 +674,12 @@ def w06_preroll(spark, sf):
     return frames.preroll(S.frames(spark, sf), 600_000).select("session_id", "frame_no")
 
 
-@query()
+@query(live.FLOOR_SQL)
 def w07_noise_floor(spark, sf):
-    return frames.noise_floor(S.frames(spark, sf), 0.05).withColumn("noise_floor", F.round("noise_floor", 9))
+    return frames.with_noise_floor(S.frames(spark, sf)).select("session_id", "frame_no", F.round("noise_floor", 9).alias("noise_floor"))
 
 
-@query()
+@query(live.FLAGS_SQL)
 def w08_speech_flags(spark, sf):
     return frames.speech_flags(S.frames(spark, sf)).select("session_id", "frame_no", "is_speech")
 
@@ -688,9 +689,9 @@ def w09_state_transitions(spark, sf):
     return frames.state_transitions(S.frames(spark, sf)).select("session_id", "frame_no", "is_speech")
 
 
-@query("SELECT conv_id, turn, string_agg(substr(text, 1, 5), ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS transcript FROM conversations")
+@query("SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) AS transcript FROM conversations")
 def w10_running_transcript(spark, sf):
-    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 5).alias("text"))
+    rows = S.table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return frames.running_transcript(rows, "conv_id", "turn").select("conv_id", "turn", "transcript")
 
 

@@ -36,7 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def dictation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an ordered item."""
-    return spark.sql(_DICTATION.format(S="STRING", L="{l}", P="{p}"), l=table(spark, sf_dir, "lineitem"), p=table(spark, sf_dir, "part"))
+    return dictation_of(spark, table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def dictation_of(spark: SparkSession, lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    return spark.sql(_DICTATION.format(S="STRING", L="{l}", P="{p}"), l=lineitem, p=part)
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,8 +64,11 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audio(spark: SparkSession, path: str, largest: int = LARGEST_AUDIO) -> DataFrame:
-    """path, rate, samples, error of WAV and raw PCM files; stereo is averaged, empty and unreadable ones have an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,pcm}").load(path).where(F.col("length") <= largest).select("path", "content")
+    """path, rate, samples, error of WAV and raw PCM files; stereo is averaged, and empty, unreadable and too large ones
+    (whose content is not read) have an error."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{wav,pcm}").load(path)
+    large = files.where(F.col("length") > largest).select("path", F.lit(None).cast("int").alias("rate"), F.lit(None).cast("array<double>").alias("samples"), F.lit("too large").alias("error"))
+    files = files.where(F.col("length") <= largest).select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -88,7 +91,7 @@ def read_audio(spark: SparkSession, path: str, largest: int = LARGEST_AUDIO) ->
                 out.append((name, rate, None if samples is None else samples.astype("float64"), error))
             yield pd.DataFrame(out, columns=["path", "rate", "samples", "error"])
 
-    return files.mapInPandas(decode, "path string, rate int, samples array<double>, error string")
+    return files.mapInPandas(decode, "path string, rate int, samples array<double>, error string").unionByName(large)
 
 
 def read_frame_stream(spark: SparkSession, path: str, schema: str = "session_id long, frame_no long, ts timestamp, rms double, zcr double", kind: str = "parquet", files_a_batch: int = 8) -> DataFrame:

@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.text import is_utterance_complete
-from ..operators.frames import Detector
+from ..operators.frames import Heard, Rule
 
 LATE = "10 seconds"
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-_DETECTOR = ("energy_threshold", "min_speech_frames", "min_silence_frames", "hangover_frames", "floor", "rate", "loud", "quiet", "speaking", "hangover")
-_STATE = "energy_threshold double, min_speech_frames int, min_silence_frames int, hangover_frames int, floor double, rate double, loud int, quiet int, speaking boolean, hangover int"
 
 
 def with_late_limit(stream: DataFrame, late: str = LATE) -> DataFrame:
@@ -28,29 +26,33 @@ def with_late_limit(stream: DataFrame, late: str = LATE) -> DataFrame:
 
 
 class _Flags(StatefulProcessor):
-    """The detector of each session lives in one value state."""
+    """What is remembered of a session lives in one value state; a row with control `reset` forgets it."""
+
+    def __init__(self, rule: Rule):
+        self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("detector", _STATE)
+        self.state = handle.getValueState("heard", "floor double, loud boolean, run long, late long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        detector = Detector(**dict(zip(_DETECTOR, self.state.get()))) if self.state.exists() else Detector()
-        frame = pd.concat(list(rows)).sort_values("frame_no")
-        if "control" in frame and (frame["control"] == "reset").any():
-            detector = Detector()
-            frame = frame[frame["control"] != "reset"]
-        flags = [detector.step(r, z) for r, z in frame[["rms", "zcr"]].itertuples(index=False)]
-        self.state.update(tuple(getattr(detector, f) for f in _DETECTOR))
-        yield pd.DataFrame({"session_id": frame["session_id"], "frame_no": frame["frame_no"], "ts": frame["ts"], "is_speech": flags})
+        heard = Heard(*self.state.get()) if self.state.exists() else Heard(self.rule.floor)
+        frame, flags = pd.concat(list(rows)).sort_values("frame_no"), []
+        control = frame["control"] if "control" in frame else [None] * len(frame)
+        for rms, zcr, what in zip(frame["rms"], frame["zcr"], control):
+            heard = Heard(self.rule.floor) if what == "reset" else heard.then(rms, zcr, self.rule)
+            flags.append(heard.is_speech(self.rule))
+        self.state.update((float(heard.floor), bool(heard.loud), int(heard.run), int(heard.late)))
+        out = pd.DataFrame({"session_id": frame["session_id"], "frame_no": frame["frame_no"], "ts": frame["ts"], "is_speech": flags})
+        yield out[frame["control"].isna()] if "control" in frame else out
 
     def close(self) -> None:
         pass
 
 
-def speech_flags(frames: DataFrame) -> DataFrame:
-    """session_id, frame_no, ts, rms, zcr -> session_id, frame_no, ts, is_speech."""
+def speech_flags(frames: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """session_id, frame_no, ts, rms, zcr (and control) -> session_id, frame_no, ts, is_speech."""
     return frames.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Flags(), outputStructType="session_id long, frame_no long, ts timestamp, is_speech boolean", outputMode="Append", timeMode="None"
+        statefulProcessor=_Flags(rule), outputStructType="session_id long, frame_no long, ts timestamp, is_speech boolean", outputMode="Append", timeMode="None"
     )
 
 
@@ -73,43 +75,99 @@ def step_ticks(frames: DataFrame, step: str = "600 milliseconds", late: str = LA
 
 
 class _Sessions(StatefulProcessor):
-    """Sentences of a session in order; control rows finalize (emit all) or reset it. Quiet sessions end by a timer."""
+    """Sentences of a session in order; control rows finalize (emit all) or reset it, and a session without rows for
+    idle_ms of processing time is finalized by a timer. Beyond most_chars, sentences are emitted as a part of their own
+    before they leave the state."""
 
-    def __init__(self, idle_ms: int, most_chars: int):
+    def __init__(self, idle_ms: int | None, most_chars: int):
         self.idle_ms, self.most_chars = idle_ms, most_chars
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.sentences = handle.getListState("sentences", "text string")
+        self.part = handle.getValueState("part", "part int")
+
+    def _kept(self) -> list[str]:
+        return [t for (t,) in self.sentences.get()] if self.sentences.exists() else []
+
+    @staticmethod
+    def _out(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["session_id", "part", "transcript", "final"]).astype({"session_id": "int64", "part": "int32"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("seq")
-        kept = [t for (t,) in self.sentences.get()] if self.sentences.exists() else []
-        final = False
-        for kind, text in frame[["kind", "text"]].itertuples(index=False):
+        kept, part, out, final = self._kept(), (self.part.get()[0] if self.part.exists() else 0), [], False
+        for kind, text in pd.concat(list(rows)).sort_values("seq")[["kind", "text"]].itertuples(index=False):
             if kind == "reset":
-                kept, final = [], False
+                kept, part, final = [], 0, False
             elif kind == "finalize":
-                final = True
+                out.append((key[0], part, " ".join(kept), True))
+                kept, part, final = [], 0, True
             elif any(c.isalnum() for c in text or ""):
+                if kept and sum(map(len, kept)) + len(text) > self.most_chars:
+                    out.append((key[0], part, " ".join(kept), False))
+                    kept, part = [], part + 1
                 kept.append(text)
-        while sum(map(len, kept)) > self.most_chars:
-            kept.pop(0)
-        text = " ".join(kept)
-        if final or not kept:
-            self.sentences.clear()
-        else:
+                final = False
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if kept:
+                self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if kept:
             self.sentences.put([(t,) for t in kept])
-        yield pd.DataFrame({"session_id": [key[0]], "transcript": [text], "final": [final]})
+        else:
+            self.sentences.clear()
+        self.part.update((part,))
+        if not final:
+            out.append((key[0], part, " ".join(kept), False))
+        yield self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept, part = self._kept(), (self.part.get()[0] if self.part.exists() else 0)
+        self.sentences.clear()
+        self.part.clear()
+        yield self._out([(key[0], part, " ".join(kept), True)] if kept else [])
 
     def close(self) -> None:
         pass
 
 
-def assemble_transcript(sentences: DataFrame, idle_ms: int = 60_000, most_chars: int = 1 << 20) -> DataFrame:
-    """session_id, seq, kind (sentence, finalize, reset), text -> session_id, transcript, final after each batch."""
+def assemble_transcript(sentences: DataFrame, idle_ms: int | None = 60_000, most_chars: int = 1 << 20) -> DataFrame:
+    """session_id, seq, kind (sentence, finalize, reset), text -> session_id, part, transcript, final after each batch.
+
+    idle_ms None: no timer, for a source that is read to its end (a timer keeps such a run alive).
+    """
     return sentences.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Sessions(idle_ms, most_chars), outputStructType="session_id long, transcript string, final boolean", outputMode="Update", timeMode="None"
+        statefulProcessor=_Sessions(idle_ms, most_chars), outputStructType="session_id long, part int, transcript string, final boolean", outputMode="Update", timeMode="None" if idle_ms is None else "ProcessingTime"
+    )
+
+
+class _Buffer(StatefulProcessor):
+    """The frames of the last keep_ms of a session; older ones leave the state."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.frames = handle.getListState("frames", "frame_no long, ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in self.frames.get()] if self.frames.exists() else []
+        for no, ts in pd.concat(list(rows)).sort_values(["ts", "frame_no"])[["frame_no", "ts"]].itertuples(index=False):
+            held.append((int(no), int(pd.Timestamp(ts).value // 1_000_000)))
+        newest = max(ms for _, ms in held)
+        held = [(n, ms) for n, ms in held if newest - ms <= self.keep_ms]
+        self.frames.put(held)
+        yield pd.DataFrame({"session_id": [key[0]], "first_frame": [held[0][0]], "last_frame": [held[-1][0]], "frames": [len(held)]})
+
+    def close(self) -> None:
+        pass
+
+
+def bounded_buffer(frames: DataFrame, keep_ms: int = 120_000) -> DataFrame:
+    """session_id, first_frame, last_frame, frames in the last keep_ms of the session, after each batch."""
+    return frames.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Buffer(keep_ms), outputStructType="session_id long, first_frame long, last_frame long, frames long", outputMode="Update", timeMode="None"
     )
 
 
@@ -247,7 +305,7 @@ def dedup_stream(requests: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def stream_latency(rows: DataFrame, window: str = "1 minute", late: str = LATE) -> DataFrame:
-    out = with_late_limit(rows, late).groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), F.round(F.avg("latency"), 2).alias("mean"), F.percentile_approx("latency", 0.95).alias("p95"))
+    out = with_late_limit(rows, late).groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), F.avg("latency").alias("mean"), F.percentile_approx("latency", 0.95).alias("p95"))
     return out.select(F.col("w.start").alias("start"), "n", "mean", "p95")
 
 
