@@ -38,23 +38,49 @@ def test_mined_rules(spark):
         blocked = h == "bad.org" or (h == "mixed.org" and s == "spam")
         rows.append((f"https://{h}/{s}/{1000 + k}?id={k}", blocked))
     labelled = spark.createDataFrame(rows, "url string, blocked boolean").select(ur.tokens_of(ur.F.col("url")).alias("tokens"), "blocked")
-    rules = ur.mine_rules(labelled, 0.05, 0.9)
+    rules = ur.mine_rules(labelled, 0.05, 1.8)
     baskets = [(set(r["tokens"]), r["blocked"]) for r in labelled.collect()]
     every = set().union(*(t for t, _ in baskets))
+    count = {t: sum(t in b for b, _ in baskets) for t in every}
+    said = {("label:" + t[5:].split(".")[0], count[t]) for t in every if t.startswith("host:")}
+    every = {t for t in every if count[t] >= 0.05 * len(baskets) and (t, count[t]) not in said}
     sure = {}
-    for n in range(1, 4):
+    for n in range(1, len(every) + 1):
         for a in map(frozenset, itertools.combinations(sorted(every), n)):
             has = [b for t, b in baskets if a <= t]
-            if sum(has) / len(baskets) >= 0.05 and has and sum(has) / len(has) >= 0.9:
+            p = sum(has) / max(1, len(has))
+            if sum(has) / len(baskets) >= 0.05 and p >= 0.9 and p - 0.5 >= ur.MIN_Z * (0.25 / len(has)) ** 0.5:
                 sure[a] = sum(has) / len(has)
     want = {a for a in sure if not any(b < a and sure[b] >= sure[a] for b in sure)}
     got = {frozenset(r["antecedent"]) for r in rules.collect()}
-    assert {a for a in got if len(a) <= 3} == want
+    assert got == want and {frozenset(["host:bad.org"]), frozenset(["host:mixed.org", "path:spam"])} <= got
     pages = spark.createDataFrame([(1, "https://bad.org/about"), (2, "https://mixed.org/spam/7"), (3, "https://mixed.org/news/7"), (4, None)], "page_id long, url string")
     verdicts = {r["page_id"]: r["verdict"] for r in ur.judge(pages, rules).collect()}
     assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_rules_of_many_tokens(spark):
+    """A combination that is sure with seven tokens only, and labels that hang on nothing."""
+    import random
+
+    rng = random.Random(5)
+    names = [f"path:{c}" for c in "abcdefg"]
+    rows = [(names, True) for _ in range(60)]
+    rows += [(names[:k] + names[k + 1 :], rng.random() < 0.3) for k in range(7) for _ in range(60)]
+    found = ur.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.05, 1.5).collect()
+    assert [tuple(r["antecedent"]) for r in found if r["confidence"] == 1] == [tuple(names)]
+    noise = [(rng.sample(names, 3), rng.random() < 0.3) for _ in range(400)]
+    assert ur.mine_rules(spark.createDataFrame(noise, "tokens array<string>, blocked boolean"), 0.02).count() == 0
+
+
+def test_long_urls_and_repeats(spark):
+    long = "https://bad.org/" + "/".join(f"s{k}" for k in range(5000))
+    rules = spark.createDataFrame([(["host:bad.org", "path:sN"], 0.9, 0.1)], "antecedent array<string>, confidence double, support double")
+    pages = spark.createDataFrame([(1, long), (2, long), (2, "https://bad.org/s1"), (3, None), (4, None)], "page_id long, url string")
+    got = sorted((r["page_id"], r["verdict"]) for r in ur.judge(pages, rules).collect())
+    assert got == [(1, "block"), (2, "allow"), (2, "block"), (3, "allow"), (4, "allow")]
+
+
 def test_nothing(spark):
     none = ur.mine_rules(spark.createDataFrame([], "tokens array<string>, blocked boolean"))
     assert ur.judge(spark.createDataFrame([], "page_id long, url string"), none).count() == 0
