@@ -109,33 +109,52 @@ def extract_instructions(clause: Column, advice: Column, full: Column) -> Column
     return F.struct(join(primary).alias("primary"), join(additional).alias("additional"))
 
 
-def medicine_candidates(clauses: DataFrame) -> DataFrame:
-    """clauses and column candidates: array of struct(step, name) in the order in which they are tried."""
+def _named(clauses: DataFrame, candidates: Column) -> DataFrame:
+    """clauses and column candidates: those of an array of struct(step, name) that may be a medicine, in that order."""
+    kept = F.filter(candidates, lambda c: c["name"].isNotNull() & (F.length(c["name"]) >= 2) & N.is_valid_medication(c["name"]))
+    return clauses.withColumn("candidates", kept)
+
+
+def first_candidates(clauses: DataFrame) -> DataFrame:
+    """clauses and lead, candidates: the seed, what stands before the first dose, and what follows a verb."""
     lead = F.trim(F.split(F.col("clause"), LEAD_DOSE)[0])
     dosed = has(F.col("clause"), LEAD_DOSE)
-    verb = F.trim(F.regexp_extract("clause", BY_VERB, 1))
+    verb = F.nullif(F.trim(F.regexp_extract("clause", BY_VERB, 1)), F.lit(""))
+    rung = lambda step, name: F.struct(F.lit(step).alias("step"), N.clean_candidate_name(name).alias("name"))
+    rows = clauses.withColumn("lead", F.when(dosed, N.clean_candidate_name(lead)))
+    return _named(rows, F.array(rung(1, F.col("seed")), F.struct(F.lit(2).alias("step"), F.col("lead").alias("name")), rung(3, verb)))
+
+
+def word_candidates(clauses: DataFrame) -> DataFrame:
+    """clauses and candidates: pairs of words, then words."""
     words = F.regexp_extract_all("clause", F.lit(r"([A-Za-z0-9\-]{3,})"), 1)
     pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    rung = lambda step, name: F.struct(F.lit(step).alias("step"), N.clean_candidate_name(name).alias("name"))
-    first = F.array(rung(1, F.col("seed")), rung(2, F.when(dosed, lead)), rung(3, F.nullif(verb, F.lit(""))))
-    every = F.concat(first, F.transform(pairs, lambda p, i: F.struct((i + 1000).alias("step"), N.clean_candidate_name(p).alias("name"))), F.transform(words, lambda w, i: F.struct((i + 2000).alias("step"), N.clean_candidate_name(w).alias("name"))))
-    kept = F.filter(every, lambda c: c["name"].isNotNull() & (F.length(c["name"]) >= 2) & N.is_valid_medication(c["name"]))
-    return clauses.withColumn("candidates", kept).withColumn("lead", F.when(dosed, N.clean_candidate_name(lead)))
+    from_ = lambda names, step: F.transform(names, lambda n, i: F.struct((i + step).alias("step"), N.clean_candidate_name(n).alias("name")))
+    return _named(clauses, F.concat(from_(pairs, 1000), from_(words, 2000)))
+
+
+def _best_candidate(rows: DataFrame, cat: C.Catalogue, by: list[str]) -> DataFrame:
+    """by and m: the first candidate that is in the catalogue. Distinct names are grounded once, whatever the number of
+    clauses that say them."""
+    tried = rows.select(*by, F.explode("candidates").alias("c")).select(*by, "c.step", F.col("c.name").alias("key"))
+    grounded = L.ground_medicine(tried.select("key"), cat).join(cat.products.select("drug_id", "drug_name"), "drug_id")
+    best = tried.join(grounded, "key").groupBy(*by).agg(F.min(F.struct("step", "key", "drug_id", "confidence", "suggested", "drug_name")).alias("m"))
+    return materialize(best, "grounded")
 
 
 def extract_medicine(clauses: DataFrame, cat: C.Catalogue, by: list[str]) -> DataFrame:
     """clauses and medicine, drug_id, did_you_mean, med_confidence. by: the columns that identify a clause.
 
-    Distinct candidate names are grounded once, whatever the number of clauses that say them.
+    Only clauses without a hit, and without a lead before a dose, are taken apart into words.
     """
-    rows = materialize(medicine_candidates(clauses), "candidates")
-    tried = rows.select(*by, F.explode("candidates").alias("c")).select(*by, "c.step", F.col("c.name").alias("key"))
-    grounded = L.ground_medicine(tried.select("key"), cat).join(cat.products.select("drug_id", "drug_name"), "drug_id")
-    hits = tried.join(grounded, "key")
-    best = hits.groupBy(*by).agg(F.min(F.struct("step", "key", "drug_id", "confidence", "suggested", "drug_name")).alias("m"))
-    out = rows.join(materialize(best, "grounded"), by, "left")
+    rows = materialize(first_candidates(clauses), "candidates")
+    best = _best_candidate(rows, cat, by)
     # A lead before a dose that is no name of the catalogue is not passed over for later words.
     lead_ok = F.coalesce(N.is_valid_medication(F.col("lead")) & (F.length("lead") >= 3), F.lit(False))
+    open_ = rows.where(~lead_ok).join(best, by, "left_anti").select(*by, "clause")
+    if not open_.isEmpty():
+        best = best.unionByName(_best_candidate(materialize(word_candidates(open_), "candidates"), cat, by))
+    out = rows.join(best, by, "left")
     missed = lead_ok & (F.col("m").isNull() | (F.col("m.step") > 2))
     return out.select(
         *clauses.columns, F.when(missed, NOT_FOUND).otherwise(F.col("m.key")).alias("medicine"), F.when(~missed, F.col("m.drug_id")).alias("drug_id"),

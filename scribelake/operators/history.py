@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_name
+from ..storage import materialize
 
 
 def latest_history(history: DataFrame, n: int, process_id: int | None = None, order: str = "id") -> DataFrame:
@@ -37,9 +38,17 @@ def delete_threads(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def create_threads(threads: DataFrame, new: DataFrame) -> DataFrame:
-    """new (name, created_at) with ids that follow those of threads, active, and an output path of its own."""
+    """new (name, created_at) with ids that follow those of threads, active, and an output path of its own.
+
+    Rows are sorted over ranges; a row's id is the number of rows in the ranges before and its place in its own.
+    """
     top = threads.agg(F.max("process_id").alias("top")).first()["top"] or 0
-    rows = new.withColumn("process_id", F.lit(top) + F.row_number().over(Window.orderBy("created_at", "name")))
+    placed = new.repartitionByRange("created_at", "name").sortWithinPartitions("created_at", "name")
+    placed = materialize(placed.withColumn("__at", F.monotonically_increasing_id()), "threads").withColumn("__range", F.shiftright("__at", 33))
+    counts = placed.groupBy("__range").agg(F.count("*").alias("n"), F.min("__at").alias("__first"))  # a row a range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("__before", before).drop("n")
+    rows = placed.join(F.broadcast(starts), "__range").withColumn("process_id", F.lit(top) + F.col("__before") + F.col("__at") - F.col("__first") + 1)
     path = F.concat(safe_name(F.col("name")), F.lit("_"), F.date_format("created_at", "yyyyMMdd_HHmmss"))
     return rows.select("process_id", "name", F.lit("active").alias("status"), path.alias("path"), "created_at")
 
