@@ -321,7 +321,21 @@ def _single(spark, sf) -> DataFrame:
     )
 
 
+def _all_items(spark, sf) -> DataFrame:
+    """Every dictated item of each order, numbered in order: the columns of _single."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("rx_id").orderBy("line", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "text"))
+    return S.dictation(spark, sf).withColumn("item_no", place).selectExpr(
+        "rx_id", "item_no", "concat(p_name, ' ', truth_strength) as medicine", "truth_strength as strength", "truth_frequency as frequency", "truth_duration as duration", "cast(null as string) as route",
+        "truth_instruction as instruction", "cast(null as string) as additional_instruction", "text as raw_text", "text as norm_text", "p_name", "line", "0.95D as confidence",
+    )
+
+
 _SINGLE = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rx_id ORDER BY {S.ORDER}) AS pos FROM {D} d) WHERE pos = 1)"
+# All items of an order, numbered; k is what the queries below change, so that an order mixes all cases.
+_WHOLE = f"(SELECT *, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY {S.ORDER}) AS INT) AS item_no, rx_id + row_number() OVER (PARTITION BY rx_id ORDER BY {S.ORDER}) AS k FROM {D} d)"
+_k = lambda: c("rx_id") + c("item_no")
 
 
 @query(f"SELECT rx_id, concat(p_name, ' ', truth_strength) AS medicine, truth_strength AS strength, CASE WHEN rx_id % 7 = 0 THEN 'CONFLICT' WHEN rx_id % 5 = 0 THEN 'EXTRACTED' ELSE 'NORMALIZED' END AS status, CASE WHEN rx_id % 7 = 0 THEN 1 ELSE 0 END AS conflicts FROM {_SINGLE} s")
@@ -333,8 +347,8 @@ def x14_reconcile(spark, sf):
 
 
 def _items(spark, sf) -> DataFrame:
-    rows = _single(spark, sf).withColumn("strength", F.when(c("rx_id") % 5 == 0, F.lit("999 mg")).otherwise(c("strength")))
-    rows = rows.withColumn("frequency", F.when(c("rx_id") % 3 == 0, F.lit("once or twice daily")).otherwise(c("frequency")))
+    rows = _all_items(spark, sf).withColumn("strength", F.when(_k() % 5 == 0, F.lit("999 mg")).otherwise(c("strength")))
+    rows = rows.withColumn("frequency", F.when(_k() % 3 == 0, F.lit("once or twice daily")).otherwise(c("frequency")))
     none = F.array().cast("array<string>")
     return rows.withColumn("did_you_mean", F.lit(None).cast("string")).withColumn("status", F.lit("EXTRACTED")).withColumn("conflicts", none).withColumn("review_reasons", none)
 
@@ -343,23 +357,24 @@ def _validated(spark, sf) -> DataFrame:
     return validate.validate_items(validate.recognized(_items(spark, sf), S.catalogue(spark, sf)))
 
 
-_STATUS = "CASE WHEN rx_id % 5 = 0 THEN 'ERROR' WHEN rx_id % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'VALIDATED' END"
+_STATUS = "CASE WHEN k % 5 = 0 THEN 'ERROR' WHEN k % 3 = 0 THEN 'NEEDS_REVIEW' ELSE 'VALIDATED' END"
+_OVERALL = "CASE WHEN bool_and(k % 5 = 0) THEN 'ERROR' WHEN bool_or(k % 5 = 0 OR k % 3 = 0) THEN 'NEEDS_REVIEW' ELSE 'VALIDATED' END"
 
 
-@query(f"SELECT rx_id, {_STATUS} AS item_status, rx_id % 5 != 0 AS is_valid, CASE WHEN rx_id % 5 = 0 THEN 1 ELSE 0 END AS errors, CASE WHEN rx_id % 3 = 0 THEN 1 ELSE 0 END AS warnings FROM {_SINGLE} s")
+@query(f"SELECT rx_id, item_no, {_STATUS} AS item_status, k % 5 != 0 AS is_valid, CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS errors, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS warnings FROM {_WHOLE} s")
 def x15_validate_items(spark, sf):
-    return _validated(spark, sf).select("rx_id", "item_status", "is_valid", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"))
+    return _validated(spark, sf).select("rx_id", "item_no", "item_status", "is_valid", F.size("errors").alias("errors"), F.size("warnings").alias("warnings"))
 
 
 _FINDINGS = (
-    f"SELECT rx_id, rule_id, rule_id != 'RULE_GROUNDED_STRENGTH' OR rx_id % 5 != 0 AS passed FROM {_SINGLE} s, (VALUES ('RULE_PHARMACEUTICAL_ENTITY'), ('RULE_GROUNDED_DRUG_NAME'), ('RULE_GROUNDED_STRENGTH'), "
+    f"SELECT rx_id, item_no, rule_id, rule_id != 'RULE_GROUNDED_STRENGTH' OR k % 5 != 0 AS passed FROM {_WHOLE} s, (VALUES ('RULE_PHARMACEUTICAL_ENTITY'), ('RULE_GROUNDED_DRUG_NAME'), ('RULE_GROUNDED_STRENGTH'), "
     "('RULE_ANTI_HALLUCINATION_COMMENTARY')) r(rule_id) WHERE rule_id != 'RULE_ANTI_HALLUCINATION_COMMENTARY' OR truth_instruction IS NOT NULL"
 )
 
 
 @query(_FINDINGS)
 def x16_validate_findings(spark, sf):
-    return validate.validate_findings(_items(spark, sf)).select("rx_id", "rule_id", "passed")
+    return validate.validate_findings(_items(spark, sf)).select("rx_id", "item_no", "rule_id", "passed")
 
 
 @query(f"SELECT rx_id, count(*) AS checks, count(*) FILTER (WHERE passed) AS passed, round(count(*) FILTER (WHERE passed) / count(*), 2) AS grounding_score FROM ({_FINDINGS}) f GROUP BY 1")
@@ -367,22 +382,26 @@ def a14_grounding_score(spark, sf):
     return validate.grounding_score(validate.validate_findings(_items(spark, sf)))
 
 
-@query(f"SELECT rx_id, CASE WHEN rx_id % 5 = 0 THEN 'NEEDS_CORRECTION' ELSE 'VALID' END AS verdict FROM {_SINGLE} s")
+@query(f"SELECT rx_id, item_no, CASE WHEN k % 5 = 0 THEN 'NEEDS_CORRECTION' ELSE 'VALID' END AS verdict FROM {_WHOLE} s")
 def x17_validate_blocks(spark, sf):
     rows = _items(spark, sf)
-    blocks = assemble.legacy_blocks(rows).join(rows.select("rx_id", "raw_text"), "rx_id")
-    return validate.validate_blocks(blocks).select("rx_id", "verdict")
+    blocks = assemble.legacy_blocks(rows).join(rows.select("rx_id", "item_no", "raw_text"), ["rx_id", "item_no"])
+    return validate.validate_blocks(blocks).select("rx_id", "item_no", "verdict")
 
 
-@query(f"SELECT rx_id, {_STATUS} AS overall_status, 1 AS total_medicines FROM {_SINGLE} s")
+@query(f"SELECT rx_id, {_OVERALL} AS overall_status, count(*) AS total_medicines FROM {_WHOLE} s GROUP BY 1")
 def a15_overall_status(spark, sf):
     return assemble.overall_status(_validated(spark, sf)).select("rx_id", "overall_status", "total_medicines")
 
 
-@query(f"SELECT rx_id, CASE WHEN rx_id % 5 = 0 THEN 0 ELSE 1 END AS items, CASE WHEN rx_id % 5 = 0 THEN 1 ELSE 0 END AS rejected, CASE WHEN rx_id % 5 != 0 THEN truth_strength END AS strength, {_STATUS} AS overall_status FROM {_SINGLE} s")
+@query(
+    f"SELECT rx_id, count(*) FILTER (WHERE k % 5 != 0) AS items, count(*) FILTER (WHERE k % 5 = 0) AS rejected, coalesce(string_agg(truth_strength, ',' ORDER BY item_no) FILTER (WHERE k % 5 != 0), '') AS strengths, "
+    f"{_OVERALL} AS overall_status FROM {_WHOLE} s GROUP BY 1"
+)
 def a16_assemble(spark, sf):
     out = assemble.assemble(_validated(spark, sf))
-    return out.select("rx_id", F.size("items").alias("items"), c("metadata.rejected").alias("rejected"), F.get("items", F.lit(0))["fields"]["strength"].alias("strength"), "overall_status")
+    strengths = F.array_join(F.transform("items", lambda i: i["fields"]["strength"]), ",")
+    return out.select("rx_id", F.size("items").alias("items"), c("metadata.rejected").alias("rejected"), strengths.alias("strengths"), "overall_status")
 
 
 @query(f"SELECT rx_id, count(*) AS n FROM {D} d GROUP BY 1")
@@ -390,15 +409,15 @@ def a18_items_per_prescription(spark, sf):
     return S.dictation(spark, sf).groupBy("rx_id").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT rx_id, concat(p_name, ' ', truth_strength) AS Drug_name, 'oral' AS route, coalesce(truth_instruction, 'NONE') AS instruction FROM {_SINGLE} s")
+@query(f"SELECT rx_id, item_no, concat(p_name, ' ', truth_strength) AS Drug_name, 'oral' AS route, coalesce(truth_instruction, 'NONE') AS instruction FROM {_WHOLE} s")
 def f30_legacy_block(spark, sf):
-    return assemble.legacy_blocks(_single(spark, sf)).select("rx_id", "Drug_name", "route", "instruction")
+    return assemble.legacy_blocks(_all_items(spark, sf)).select("rx_id", "item_no", "Drug_name", "route", "instruction")
 
 
-@query(f"SELECT rx_id, 'ORAL' AS route, truth_instruction AS instructions, 'a,b,c' AS options FROM {_SINGLE} s")
+@query(f"SELECT rx_id, item_no, 'ORAL' AS route, truth_instruction AS instructions, 'a,b,c' AS options FROM {_WHOLE} s")
 def f40_display_row(spark, sf):
-    rows = _single(spark, sf).withColumn("options", F.array(*map(F.lit, "abcd")))
-    return assemble.display_rows(rows).select("rx_id", "route", "instructions", F.array_join("options", ",").alias("options"))
+    rows = _all_items(spark, sf).withColumn("options", F.array(*map(F.lit, "abcd")))
+    return assemble.display_rows(rows).select("rx_id", "item_no", "route", "instructions", F.array_join("options", ",").alias("options"))
 
 
 @query(f"WITH d AS {D} SELECT rx_id, line, p_name FROM d WHERE line % 2 = 0 OR (SELECT count(*) FROM d e WHERE e.rx_id = d.rx_id) = 1")
@@ -407,11 +426,11 @@ def p07_drop_non_medication(spark, sf):
     return validate.drop_non_medication(rows).select("rx_id", "line", "p_name")
 
 
-@query(f"SELECT rx_id, CASE WHEN rx_id % 3 = 0 THEN 'other' WHEN rx_id % 3 = 1 THEN concat(p_name, ' ', truth_strength) END AS medicine FROM {_SINGLE} s WHERE rx_id % 3 != 2")
+@query(f"SELECT rx_id, item_no, CASE WHEN k % 3 = 0 THEN 'other' WHEN k % 3 = 1 THEN concat(p_name, ' ', truth_strength) END AS medicine FROM {_WHOLE} s WHERE k % 3 != 2")
 def j25_review_decisions(spark, sf):
-    rows = _single(spark, sf).select("rx_id", "item_no", "medicine", F.array(F.lit("x"), F.lit("y")).alias("options"))
-    d = rows.where("rx_id % 3 != 1").select("rx_id", "item_no", F.when(c("rx_id") % 3 == 0, "accept").otherwise("delete").alias("action"), F.lit("other").alias("value"), F.lit(1).alias("seq"))
-    return assemble.apply_review_decisions(rows, d).select("rx_id", "medicine")
+    rows = _all_items(spark, sf).select("rx_id", "item_no", "medicine", F.array(F.lit("x"), F.lit("y")).alias("options"))
+    d = rows.where(_k() % 3 != 1).select("rx_id", "item_no", F.when(_k() % 3 == 0, "accept").otherwise("delete").alias("action"), F.lit("other").alias("value"), F.lit(1).alias("seq"))
+    return assemble.apply_review_decisions(rows, d).select("rx_id", "item_no", "medicine")
 
 
 @query(f"SELECT rx_id, min(line) AS line, count(*) AS n FROM {D} d GROUP BY rx_id, split_part(p_name, ' ', 1), truth_strength, truth_frequency, truth_duration")
@@ -443,14 +462,20 @@ def a05_fold_orphans(spark, sf):
 
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 def _scored(spark, sf) -> DataFrame:
-    e = _single(spark, sf)
-    a = e.withColumn("strength", F.when(c("rx_id") % 7 == 0, None).when(c("rx_id") % 11 == 0, F.lit("bad")).otherwise(c("strength"))).withColumn("route", F.lit("oral"))
+    """Every item of an order with what was extracted for it: some strengths are missing, some wrong, some made up."""
+    a = _all_items(spark, sf).withColumn("route", F.lit("oral"))
+    e = a.withColumn("route", F.lit(None).cast("string")).withColumn("strength", F.when(_k() % 9 != 0, c("strength"))).withColumn("duration", F.when(_k() % 8 != 0, c("duration")))
+    a = a.withColumn("strength", F.when(_k() % 7 == 0, None).when(_k() % 11 == 0, F.lit("901 g")).otherwise(c("strength")))
     return evaluate.pair_by_ordinal(e, a)
 
 
+_PAIRS = (
+    f"(SELECT *, CASE WHEN k % 9 != 0 THEN truth_strength END AS e, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN '901 g' ELSE truth_strength END AS a, k % 9 != 0 AND k % 7 != 0 AND k % 11 != 0 AS hit FROM {_WHOLE} w)"
+)
 _CONF = (
-    f"WITH s AS {_SINGLE} SELECT 'medicine' AS field, count(*) AS expected, count(*) AS tp, 0 AS fp, 0 AS fn FROM s UNION ALL SELECT 'frequency', count(*), count(*), 0, 0 FROM s UNION ALL SELECT 'duration', count(*), count(*), 0, 0 FROM s "
-    "UNION ALL SELECT 'route', 0, 0, 0, 0 UNION ALL SELECT 'strength', count(*), count(*) FILTER (WHERE rx_id % 7 != 0 AND rx_id % 11 != 0), count(*) FILTER (WHERE rx_id % 7 != 0 AND rx_id % 11 = 0), count(*) FILTER (WHERE rx_id % 7 = 0 OR rx_id % 11 = 0) FROM s"
+    f"WITH s AS {_PAIRS} SELECT 'medicine' AS field, count(*) AS expected, count(*) AS tp, 0 AS fp, 0 AS fn FROM s UNION ALL SELECT 'frequency', count(*), count(*), 0, 0 FROM s "
+    "UNION ALL SELECT 'duration', count(*) FILTER (WHERE k % 8 != 0), count(*) FILTER (WHERE k % 8 != 0), count(*) FILTER (WHERE k % 8 = 0), 0 FROM s UNION ALL SELECT 'route', 0, 0, 0, 0 "
+    "UNION ALL SELECT 'strength', count(e), count(*) FILTER (WHERE hit), count(a) FILTER (WHERE NOT hit), count(e) FILTER (WHERE NOT hit) FROM s"
 )
 
 
@@ -472,15 +497,25 @@ def a08_category_pass_rates(spark, sf):
     return evaluate.category_pass_rates(S.table(spark, sf, "orders").selectExpr("o_orderpriority as category", "o_orderkey % 3 = 0 as passed"))
 
 
-@query(f"SELECT 0 AS unknown_medicine, count(*) FILTER (WHERE rx_id % 7 != 0 AND rx_id % 11 = 0) * 0 AS unsaid_strength, 0 AS invented_strength, 0 AS invented_duration, 0 AS invented_frequency FROM {_SINGLE} s")
+@query(
+    f"SELECT count(*) FILTER (WHERE k % 13 = 0) AS unknown_medicine, count(*) FILTER (WHERE a = '901 g') AS unsaid_strength, count(a) FILTER (WHERE e IS NULL) AS invented_strength, "
+    f"count(*) FILTER (WHERE k % 8 = 0) AS invented_duration, 0 AS invented_frequency FROM {_PAIRS} s"
+)
 def a09_hallucination_counters(spark, sf):
-    rows = _scored(spark, sf).join(_single(spark, sf).select("rx_id", "raw_text"), "rx_id")
-    return evaluate.hallucination_counters(rows, F.lit(True), c("raw_text"))
+    texts = _all_items(spark, sf).select("rx_id", c("item_no").alias("pos"), "raw_text")
+    known = (c("rx_id") + c("pos")) % 13 != 0
+    return evaluate.hallucination_counters(_scored(spark, sf).join(texts, ["rx_id", "pos"]), known, c("raw_text"))
+
+
+_FAILED = (
+    f"SELECT rx_id, unnest(list_concat(CASE WHEN (e IS NULL AND a IS NOT NULL) OR (e IS NOT NULL AND NOT hit) THEN [concat('item ', item_no, ': strength')] ELSE [] END, "
+    f"CASE WHEN k % 8 = 0 THEN [concat('item ', item_no, ': duration')] ELSE [] END, [concat('item ', item_no, ': route')])) AS failure FROM {_PAIRS} s"
+)
 
 
-@query(f"SELECT rx_id, CASE WHEN rx_id % 7 = 0 OR rx_id % 11 = 0 THEN 'item 1: strength;item 1: route' ELSE 'item 1: route' END AS failures, false AS passed FROM {_SINGLE} s")
+@query(f"SELECT rx_id, string_agg(failure, ';' ORDER BY failure DESC) AS failures, false AS passed FROM ({_FAILED}) f GROUP BY 1")
 def a10_case_failures(spark, sf):
-    counts = _single(spark, sf).selectExpr("rx_id", "1 as expected_count", "1 as actual_count")
+    counts = _all_items(spark, sf).groupBy("rx_id").agg(F.count("*").alias("expected_count"), F.count("*").alias("actual_count"))
     out = evaluate.case_failures(_scored(spark, sf), counts)
     return out.select("rx_id", F.array_join(F.sort_array("failures", False), ";").alias("failures"), "passed")
 
@@ -512,23 +547,12 @@ def a20_transcript_success(spark, sf):
     return evaluate.transcript_success(t, S.table(spark, sf, "lineitem").selectExpr("l_orderkey as rx_id"))
 
 
-@query(f"SELECT rx_id, 1 AS pos, concat(p_name, ' ', truth_strength) AS expected, CASE WHEN rx_id % 7 = 0 THEN NULL WHEN rx_id % 11 = 0 THEN 'bad' ELSE truth_strength END AS actual FROM {_SINGLE} s")
+@query(f"SELECT rx_id, item_no AS pos, concat(p_name, ' ', truth_strength) AS expected, a AS actual FROM {_PAIRS} s")
 def j22_pair_by_ordinal(spark, sf):
     return _scored(spark, sf).select("rx_id", "pos", c("e.medicine").alias("expected"), c("a.strength").alias("actual"))
 
 
-# --- whole orders: the queries above over all items of an order (their SQL keeps the first item alone) -----------------------
-def _all_items(spark, sf) -> DataFrame:
-    """Every dictated item of each order, numbered in order: the columns of _single."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("rx_id").orderBy("line", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "text"))
-    return S.dictation(spark, sf).withColumn("item_no", place).selectExpr(
-        "rx_id", "item_no", "concat(p_name, ' ', truth_strength) as medicine", "truth_strength as strength", "truth_frequency as frequency", "truth_duration as duration", "cast(null as string) as route",
-        "truth_instruction as instruction", "cast(null as string) as additional_instruction", "text as raw_text", "text as norm_text", "p_name", "line", "0.95D as confidence",
-    )
-
-
+# --- whole orders without SQL -----------------------------------------------------------------------------------------------
 @query()
 def x14_reconcile_all_items(spark, sf):
     """a lacks every sixth item; b has the items in reverse, lacks some and changes some strengths. SQL cannot express the greedy match."""
