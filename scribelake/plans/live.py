@@ -187,10 +187,10 @@ def st13_stream_latency(spark, sf):
 
 
 @query(
-    f"WITH RECURSIVE f AS (SELECT *, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY session_id ORDER BY frame_no) AS n FROM {E} e), s AS (SELECT DISTINCT session_id FROM f), "
-    "w AS (SELECT session_id, CAST(0 AS BIGINT) AS frame_no, CAST(0 AS BIGINT) AS n, 0.004 AS floor, CAST(-1000000000000000 AS BIGINT) AS spoke, CAST(0 AS BIGINT) AS ms FROM s "
-    "UNION ALL SELECT f.session_id, f.frame_no, f.n, CASE WHEN f.rms > greatest(0.010, 2.2 * w.floor) THEN w.floor ELSE 0.95 * w.floor + 0.05 * f.rms END, CASE WHEN f.rms > greatest(0.010, 2.2 * w.floor) THEN f.ms ELSE w.spoke END, f.ms "
-    "FROM f JOIN w ON f.session_id = w.session_id AND f.n = w.n + 1) SELECT session_id, frame_no, ms - spoke <= 3600000 AS active FROM w WHERE n > 0"
+    f"WITH RECURSIVE f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session_id ORDER BY frame_no) AS n FROM {E} e), s AS (SELECT DISTINCT session_id FROM f), "
+    "w AS (SELECT session_id, CAST(0 AS BIGINT) AS frame_no, CAST(0 AS BIGINT) AS n, CAST(0.004 AS DOUBLE) AS floor, CAST(-100000000000000000 AS BIGINT) AS spoke, CAST(0 AS BIGINT) AS us FROM s "
+    "UNION ALL SELECT f.session_id, f.frame_no, f.n, CASE WHEN f.rms > greatest(0.010, 2.2 * w.floor) THEN w.floor ELSE 0.95 * w.floor + 0.05 * f.rms END, CASE WHEN f.rms > greatest(0.010, 2.2 * w.floor) THEN f.us ELSE w.spoke END, f.us "
+    "FROM f JOIN w ON f.session_id = w.session_id AND f.n = w.n + 1) SELECT session_id, frame_no, us - spoke <= 3600000000 AS active FROM w WHERE n > 0"
 )
 def st14_energy_gate(spark, sf):
     return to_its_end(streams.energy_gate(frames(spark, sf), 3600.0), "st14")

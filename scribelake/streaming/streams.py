@@ -273,19 +273,19 @@ class _Gate(StatefulProcessor):
         self.hold_s = hold_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "floor double, spoke double")
+        self.state = handle.getValueState("gate", "floor double, spoke long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        floor, spoke = self.state.get() if self.state.exists() else (0.004, -1e18)
+        floor, spoke = self.state.get() if self.state.exists() else (0.004, -(10**17))
         frame, active = pd.concat(list(rows)).sort_values("frame_no"), []
         for ts, rms in frame[["ts", "rms"]].itertuples(index=False):
-            at = pd.Timestamp(ts).value / 1e9
+            at = pd.Timestamp(ts).value // 1000
             if rms > max(0.010, 2.2 * floor):
                 spoke = at
             else:
                 floor = 0.95 * floor + 0.05 * rms
-            active.append(at - spoke <= self.hold_s)
-        self.state.update((float(floor), float(spoke)))
+            active.append(at - spoke <= self.hold_s * 1_000_000)
+        self.state.update((float(floor), int(spoke)))
         yield pd.DataFrame({"session_id": frame["session_id"], "frame_no": frame["frame_no"], "active": active})
 
     def close(self) -> None:
