@@ -8,7 +8,8 @@ a shard at most, however many documents there are. Only a spanning set of links
 
 Shard trees grow with the data in sum, so each is built where its searches run and is not broadcast.
 
-Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay. Documents with a null id
+Null and empty texts have fingerprint 0 and are linked like any other. Very long texts are hashed whole, the bits counted in
+runs of hashes. Repeated rows stay. Documents with a null id
 take part, and a component's id is the smallest id that is not null. An empty table gives an empty one. Other columns
 of docs are ignored.
 """

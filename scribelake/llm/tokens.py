@@ -1,8 +1,9 @@
 """Token ids of whole texts with a public word-level BPE vocabulary.
 
-The tokenizers library gives every id. White space separates its pre-tokens and is dropped, so a text's ids are the
-ids of its white-space separated pieces in a row; each worker keeps the pieces it has seen in a bounded memo and asks
-the library only for new ones.
+The tokenizers library gives every id. In the default vocabulary white space separates pre-tokens and is dropped, so a
+text's ids are the ids of its white-space separated pieces in a row; each worker keeps the pieces it has seen in a bounded
+memo and asks the library only for new ones. With a vocabulary whose ids for PROBES differ when they are put together
+from pieces, every text goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ DEFAULT_VOCABULARY = "word_bpe_49k.json"
 MEMO_ENTRIES = 700_000
 _TAIL = ",.;:!?%&*#$|"
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Letters in both cases, marks behind, before and within words, digits, accents, several blanks, and other scripts.
+PROBES = (
+    "Plain words, and MORE plain words!", "it's Don't 'S ''s we'll", "...a..b,.c! 12,3.4 x-y (z) [q]; word*** w%%", "éa ÉÜÑ straße Ǆ ﬁ", " two  blanks\nand\tmore ",
+    "日本語。テスト、مرحبا", "aB Cd EF ghijklmnopqrstuvwxyz0123456789",
+)
 _workers: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
@@ -55,6 +61,9 @@ class PieceEncoder:
         self.tokenize = self.library.model.tokenize  # of one pre-token, in the byte alphabet
         self.letter = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.memo: dict[str, bytes] = {}
+        self.by_pieces = True
+        self.by_pieces = self.encode(PROBES) == [self._whole(t) for t in PROBES]
+        self.memo.clear()
 
     def _bytes(self, ids) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()
@@ -88,7 +97,7 @@ class PieceEncoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif any(c in text for c in _ODD_SPACE):
+            elif not self.by_pieces or any(c in text for c in _ODD_SPACE):
                 out.append(self._whole(text))
             else:
                 if len(memo) > self.limit:

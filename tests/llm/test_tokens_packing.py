@@ -33,6 +33,23 @@ def test_encoder_equals_library():
         assert np.frombuffer(ids, "<u2").tolist() == e.library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_vocabularies_go_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    assert PieceEncoder(vocabulary_path()).by_pieces
+    letters = {chr(c): c - 31 for c in range(32, 127)} | {"?": 0}
+    cased = Tokenizer(models.WordLevel(letters, unk_token="?"))
+    cased.pre_tokenizer = pre_tokenizers.Split("", "isolated")
+    path = str(tmp_path / "cased.json")
+    cased.save(path)
+    assert json.load(open(path))
+    other = PieceEncoder(path)
+    assert not other.by_pieces
+    assert np.frombuffer(other.encode(["A b, c"])[0], "<u2").tolist() == cased.encode("A b, c", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_block_round_trip(kind):
     for ids in ([], [0], [1, 2**31, 2**32 - 1, 7], list(range(1000))):
