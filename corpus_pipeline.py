@@ -1,7 +1,11 @@
 """Corpus preparation: quality, near-duplicates, benchmark passages, personal data, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read as the next one's docs. All but the last return the columns of documents.
+Parquet and read as the next one's docs. All but the last return the columns of documents, whatever they are called.
+
+Null and empty texts go through each stage like any other: they are near-duplicates of one another, hold no passage and no
+personal data, and are packed as the end id alone if quality keeps them. Very long texts are worked on whole. Repeated rows are
+one document after near_duplicates, ties of ids going by a hash of the text. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -10,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scribelake.llm import decontamination, packing, pii, quality, simhash
-from scribelake.llm.common import materialize, read_table
+from scribelake.llm.common import materialize, read_table, unused
 from scribelake.llm.tokens import vocabulary_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score KEEP_FROM or more."""
-    scored = quality.with_quality(docs, quality.quality_model(spark, sf_dir), "__score")
-    return scored.where(F.col("__score") >= quality.KEEP_FROM).drop("__score")
+    score = unused(docs.columns, "score")[0]
+    scored = quality.with_quality(docs, quality.quality_model(spark, sf_dir), score)
+    return scored.where(F.col(score) >= quality.KEEP_FROM).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
