@@ -140,17 +140,15 @@ def best_fit(docs: DataFrame, capacity: int) -> DataFrame:
     spark = docs.sparkSession
     docs = materialize(docs.repartitionByRange(F.desc("length"), "rank").sortWithinPartitions(F.desc("length"), "rank"), "packing-docs")
     lengths = materialize(docs.groupBy("length").agg(F.lit(0).cast("long").alias("done"), F.count("*").alias("total")), "packing-lengths")
+    open_lengths = [r["length"] for r in lengths.select("length").collect()]  # capacity rows at most, here and below
     gaps, moves, opened, step = spark.createDataFrame([], GAPS), spark.createDataFrame([], MOVES), 0, 0
-    while True:
-        left = lengths.where("done < total")
-        roomiest = gaps.agg(F.max("room")).first()[0] or 0
-        longest, fitting = left.agg(F.max("length"), F.max(F.when(F.col("length") <= roomiest, F.col("length")))).first()
-        if longest is None:
-            return moves
+    while open_lengths:
         step += 1
-        opens_from = capacity // 2 + 1 if longest > capacity // 2 else 1
+        roomiest = gaps.agg(F.max("room")).first()[0] or 0
+        fitting = max((n for n in open_lengths if n <= roomiest), default=None)
+        opens_from = capacity // 2 + 1 if max(open_lengths) > capacity // 2 else 1
         rooms = materialize(_rooms(gaps, fitting or capacity), "packing-rooms")
-        sizes, offers = _sweep(left, rooms, capacity, roomiest, opens_from)
+        sizes, offers = _sweep(lengths.where("done < total"), rooms, capacity, roomiest, opens_from)
         openers = F.broadcast(sizes.where("opens > 0"))  # capacity rows at most
         first = F.col("rank") - F.col("done") - F.col("takes")  # of what opens nothing is placed in slots, and the other way round
         openers = docs.join(openers, docs["length"] == openers["size"]).where((first >= 0) & (first < F.col("opens")))
@@ -158,15 +156,17 @@ def best_fit(docs: DataFrame, capacity: int) -> DataFrame:
         made = openers.unionByName(_matches(docs, gaps, sizes, offers)) if fitting else openers
         made = materialize(made.select("length", "rank", "sequence_id", F.lit(step).alias("step"), "slot"), "packing-moves")
         moves = made if step == 1 else moves.unionByName(made)
-        opened += sizes.agg(F.sum("opens")).first()[0]
-        lengths = sizes.select(F.col("size").alias("length"), (F.col("done") + F.col("takes") + F.col("opens")).alias("done"), "total").where("total > 0")
-        shortest = lengths.where("done < total").agg(F.min("length")).first()[0]
-        if shortest is not None:
+        lengths = sizes.select(F.col("size").alias("length"), (F.col("done") + F.col("takes") + F.col("opens")).alias("done"), "total", "opens").where("total > 0")
+        now = lengths.collect()
+        opened += sum(r["opens"] for r in now)
+        lengths, open_lengths = lengths.drop("opens"), [r["length"] for r in now if r["done"] < r["total"]]
+        if open_lengths:
             taken = made.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
             rest = gaps.select("sequence_id", "room").join(taken, "sequence_id", "full").select("sequence_id", (F.coalesce("room", F.lit(capacity)) - F.coalesce("taken", F.lit(0))).alias("room"))
-            before, gaps = gaps, _sorted_gaps(rest.where(F.col("room") >= shortest), "packing-gaps")
+            before, gaps = gaps, _sorted_gaps(rest.where(F.col("room") >= min(open_lengths)), "packing-gaps")
             if step > 1:
                 discard(before)
+    return moves
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
