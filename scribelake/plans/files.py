@@ -187,8 +187,8 @@ def j21_passthrough(spark, sf):
 
 @query()
 def j20_reconcile_pairs(spark, sf):
-    """Pairs of all items of an order with those of a second extraction, in which every third item is missing; tests
-    compare the greedy pairing with plain Python."""
+    """Pairs of all items of an order with those of a second extraction, in which every third item is missing. SQL cannot
+    express the greedy pairing; x14_reconcile_all_items is compared with plain Python."""
     a = R._all_items(spark, sf)
     b = a.where("item_no % 3 != 0").withColumn("medicine", F.split("medicine", " ")[0])
     return reconcile.pair(a, b).select("rx_id", "pos", c("a.item_no").alias("item_no"), c("b.item_no").alias("other_no"))
@@ -221,7 +221,7 @@ def t01_top_matches(spark, sf):
 
 @query()
 def t02_top_suggestions(spark, sf):
-    """Suggestions of distinct (base name, first strength) for misspelt names; tests check that they are distinct and ranked."""
+    """Suggestions of distinct (base name, first strength) for misspelt names."""
     return lookup.did_you_mean(S.names(spark, sf), S.catalogue(spark, sf), limit=3)
 
 

@@ -150,7 +150,7 @@ def st08_bounded_buffer(spark, sf):
 
 @query()
 def st09_commit_on_silence(spark, sf):
-    """Turns as decoded windows, every third without a pause; tests compare it with plain Python."""
+    """Turns as decoded windows, every third without a pause."""
     rows = stream(spark, sf, "conversations").selectExpr("conv_id as session_id", "turn as seq", "text", "case when turn % 3 = 2 then 0.1D else 1.0D end as silence_s")
     return to_its_end(streams.commit_on_silence(rows), "st09")
 

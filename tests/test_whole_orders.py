@@ -89,3 +89,27 @@ def test_case_failures(spark, orders):
         want.add((rx, ";".join(more + sorted(failures)), not more and not failures))
     assert {tuple(r) for r in QUERIES["a10_case_failures_all_items"](spark, folder).collect()} == want
     assert {w[2] for w in want} == {True, False}
+
+
+def test_pairs_and_suggestions(spark, orders):
+    """Greedy pairs against plain Python; suggestions are distinct by base name and dose, ranked from 1, three at most."""
+    folder, found = orders
+    want = set()
+    for rx, items in found.items():
+        free = [i for i in items if i["no"] % 3]
+        for x in items:
+            p = x["medicine"].split()[0].upper()
+            y = next((z for z in free if z["medicine"].split()[0].upper() in x["medicine"].upper() or p in z["medicine"].split()[0].upper()), None)
+            if y:
+                free.remove(y)
+            want.add((rx, x["no"], y and y["no"]))
+        want |= {(rx, None, z["no"]) for z in free}
+    got = {(r["rx_id"], r["item_no"], r["other_no"]) for r in QUERIES["j20_reconcile_pairs"](spark, folder).collect()}
+    assert got == want
+    by = {}
+    for r in QUERIES["t02_top_suggestions"](spark, folder).collect():
+        by.setdefault(r["key"], []).append((r["rank"], r["base_name"], r["dose"], r["confidence"]))
+    for rows in by.values():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 3
+        assert len({r[1:3] for r in rows}) == len(rows) and [r[3] for r in rows] == sorted((r[3] for r in rows), reverse=True)
