@@ -32,6 +32,32 @@ def substring_of(c: Column, pattern: str) -> Column:
     return F.regexp_substr(c, F.lit(pattern if pattern.startswith("(?i)") else "(?i)" + pattern))
 
 
+def match_spans(c: Column, pattern: str) -> Column:
+    """array<struct(start, end, text)> of all matches in order, case aside; start and end count characters from 0. The pattern
+    must not match ''."""
+    pattern = pattern if pattern.startswith("(?i)") else "(?i)" + pattern
+    between = F.split(c, pattern, -1)  # one part more than matches
+
+    def place(done: Column, text: Column) -> Column:
+        start = done["end"] + F.length(F.get(between, F.size(done["spans"])))
+        end = start + F.length(text)
+        return F.struct(end.alias("end"), F.concat(done["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), text.alias("text")))).alias("spans"))
+
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("spans"))
+    return F.aggregate(F.regexp_extract_all(c, F.lit(pattern), 0), none, place, lambda done: done["spans"])
+
+
+def distinct_case(values: Column) -> Column:
+    """The first of values that are equal case aside, in order."""
+    low = F.transform(values, F.lower)
+    return F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
+def any_of(c: Column, words) -> Column:
+    """c contains one of the words."""
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+
+
 def let(c: Column, f) -> Column:
     """f of c, with c evaluated once however often f names it."""
     return F.transform(F.array(c), f)[0]

@@ -276,7 +276,11 @@ def extract_fields(clauses: DataFrame, raw: str = "raw_text", policy: str = "sta
 def extract(transcripts: DataFrame, cat: C.Catalogue, policy: str = "stated") -> DataFrame:
     """rx_id, text -> one row an item: rx_id, item_no, medicine, drug_id, strength, dose, dose_unit, frequency, duration,
     route, instruction, additional_instruction, did_you_mean, available_routes, confidence, raw_text."""
-    rows = transcripts.select("rx_id", F.col("text").alias("raw_text"), normalize_text(F.col("text")).alias("norm_text"))
+    return extract_normalized(transcripts.select("rx_id", F.col("text").alias("raw_text"), normalize_text(F.col("text")).alias("norm_text")), cat, policy)
+
+
+def extract_normalized(rows: DataFrame, cat: C.Catalogue, policy: str = "stated") -> DataFrame:
+    """As extract, of rx_id, raw_text, norm_text."""
     rows = S.segment(rows, "norm_text").drop("start_char", "end_char")
     rows = extract_fields(rows, policy=policy)
     by = ["rx_id", "clause_id"]

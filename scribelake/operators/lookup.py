@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..storage import materialize
 from . import formulary as C
+from .containment import contained, either_contains
 
 
 def top(df: DataFrame, by: list, order: list, n: int, rank: str = "rank") -> DataFrame:
@@ -102,7 +103,8 @@ def find_by_brand(keys: DataFrame, cat: C.Catalogue, limit: int = 10) -> DataFra
     """key, drug_id, stage, rank: brand products of the brand, then of brands that contain the key."""
     asked = _asked(keys).withColumn("q", N.clean_base_name(F.col("key"))).where("q != ''")
     names = _named(cat, "brand_name").where("drug_type = 'b'")
-    hits = asked.join(names, F.contains(names["name"], asked["q"]))
+    pairs = contained(asked.select("q"), names.select("name")).toDF("q", "name")
+    hits = asked.join(pairs, "q").join(names, "name")
     return _staged(hits.withColumn("stage", F.when(F.col("name") == F.col("q"), 1).otherwise(2)), limit)
 
 
@@ -110,7 +112,8 @@ def find_by_generic(keys: DataFrame, cat: C.Catalogue, limit: int = 10) -> DataF
     """key, drug_id, stage, rank: products of the generic, then of generics that contain or are in it, then of the base name."""
     asked = _asked(keys).withColumn("q", N.clean_base_name(F.col("key"))).where("q != ''")
     names = _named(cat, "generic_name")
-    hits = asked.join(names, F.contains(names["name"], asked["q"]) | F.contains(asked["q"], names["name"]))
+    pairs = either_contains(asked.select("q"), names.select("name")).toDF("q", "name")
+    hits = asked.join(pairs, "q").join(names, "name")
     hits = hits.withColumn("stage", F.when(F.col("name") == F.col("q"), 1).otherwise(2)).select("key", "drug_id", "stage", "place", "ord")
     bases = cat.bases
     own = asked.join(bases, asked["q"] == bases["base_key"]).select("key", "drug_id", F.lit(3).alias("stage"), F.lit(0).cast("long").alias("place"), "ord")
@@ -126,8 +129,8 @@ def resolve(keys: DataFrame, cat: C.Catalogue) -> DataFrame:
 def strengths_for_base(keys: DataFrame, cat: C.Catalogue) -> DataFrame:
     """key, strengths of all base names that contain the key or are in it."""
     asked = _asked(keys).withColumn("q", N.clean_base_name(F.col("key"))).where("q != ''")
-    known = cat.strengths
-    hits = asked.join(known, F.contains(known["base_key"], asked["q"]) | F.contains(asked["q"], known["base_key"]))
+    pairs = either_contains(asked.select("q"), cat.strengths.select("base_key")).toDF("q", "base_key")
+    hits = asked.join(pairs, "q").join(cat.strengths, "base_key")
     return hits.select("key", F.explode("strengths").alias("s")).groupBy("key").agg(N.sort_strengths(F.collect_set("s")).alias("strengths"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as G
 from ..functions import text as T
-from ..operators import assemble, clauses, evaluate, extract, frames, history, lookup, reconcile, validate
+from ..operators import assemble, clauses, evaluate, extract, frames, history, lookup, reconcile, second, validate
 from ..operators import formulary as C
 from ..sources import writers
 from . import live
@@ -312,6 +312,49 @@ def x13_extract(spark, sf):
     return out.select("rx_id", "item_no", "medicine", "strength", "frequency", "duration", "instruction")
 
 
+# Numbers that the catalogue has for the name or not, or two doses.
+_SAID_B = "concat('Take ', p_name, ' ', {number}, substr(text, length(concat('Take ', p_name, ' ', CAST(p_size AS {S}), ' mg')) + 1))"
+_NUMBER_B = "CASE line % 3 WHEN 0 THEN concat(CAST(p_size AS {S}), ' mg') WHEN 1 THEN concat(CAST(p_size * 7 % 90 + 1 AS {S}), ' mg') ELSE concat('500 mg ', CAST(p_size AS {S}), ' mg') END"
+_IN_ORDER = ("line", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "said")
+
+
+def _spoken(rows: DataFrame) -> DataFrame:
+    """rx_id, text: what is said of the items of an order, one behind the other."""
+    said = F.array_sort(F.collect_list(F.struct(*_IN_ORDER)))
+    return rows.groupBy("rx_id").agg(F.array_join(F.transform(said, lambda t: t["said"]), " ").alias("text"))
+
+
+@query(
+    f"WITH d AS (SELECT *, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY {S.ORDER}) AS INT) AS item_no, CAST(p_size * 7 % 90 + 1 AS VARCHAR) AS odd FROM {D} d), "
+    f"m AS (SELECT n.p_name, m.s FROM (SELECT DISTINCT p_name FROM part) n JOIN {_SM} m ON contains(m.base_key, upper(n.p_name)) OR contains(upper(n.p_name), m.base_key)), k AS (SELECT DISTINCT p_name, s FROM m) "
+    "SELECT rx_id, item_no, CASE line % 3 WHEN 0 THEN concat(d.p_name, ' ', truth_strength) WHEN 1 THEN concat(d.p_name, CASE WHEN k.s IS NOT NULL THEN concat(' ', odd, ' mg') ELSE '' END) ELSE concat(d.p_name, ' 500 mg') END AS medicine, "
+    "CASE WHEN line % 3 = 1 AND k.s IS NULL THEN concat(odd, ' mg') WHEN line % 3 = 2 THEN truth_strength END AS strength, "
+    "CASE line % 5 WHEN 0 THEN 'twice daily' WHEN 1 THEN '1-0-1' WHEN 2 THEN 'TID' WHEN 3 THEN 'once daily' ELSE 'every 6 hours' END AS frequency, truth_duration AS duration, 'oral' AS route "
+    "FROM d LEFT JOIN k ON k.p_name = d.p_name AND k.s = odd"
+)
+def x11_extract_b(spark, sf):
+    rows = S.dictation(spark, sf).withColumn("said", F.expr(_SAID_B.format(number=_NUMBER_B.format(S="string"), S="string")))
+    return second.extract_b(_spoken(rows), S.catalogue(spark, sf)).select("rx_id", "item_no", "medicine", "strength", "frequency", "duration", "route")
+
+
+_ADVISED = "CASE line % 4 WHEN 0 THEN 'Meet the doctor after 5 days' WHEN 1 THEN 'Avoid alcohol while on this course' END"
+
+
+@query(
+    f"WITH d AS (SELECT *, CAST(row_number() OVER (PARTITION BY rx_id ORDER BY {S.ORDER}) AS INT) AS item_no, count(*) OVER (PARTITION BY rx_id) AS n, split_part(p_name, ' ', 1) AS word, {_ADVISED} AS advice FROM {D} d), "
+    "a AS (SELECT DISTINCT a.rx_id, a.item_no FROM d a JOIN d s ON a.rx_id = s.rx_id AND contains(s.text, 'after meals') AND (a.item_no = s.item_no OR (contains(lower(s.text), a.word) "
+    "AND NOT EXISTS (SELECT 1 FROM d o WHERE o.rx_id = a.rx_id AND o.item_no != a.item_no AND o.word != a.word AND contains(lower(s.text), o.word))))) "
+    "SELECT d.rx_id, d.item_no AS medicine_id, word AS stem, CASE WHEN a.item_no IS NULL THEN 'NONE' ELSE '1. after meals' END AS instruction, "
+    "CASE WHEN d.item_no = n THEN concat('1. Drink plenty of fluids', ' 2. ' || advice) ELSE coalesce('1. ' || advice, 'NONE') END AS additional_instruction FROM d LEFT JOIN a USING (rx_id, item_no)"
+)
+def x10_extract_instructions_ordered(spark, sf):
+    """Advice before the first medicine goes to the last, advice behind one to that, and advice on a class to none of these."""
+    advice = F.coalesce(F.expr(_ADVISED), F.when(c("line") % 4 == 2, "Complete the full course of the antibiotic"))
+    rows = S.dictation(spark, sf).withColumn("said", F.concat("text", F.coalesce(F.concat(F.lit(" "), advice, F.lit(".")), F.lit(""))))
+    texts = _spoken(rows).withColumn("text", F.concat(F.lit("Drink plenty of fluids. "), "text"))
+    return second.instructions(second.segments(texts))
+
+
 def _single(spark, sf) -> DataFrame:
     """The first item of each order as an item of its own: rx_id, item_no and the fields."""
     rows = S.dictation(spark, sf).groupBy("rx_id").agg(F.min(F.struct("line", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "p_name", "truth_strength", "truth_frequency", "truth_duration", "truth_instruction", "text")).alias("t"))
