@@ -9,7 +9,8 @@ them together. A document of up to CHUNK characters is one fragment and is align
 
 A range is cut anywhere, also within words: each task reads on to the nearest boundary on either side over which neither
 tokenizer merges (a blank between two characters that are no blanks), and keeps the tokens that end in its range. Where
-no such boundary lies within HALO characters of a cut, that cut is left out. This holds for vocabularies whose B has no piece with a blank
+no such boundary lies within HALO characters of a cut, that cut is left out. Within a range, words between such boundaries are tokenized
+once a worker while its bounded memo has them. This holds for vocabularies whose B has no piece with a blank
 behind another character, and whose A splits by the byte-level pattern without normalizer; with others nothing is cut.
 
 Pairs of ids that can be linked are few: as they end together, the bytes of one are the end of the other's. So there are no
@@ -27,6 +28,7 @@ import hashlib
 import json
 import math
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,6 +45,10 @@ CHUNK = 1 << 15
 HALO = 1 << 12
 FAN = 8
 BATCH_CHARS = 1 << 20  # of texts given to the tokenizers at once
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 64  # words that a worker keeps the tokens of, and the longest of these
+#: Where this is not found, every blank is a boundary over which neither tokenizer merges.
+ODD_BLANKS = re.compile(r"\s\s|\A\s|\s\Z")
+BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = "▁"
 _workers: dict[tuple[str, str], "Aligner"] = {}
 
@@ -119,18 +125,37 @@ class Aligner:
         self.many = len(pieces)
         # "id," or, at the end of a group, "id|" for A and "id;" for B.
         self.shown = [f"{i}{end}" for n, ends in ((len(self.a_bytes), ",|"), (self.many, ",;")) for i in range(n) for end in ends]
+        self.memo: dict[str, tuple[bytes, bytes, bool]] = {}
         kept = json.loads(self.a.to_str())
         split = kept["pre_tokenizer"] or {}
         self.cuttable = kept["normalizer"] is None and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.cuttable &= not any(_BLANK in p.lstrip(_BLANK) for p in pieces)
 
+    def _tokens(self, words: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes, bool]]]:
+        """Each word, behind a blank, with its ids of both tokenizers and whether both give its bytes."""
+        for word, a, b in zip(words, self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1)):
+            raw, a = (" " + word).encode(), a.ids
+            ok = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+            yield word, (np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), ok)
+
     def encode(self, spaced: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-        """Ids and ends of the A and B tokens of each string, which begins with a blank; whether both give its bytes."""
-        for text, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode([s[1:] for s in spaced], num_threads=1)):
-            raw, ids = text.encode(), a.ids
-            ok = b"".join([self.a_bytes[i] for i in ids]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
-            a_ids, b_ids = np.array(ids, np.int64), np.array(b, np.int64)
-            yield a_ids, np.cumsum(self.a_size[a_ids]), b_ids, np.cumsum(self.b_size[b_ids]), ok
+        """Ids and ends of the A and B tokens of each string, which begins with a blank; whether both give its bytes.
+
+        A string is taken apart at the boundaries over which no token goes. The words met first stay in a memo, as these are
+        the frequent ones; others are tokenized once a call.
+        """
+        texts, memo = [s[1:] for s in spaced], self.memo
+        parts = [(BOUNDARY.split(t) if ODD_BLANKS.search(t) else t.split(" ")) if self.cuttable else [t] for t in texts]
+        here = dict(self._tokens(list({w: None for words in parts for w in words if w not in memo})))
+        for words in parts:
+            a, b, ok = zip(*[memo.get(w) or here[w] for w in words])
+            a_ids, b_ids = np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.frombuffer(b"".join(b), "<u4").astype(np.int64)
+            yield a_ids, np.cumsum(self.a_size[a_ids]), b_ids, np.cumsum(self.b_size[b_ids]), all(ok)
+        for word, tokens in here.items():
+            if len(memo) >= MEMO_ENTRIES:
+                break
+            if len(word) <= MEMO_CHARS:
+                memo[word] = tokens
 
     def shared(self, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where among the A and where among the B tokens the common ends are."""
