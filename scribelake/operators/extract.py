@@ -194,7 +194,12 @@ def extract_strength(clauses: DataFrame, cat: C.Catalogue, by: list[str]) -> Dat
     unit = F.coalesce(F.nullif(F.regexp_extract(text, COMBINED, 4), F.lit("")), F.nullif(F.regexp_extract(text, COMBINED, 2), F.lit("")), F.lit("mg"))
     rows = rows.withColumn("__a", F.nullif(ca, F.lit("")).cast("double")).withColumn("__b2", F.nullif(cb, F.lit("")).cast("double")).withColumn("__cu", unit)
     asked = rows.where(F.col("__a").isNotNull() & F.col("__b2").isNotNull() & F.col("medicine").isNotNull()).select(F.col("medicine").alias("key"), F.col("__a").alias("a"), F.col("__b2").alias("b"))
-    sums = L.find_composite(asked, cat).select(F.col("key").alias("__k"), F.col("a").alias("__sa"), F.col("b").alias("__sb"), F.col("drug_id").alias("composite_id"))
+    if asked.isEmpty():  # a plan for the sums takes longer than most extractions
+        asked = asked.sparkSession.createDataFrame([], asked.schema)
+        sums = asked.select("key", "a", "b", F.lit(None).cast("string").alias("drug_id"))
+    else:
+        sums = L.find_composite(asked, cat)
+    sums = sums.select(F.col("key").alias("__k"), F.col("a").alias("__sa"), F.col("b").alias("__sb"), F.col("drug_id").alias("composite_id"))
     rows = rows.join(sums, (F.col("medicine") == F.col("__k")) & (F.col("__a") == F.col("__sa")) & (F.col("__b2") == F.col("__sb")), "left")
     substances = F.filter("__doses", lambda d: ~d["count"])
     counts = F.filter("__doses", lambda d: d["count"])

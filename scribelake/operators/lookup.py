@@ -5,8 +5,6 @@ keys has a column key; results have key and what is found. Equal keys are looked
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +56,23 @@ def find_fuzzy(keys: DataFrame, cat: C.Catalogue, min_confidence: float = 0.68,
     without blanks) and are then compared by edit distance; the blocks are an equi-join, so no key meets the whole
     catalogue. Keys that are names themselves find these alone, with confidence 1.
     """
-    asked = _asked(keys).withColumn("base", N.clean_base_name(F.col("key"))).where(F.length("base") >= 3)
-    asked = asked.withColumn("solid", F.regexp_replace("base", r"\s+", "")).withColumn("many", F.col("base").contains(" "))
+    asked = _based(_asked(keys))
     exact = find_normalized(asked, cat).select("key", "drug_id", F.lit("NORMALIZED").alias("matched_via"))
     left = asked.join(exact, "key", "left_anti")
     joined = find_normalized(left.where("many"), cat, F.regexp_replace(N.clean_base_name(F.col("key")), r"\s+", "")).select("key", "drug_id", F.lit("NORMALIZED_CONCAT").alias("matched_via"))
     left = materialize(left.join(joined, "key", "left_anti"), "fuzzy-asked")
+    sure = exact.unionByName(joined).select("key", "drug_id", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("confidence"), "matched_via", F.lit(1).alias("rank"))
+    return sure.unionByName(_near(left, cat, min_confidence, limit))
+
+
+def _based(asked: DataFrame) -> DataFrame:
+    """asked (key) and base, solid (without blanks), many (whether base has blanks), of names of three letters or more."""
+    asked = asked.withColumn("base", N.clean_base_name(F.col("key"))).where(F.length("base") >= 3)
+    return asked.withColumn("solid", F.regexp_replace("base", r"\s+", "")).withColumn("many", F.col("base").contains(" "))
+
+
+def _near(left: DataFrame, cat: C.Catalogue, min_confidence: float, limit: int) -> DataFrame:
+    """What find_fuzzy gives for keys (of _based) that are no names themselves."""
     left = left.withColumn("pb", N.phonetic_backbone(F.col("base"))).withColumn("pb2", N.phonetic_backbone(F.col("solid"))).withColumn("sx", N.soundex_ph(F.col("base")))
     block = lambda kind, c: F.struct(F.lit(kind).alias("bucket"), c.alias("bucket_key"))
     blocks = F.array_distinct(F.array(
@@ -82,9 +91,7 @@ def find_fuzzy(keys: DataFrame, cat: C.Catalogue, min_confidence: float = 0.68,
     scored = pairs.select("key", "base_key", "similarity", "confidence", via.alias("matched_via")).join(cat.bases, "base_key")
     order = [F.col("confidence").desc(), F.col("similarity").desc(), F.col("base_key"), F.col("ord"), F.col("drug_id")]
     single = top(scored, ["key", "drug_id"], order, 1, "__n").drop("__n")
-    ranked = top(single, ["key"], order, limit).select("key", "drug_id", "similarity", "confidence", "matched_via", "rank")
-    sure = exact.unionByName(joined).select("key", "drug_id", F.lit(1.0).alias("similarity"), F.lit(1.0).alias("confidence"), "matched_via", F.lit(1).alias("rank"))
-    return sure.unionByName(ranked)
+    return top(single, ["key"], order, limit).select("key", "drug_id", "similarity", "confidence", "matched_via", "rank")
 
 
 def _staged(found: DataFrame, limit: int) -> DataFrame:
@@ -217,34 +224,43 @@ def find_composite(asked: DataFrame, cat: C.Catalogue) -> DataFrame:
     return top(pool.where(fits), ["key", "a", "b"], [F.col("ord"), F.col("drug_id")], 1).select("key", "a", "b", "drug_id")
 
 
-def ground_medicine(candidates: DataFrame, cat: C.Catalogue) -> DataFrame:
-    """candidates (key) -> key, drug_id, confidence, rung, suggested: a name itself 0.95, joined 0.95, by sound, by its
-    first word 0.90, or by the sound of that. Each rung looks up only what those before left open."""
-    rows = _asked(candidates).where(N.is_valid_medication(F.col("key")))
-
-    def names(df: DataFrame) -> DataFrame:
-        exact = find_exact(df, cat).select("key", "drug_id")
-        return exact.unionByName(find_normalized(df.join(exact, "key", "left_anti"), cat).select("key", "drug_id"))
+def _names_of(name: Column, rung: int) -> Column:
+    """What to look up for a name: as it is written (code, name, id, base), then cleaned (base, brand, generic)."""
+    clean = N.clean_base_name(name)
+    kinds = (("code", F.upper(F.trim(name))), ("name", F.upper(F.trim(name))), ("id", F.trim(name)), ("base", F.upper(F.trim(name))), ("base", clean), ("brand", clean), ("generic", clean))
+    return F.array(*[F.struct(F.lit(rung).alias("rung"), F.lit(i).alias("place"), F.lit(kind).alias("kind"), k.alias("k")) for i, (kind, k) in enumerate(kinds)])
 
-    def rung(found: DataFrame, n: int, confidence, suggested: bool) -> DataFrame:
-        return found.select("key", "drug_id", confidence.alias("confidence"), F.lit(n).alias("rung"), F.lit(suggested).alias("suggested"))
 
-    def through(df: DataFrame, column: Column, f) -> DataFrame:
-        """f's results for another column's values, under the key they came from."""
-        alias = df.select(F.col("key").alias("own"), column.alias("key"))
-        return alias.join(f(alias), "key").drop("key").withColumnRenamed("own", "key")
+def ground_medicine(candidates: DataFrame, cat: C.Catalogue) -> DataFrame:
+    """candidates (key) -> key, drug_id, confidence, rung, suggested: a name itself 0.95, joined 0.95, by sound, by its
+    first word 0.90, or by the sound of that.
 
-    rows = materialize(rows, "asked")
-    done = [materialize(rung(names(rows), 1, F.lit(0.95), False), "rung-1")]
-    left = lambda: rows.join(reduce(DataFrame.unionByName, [d.select("key") for d in done]), "key", "left_anti")
-    joined = through(left().where(F.col("key").contains(" ")), F.regexp_replace("key", r"\s+", ""), names)
-    done.append(materialize(rung(joined, 2, F.lit(0.95), False), "rung-2"))
-    done.append(materialize(rung(did_you_mean(left(), cat, 1, 0.55), 3, F.col("confidence"), True), "rung-3"))
+    All names that a key may be found by are looked up in one join with the catalogue's keys, of which the lowest rung
+    counts; then one fuzzy search takes what is left.
+    """
+    rows = _asked(candidates).where(N.is_valid_medication(F.col("key")))
     first = F.split(F.trim("key"), r"\s+")[0]
-    worded = lambda: left().where(F.trim("key").contains(" ") & (F.length(first) >= 4) & N.is_valid_medication(first))
-    done.append(materialize(rung(through(worded(), first, names), 4, F.lit(0.90), False), "rung-4"))
-    done.append(rung(through(worded(), first, lambda df: did_you_mean(df, cat, 1, 0.60)), 5, F.col("confidence"), True))
-    return reduce(DataFrame.unionByName, done)
+    rows = rows.withColumn("first", F.when(F.trim("key").contains(" ") & (F.length(first) >= 4) & N.is_valid_medication(first), first)).withColumn("spaced", F.col("key").contains(" "))
+    solid = F.regexp_replace(N.clean_base_name(F.col("key")), r"\s+", "")
+    heard = F.filter(_names_of(solid, 3), lambda n: n["place"] >= 4)  # by sound, a name without blanks is a sure hit too
+    heard = F.when(N.clean_base_name(F.col("key")).contains(" ") & (F.length(N.clean_base_name(F.col("key"))) >= 3), heard)
+    joined, worded = F.when(F.col("spaced"), _names_of(F.regexp_replace("key", r"\s+", ""), 2)), F.when(F.col("first").isNotNull(), _names_of(F.col("first"), 4))
+    every = F.flatten(F.array_compact(F.array(_names_of(F.col("key"), 1), joined, heard, worded)))
+    wanted = rows.select("key", "first", F.explode(every).alias("n")).select("key", "first", "n.*").where("k != ''")
+    firsts = cat.firsts.select("kind", F.col("key").alias("k"), "drug_id")
+    found = wanted.join(firsts, ["kind", "k"], "left").groupBy("key", "first")
+    found = materialize(found.agg(F.min(F.when(F.col("drug_id").isNotNull(), F.struct("rung", "place", "drug_id"))).alias("f")), "ladder")
+    sure = F.col("f.rung") <= 3
+    left = found.where(F.coalesce(~sure, F.lit(True)))
+    by_sound = F.array_compact(F.array(F.struct(F.lit(3).alias("rung"), F.col("key").alias("sound")), F.when(F.col("first").isNotNull() & F.col("f").isNull(), F.struct(F.lit(5).alias("rung"), F.col("first").alias("sound")))))
+    asked = left.select("key", F.explode(by_sound).alias("s")).select("key", "s.*")
+    near = _near(_based(_asked(asked.select(F.col("sound").alias("key")))), cat, 0.55, 1).select(F.col("key").alias("sound"), "drug_id", "confidence")
+    near = asked.join(near, "sound").where((F.col("rung") == 3) | (F.col("confidence") >= 0.60))
+    confidence = F.when(F.col("f.rung") == 3, 1.0).when(F.col("f.rung") == 4, 0.90).otherwise(0.95)
+    rungs = found.where("f is not null").select("key", F.struct(F.col("f.rung").alias("rung"), F.col("f.drug_id").alias("drug_id"), confidence.alias("confidence"), (F.col("f.rung") == 3).alias("suggested")).alias("r"))
+    rungs = rungs.unionByName(near.select("key", F.struct("rung", "drug_id", F.round("confidence", 3).alias("confidence"), F.lit(True).alias("suggested")).alias("r")))
+    best = rungs.groupBy("key").agg(F.min("r").alias("r"))
+    return best.select("key", "r.drug_id", "r.confidence", "r.rung", "r.suggested")
 
 
 def composite_options(asked: DataFrame, cat: C.Catalogue, limit: int = 3) -> DataFrame:

@@ -44,8 +44,9 @@ def dictation_of(spark: SparkSession, lineitem: DataFrame, part: DataFrame) -> D
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rx_id, text: the items of an order, in order, one sentence each."""
-    rows = dictation(spark, sf_dir)
+    """rx_id, text: the items of an order, in order, one sentence each; in as many partitions as shuffles have, since the work on
+    a text is large against its size."""
+    rows = dictation(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rx_id")
     texts = F.array_sort(F.collect_list(F.struct("line", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "text")))
     return rows.groupBy("rx_id").agg(F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text"))
 
