@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_expected
+from .ranges import order_statistics
 
 FIELDS = ("medicine", "strength", "frequency", "duration", "route")
 
@@ -64,18 +67,25 @@ def hallucination_counters(pairs: DataFrame, known: Column, raw: Column) -> Data
 
 
 def latency_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, mean, min, p50, p95, p99, max (interpolated), rounded to 2 places."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+    """count, mean, min, p50, p95, p99, max (interpolated), rounded to 2 places. Groups of any size."""
+    rows, keys = (df, list(by)) if by else (df.withColumn("__all", F.lit(0)), ["__all"])
     r = lambda c: F.round(c, 2)
-    out = df.groupBy(*by).agg(F.count(value).alias("count"), r(F.avg(value)).alias("mean"), r(F.min(value)).alias("min"), p.alias("p"), r(F.max(value)).alias("max"))
-    return out.select(*by, "count", "mean", "min", r(F.col("p")[0]).alias("p50"), r(F.col("p")[1]).alias("p95"), r(F.col("p")[2]).alias("p99"), "max")
+    out = rows.groupBy(*keys).agg(F.count(value).alias("count"), r(F.avg(value)).alias("mean"), r(F.min(value)).alias("min"), r(F.max(value)).alias("max"))
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    low = {f"__{p}": lambda n, q=q: F.floor(q * (n - 1)) for p, q in shares.items()}
+    high = {f"__{p}_next": lambda n, q=q: F.ceil(q * (n - 1)) for p, q in shares.items()}
+    found = order_statistics(rows, value, keys, low | high)
+    found = found.withColumnsRenamed({c: f"__of_{c}" for c in keys})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys])
+    place = lambda q: q * (F.col("count") - 1)
+    between = lambda p, q: r((F.floor(place(q)) + 1 - place(q)) * F.col(f"__{p}") + (place(q) - F.floor(place(q))) * F.col(f"__{p}_next")).alias(p)
+    return out.join(found, same, "left").select(*by, "count", "mean", "min", *[between(p, q) for p, q in shares.items()], "max")
 
 
 def p95_nearest_rank(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """The value at place int(0.95 n) of each sorted group, counted from 0."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("__k"), F.count(value).over(w).alias("__n"))
-    return ranked.where(F.col("__k") == F.floor(0.95 * F.col("__n")) + 1).select(*by, F.col(value).alias("p95"))
+    """The value at place int(0.95 n) of each sorted group, counted from 0. Groups of any size."""
+    rows, keys = (df, list(by)) if by else (df.withColumn("__all", F.lit(0)), ["__all"])
+    return order_statistics(rows, value, keys, {"p95": lambda n: F.floor(0.95 * n)}).select(*by, "p95")
 
 
 def rtf_summary(df: DataFrame, latency: str, duration: str, *by: str) -> DataFrame:

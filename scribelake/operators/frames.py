@@ -8,6 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+from .ranges import running
+
 
 class Rule(NamedTuple):
     """When frames are speech. A frame is loud above `threshold` and above `ratio` noise floors, with few zero crossings;
@@ -123,10 +126,35 @@ def state_transitions(flags: DataFrame) -> DataFrame:
     return flags.withColumn("__before", before).where(F.col("is_speech") != F.col("__before")).drop("__before")
 
 
-def running_transcript(sentences: DataFrame, by: str = "session_id", order: str = "seq", text: str = "text") -> DataFrame:
-    """sentences and transcript: all texts of the session so far."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sentences.withColumn("transcript", F.array_join(F.collect_list(text).over(w), " "))
+TRANSCRIPT_CHUNK = 1 << 14  # characters of a chunk, and of the sentence that crosses its end
+
+
+def transcript_offsets(sentences: DataFrame, by: str = "session_id", order: str = "seq", text: str = "text") -> DataFrame:
+    """sentences and __end: how long the session's transcript is up to each, a blank between sentences. Null texts add nothing."""
+    size = F.coalesce(F.length(text).cast("long") + 1, F.lit(0))
+    return running(sentences, [by], [order], size, "__end").withColumn("__end", F.greatest(F.lit(0), F.col("__end") - 1))
+
+
+def transcript_chunks(offsets: DataFrame, by: str = "session_id", order: str = "seq", text: str = "text", chunk: int = TRANSCRIPT_CHUNK) -> DataFrame:
+    """by, __chunk, __begin, __text: each session's transcript in chunks of bounded size; __begin is the first one's place."""
+    begin = F.col("__end") - F.length(text)
+    rows = offsets.where(F.col(text).isNotNull()).select(by, order, F.col(text).alias("__said"), begin.alias("__begin"), F.floor(begin / chunk).alias("__chunk"))
+    said = F.transform(F.array_sort(F.collect_list(F.struct("__begin", order, "__said"))), lambda s: s["__said"])
+    return rows.groupBy(by, "__chunk").agg(F.min("__begin").alias("__begin"), F.array_join(said, " ").alias("__text"))
+
+
+def running_transcript(sentences: DataFrame, by: str = "session_id", order: str = "seq", text: str = "text", chunk: int = TRANSCRIPT_CHUNK) -> DataFrame:
+    """sentences and transcript: all texts of the session so far.
+
+    What is kept a sentence is how long the transcript is up to it; the texts are kept once, in chunks, and put together
+    for the rows that are read.
+    """
+    offsets = materialize(transcript_offsets(sentences, by, order, text).withColumn("__row", F.monotonically_increasing_id()), "transcript-offsets")
+    chunks = transcript_chunks(offsets, by, order, text, chunk).withColumnRenamed(by, "__by")
+    parts = offsets.select(by, "__row", "__end").join(chunks, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__begin") <= F.col("__end")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__chunk", "__text"))), lambda p: p["__text"]), " ")
+    read = parts.groupBy("__row").agg(F.substring(whole, F.lit(1), F.first("__end").cast("int")).alias("transcript"))
+    return offsets.join(read, "__row", "left").select(*sentences.columns, F.coalesce("transcript", F.lit("")).alias("transcript"))
 
 
 def has_speech(flags: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import signal as G
 from ..functions import text as T
 from ..operators import assemble, clauses, evaluate, extract, frames, history, lookup, reconcile, second, validate
 from ..operators import formulary as C
+from ..operators.ranges import running
 from ..sources import writers
 from . import live
 from . import tables as S
@@ -773,10 +774,21 @@ def p17_suppress_silent(spark, sf):
     return frames.suppress_silent(f.select("session_id").distinct().withColumn("text", F.lit("said")), f, 0.03).select("session_id", "text")
 
 
-@query("SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms FROM events GROUP BY 1")
+def _samples(spark, sf) -> DataFrame:
+    """user_id, i, value: the values of events as samples of a clip for each user, every third below zero."""
+    rows = S.table(spark, sf, "events").select("user_id", "event_id", F.when(c("event_id") % 3 == 0, -c("value")).otherwise(c("value")).alias("value"))
+    return running(rows, ["user_id"], ["event_id"], F.lit(1), "i").select("user_id", (c("i") - 1).alias("i"), "value")
+
+
+_SAMPLES = "(SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN -value ELSE value END AS value FROM events)"
+
+
+@query(
+    f"WITH s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {_SAMPLES} e) SELECT user_id, round(sqrt(avg(value * value)), 6) AS rms, "
+    "round(CASE WHEN count(*) > 1 THEN count(*) FILTER (WHERE (value < 0) != (before < 0)) / (count(*) - 1) ELSE 0 END, 6) AS zcr FROM s GROUP BY 1"
+)
 def f34_frame_features(spark, sf):
-    rows = S.table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return rows.select("user_id", F.round(G.rms(c("v")), 6).alias("rms"))
+    return G.clip_features(_samples(spark, sf), session="user_id").select("user_id", F.round("rms", 6).alias("rms"), F.round("zcr", 6).alias("zcr"))
 
 
 @query("SELECT user_id AS session_id, floor(event_id / 2.5) AS block, CAST(floor(CASE WHEN avg(value / 1000) < 0 THEN greatest(-1, avg(value / 1000)) * 32768 ELSE least(1, avg(value / 1000)) * 32767 END) AS INT) AS value FROM events GROUP BY 1, 2")
@@ -786,12 +798,13 @@ def f35_resample_block_avg(spark, sf):
 
 @query("SELECT user_id, CASE WHEN count(*) = 0 THEN 0 WHEN count(*) < 7 THEN 1 ELSE floor(count(*) / 7) + CASE WHEN count(*) % 7 >= 3 THEN 1 ELSE 0 END END AS n FROM events GROUP BY 1")
 def f36_frame_split(spark, sf):
-    rows = S.table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return rows.select("user_id", F.size(G.frame_split(c("v"), 7, 3)).alias("n"))
+    return G.clip_frames(_samples(spark, sf), 7, 3, "user_id").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
-@query("WITH v AS (SELECT user_id, list(value ORDER BY event_id) AS v FROM events GROUP BY 1) SELECT user_id, len(v) * 2 AS n, round(v[1], 6) AS first, round(v[len(v)], 6) AS last FROM v")
+@query(
+    f"WITH v AS (SELECT user_id, row_number() OVER w - 1 AS i, value, lead(value) OVER w AS next, count(*) OVER (PARTITION BY user_id) AS n FROM {_SAMPLES} e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), "
+    "j AS (SELECT user_id, n, CAST(unnest(range(2 * n)) AS BIGINT) AS j FROM (SELECT DISTINCT user_id, n FROM v)), x AS (SELECT *, j * (CAST(n - 1 AS DOUBLE) / (2 * n - 1)) AS x FROM j) "
+    "SELECT x.user_id, x.j AS i, round(v.value + (x - floor(x)) * (coalesce(v.next, v.value) - v.value), 6) AS value FROM x JOIN v ON v.user_id = x.user_id AND v.i = floor(x.x)"
+)
 def f41_resample_linear(spark, sf):
-    rows = S.table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    out = rows.withColumn("r", G.resample_linear(c("v"), F.lit(8000)))
-    return out.select("user_id", F.size("r").alias("n"), F.round(F.get("r", F.lit(0)), 6).alias("first"), F.round(F.get("r", F.size("r") - 1), 6).alias("last"))
+    return G.clip_resampled(_samples(spark, sf), 8000, 16000, session="user_id").select("user_id", "i", F.round("value", 6).alias("value"))
