@@ -181,19 +181,53 @@ def search_drugs(keys: DataFrame, cat: C.Catalogue, limit: int = 30) -> DataFram
     return _staged(exact.unionByName(prefix).unionByName(sound).join(rows, "base_key"), limit)
 
 
+def dose_number(dose: Column) -> Column:
+    """The first number of a dose, with its percent sign; null without one."""
+    return F.nullif(F.upper(F.regexp_extract(F.trim(dose), r"(\d+(?:\.\d+)?%?)", 1)), F.lit(""))
+
+
+def _formulations(asked: DataFrame, cat: C.Catalogue, limit: int) -> DataFrame:
+    """asked (drug_id, number) -> drug_id, number, other, rank: products of the base name, then of the brand, then of the generic name,
+    that have the number as a strength or as a word of name or code; all of them if none has."""
+    products = cat.products.select(F.col("drug_id").alias("other"), "drug_name", "drug_code", "strength_values", "ord")
+    named = asked.select("drug_id").distinct().join(cat.products.select("drug_id", "base_name", "brand_name", "generic_name"), "drug_id")
+    kinds = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(kind).alias("kind"), F.upper(f"{kind}_name").alias("key")) for i, kind in enumerate(("base", "brand", "generic"))])
+    index = cat.index.select("kind", "key", F.col("drug_id").alias("other"))
+    pool = named.select("drug_id", F.explode(kinds).alias("n")).select("drug_id", "n.*").join(index, ["kind", "key"])
+    pool = pool.groupBy("drug_id", "other").agg(F.min("place").alias("place")).join(products, "other").join(asked.distinct(), "drug_id")
+    word = F.concat(F.lit(r"\b"), F.regexp_replace("number", r"\.", r"\\\\."), F.lit(r"\b"))
+    hit = F.array_contains("strength_values", F.col("number")) | F.regexp_like(F.upper("drug_name"), word) | F.regexp_like(F.upper("drug_code"), word)
+    each = ["drug_id", "number"]
+    pool = pool.withColumn("hit", F.coalesce(hit, F.lit(False))).withColumn("hits", F.count_if("hit").over(Window.partitionBy(*each))).where((F.col("hits") == 0) | F.col("hit"))
+    return top(pool, each, [F.col("place"), F.col("ord"), F.col("other")], limit).select("drug_id", "number", "other", "rank")
+
+
 def same_dose(keys: DataFrame, cat: C.Catalogue, limit: int = 30) -> DataFrame:
-    """key, dose -> key, dose, drug_id, rank: products that share the base, brand or generic name and have the dose as a
-    number of theirs; all of them if none has."""
-    asked = keys.select("key", "dose").where("key is not null").distinct()
-    found = resolve(asked, cat).join(cat.products, "drug_id")
-    names = found.select("key", F.explode(F.array_distinct(F.array_compact(F.array("base_name", F.upper("brand_name"), F.upper("generic_name"))))).alias("name"))
-    index = cat.index.where("kind in ('base', 'brand', 'generic')").select(F.col("key").alias("name"), F.col("drug_id").alias("other"))
-    pool = names.join(index, "name").select("key", F.col("other").alias("drug_id")).distinct().join(asked, "key").join(cat.products.select("drug_id", "drug_name", "strength_values", "ord"), "drug_id")
-    number = F.regexp_extract(F.coalesce("dose", F.lit("")), r"(\d+(?:\.\d+)?)", 1)
-    pool = pool.withColumn("hit", (number != "") & (F.array_contains("strength_values", number) | N.number_in_name(F.col("drug_name"), number)))
-    each = Window.partitionBy("key", "dose")
-    pool = pool.withColumn("hits", F.count_if("hit").over(each)).where((F.col("hits") == 0) | F.col("hit"))
-    return top(pool, ["key", "dose"], [F.col("ord"), F.col("drug_id")], limit).select("key", "dose", "drug_id", "rank")
+    """key, dose -> key, dose, drug_id, rank: products that share the base, brand or generic name of the key's product and have
+    the dose; all of them if none has. A key that is no name is looked up by sound."""
+    asked = keys.select("key", "dose").where("key is not null").distinct().withColumn("number", dose_number(F.col("dose")))
+    found = materialize(resolve(asked, cat), "resolved")
+    left = asked.join(found, "key", "left_anti")
+    if not left.isEmpty():
+        found = found.unionByName(find_fuzzy(left, cat, 0.65, 1).select("key", "drug_id"))
+    asked = asked.join(found, "key")
+    each = _formulations(asked.select("drug_id", "number"), cat, limit).withColumnsRenamed({"drug_id": "__of", "number": "__number"})
+    out = asked.join(each, (F.col("drug_id") == F.col("__of")) & F.col("number").eqNullSafe(F.col("__number")))
+    return out.select("key", "dose", F.col("other").alias("drug_id"), "rank")
+
+
+def with_available_drugs(items: DataFrame, cat: C.Catalogue, limit: int = 30) -> DataFrame:
+    """items (drug_id, dose, strength, medicine) and available_drugs: what else there is of each item's product, as an array
+    in order. The dose is the item's, or else its strength, or else the first number of its name. Items without a product have an empty array.
+    Equal (product, dose) are looked up once."""
+    number = F.coalesce(dose_number(F.coalesce(F.nullif("dose", F.lit("")), F.nullif("strength", F.lit("")), F.regexp_extract("medicine", r"\b(\d+(?:\.\d+)?)\b", 1))))
+    rows = items.withColumn("__number", number)
+    found = _formulations(rows.where("drug_id is not null").select("drug_id", F.col("__number").alias("number")), cat, limit)
+    shown = cat.products.select(F.col("drug_id").alias("other"), F.struct("drug_id", "drug_code", "drug_name", "base_name", "drug_type", "routes", F.array_sort("strength_values").alias("strengths")).alias("drug"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "drug"))), lambda r: r["drug"])
+    found = found.join(shown, "other").groupBy("drug_id", "number").agg(listed.alias("available_drugs")).withColumnsRenamed({"drug_id": "__of", "number": "__of_number"})
+    out = rows.join(found, (F.col("drug_id") == F.col("__of")) & F.col("__number").eqNullSafe(F.col("__of_number")), "left")
+    return out.withColumn("available_drugs", F.coalesce("available_drugs", F.expr("filter(array(cast(null as struct<drug_id:string,drug_code:string,drug_name:string,base_name:string,drug_type:string,routes:array<string>,strengths:array<string>>)), x -> false)"))).drop("__number", "__of", "__of_number")
 
 
 def did_you_mean(keys: DataFrame, cat: C.Catalogue, limit: int = 3, min_confidence: float = 0.55) -> DataFrame:

@@ -7,6 +7,7 @@ the SQL keeps the windows that end by then.
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,12 +77,13 @@ FLAGS_SQL = f"{_WALK} SELECT session_id, frame_no, speaking OR hold > 0 AS is_sp
 FLOOR_SQL = f"{_WALK} SELECT session_id, frame_no, round(floor, 9) AS noise_floor FROM w"
 
 
-@query(FLAGS_SQL)
-def st01_speech_flags(spark, sf):
-    return to_its_end(streams.speech_flags(frames(spark, sf).drop("is_speech")), "st01").select("session_id", "frame_no", "is_speech")
+_CLOSED = "(SELECT max(ts) - INTERVAL 10 SECOND FROM events)"
+_WHOLE = timedelta(days=400)  # the given sessions pause for days, and are one session nevertheless
 
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 10 SECOND FROM events)"
+@query(f"{_WALK} SELECT session_id, frame_no, speaking OR hold > 0 AS is_speech FROM w WHERE ts <= {_CLOSED}")
+def st01_speech_flags(spark, sf):
+    return to_its_end(streams.speech_flags(frames(spark, sf).drop("is_speech"), idle=_WHOLE), "st01").select("session_id", "frame_no", "is_speech")
 
 
 @query(
@@ -134,10 +136,10 @@ def st06_control_rows(spark, sf):
 
 @query(
     f"WITH f AS (SELECT *, min(CASE WHEN is_speech THEN frame_no END) OVER (PARTITION BY session_id ORDER BY frame_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM {E} e) "
-    "SELECT f.session_id, f.frame_no FROM f JOIN f g ON f.session_id = g.session_id AND f.next = g.frame_no WHERE NOT f.is_speech AND epoch_ms(g.ts) - epoch_ms(f.ts) <= 3600000"
+    f"SELECT f.session_id, f.frame_no FROM f JOIN f g ON f.session_id = g.session_id AND f.next = g.frame_no WHERE NOT f.is_speech AND epoch_ms(g.ts) - epoch_ms(f.ts) <= 3600000 AND g.ts <= {_CLOSED}"
 )
 def st07_preroll_stream(spark, sf):
-    return to_its_end(streams.preroll_stream(frames(spark, sf), 3_600_000), "st07")
+    return to_its_end(streams.preroll_stream(frames(spark, sf), 3_600_000, idle=_WHOLE), "st07")
 
 
 @query(
@@ -151,8 +153,8 @@ def st08_bounded_buffer(spark, sf):
 @query()
 def st09_commit_on_silence(spark, sf):
     """Turns as decoded windows, every third without a pause."""
-    rows = stream(spark, sf, "conversations").selectExpr("conv_id as session_id", "turn as seq", "text", "case when turn % 3 = 2 then 0.1D else 1.0D end as silence_s")
-    return to_its_end(streams.commit_on_silence(rows), "st09")
+    rows = stream(spark, sf, "conversations").selectExpr("conv_id as session_id", "turn as seq", "timestamp_seconds(60 * turn) as ts", "text", "case when turn % 3 = 2 then 0.1D else 1.0D end as silence_s")
+    return to_its_end(streams.commit_on_silence(rows, idle=_WHOLE), "st09")
 
 
 @query("SELECT DISTINCT user_id AS session_id, event_type AS norm_text FROM events")
@@ -161,9 +163,9 @@ def st10_dedup_stream(spark, sf):
     return to_its_end(streams.dedup_stream(rows), "st10").select("session_id", "norm_text")
 
 
-@query(f"SELECT session_id, frame_no, is_speech FROM (SELECT *, coalesce(lag(is_speech) OVER (PARTITION BY session_id ORDER BY frame_no), false) AS before FROM {E} e) WHERE is_speech != before")
+@query(f"SELECT session_id, frame_no, is_speech FROM (SELECT *, coalesce(lag(is_speech) OVER (PARTITION BY session_id ORDER BY frame_no), false) AS before FROM {E} e) WHERE is_speech != before AND ts <= {_CLOSED}")
 def st11_transition_stream(spark, sf):
-    return to_its_end(streams.transition_stream(frames(spark, sf)), "st11").select("session_id", "frame_no", "is_speech")
+    return to_its_end(streams.transition_stream(frames(spark, sf), idle=_WHOLE), "st11").select("session_id", "frame_no", "is_speech")
 
 
 @query(f"SELECT rx_id, line, truth_frequency AS frequency, truth_duration AS duration FROM ({S.DICTATION_SQL}) d")
@@ -190,10 +192,10 @@ def st13_stream_latency(spark, sf):
     f"WITH RECURSIVE f AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY session_id ORDER BY frame_no) AS n FROM {E} e), s AS (SELECT DISTINCT session_id FROM f), "
     "w AS (SELECT session_id, CAST(0 AS BIGINT) AS frame_no, CAST(0 AS BIGINT) AS n, CAST(0.004 AS DOUBLE) AS floor, CAST(-100000000000000000 AS BIGINT) AS spoke, CAST(0 AS BIGINT) AS us FROM s "
     "UNION ALL SELECT f.session_id, f.frame_no, f.n, CASE WHEN f.rms > greatest(0.010, 2.2 * w.floor) THEN w.floor ELSE 0.95 * w.floor + 0.05 * f.rms END, CASE WHEN f.rms > greatest(0.010, 2.2 * w.floor) THEN f.us ELSE w.spoke END, f.us "
-    "FROM f JOIN w ON f.session_id = w.session_id AND f.n = w.n + 1) SELECT session_id, frame_no, us - spoke <= 3600000000 AS active FROM w WHERE n > 0"
+    "FROM f JOIN w ON f.session_id = w.session_id AND f.n = w.n + 1) SELECT session_id, frame_no, us - spoke <= 3600000000 AS active FROM w WHERE n > 0 AND us <= (SELECT epoch_us(max(ts)) - 10000000 FROM events)"
 )
 def st14_energy_gate(spark, sf):
-    return to_its_end(streams.energy_gate(frames(spark, sf), 3600.0), "st14")
+    return to_its_end(streams.energy_gate(frames(spark, sf), 3600.0, idle=_WHOLE), "st14")
 
 
 @query(f"SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS start_ms, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) GROUP BY 1")

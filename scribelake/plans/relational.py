@@ -214,7 +214,15 @@ def j12_search_drugs(spark, sf):
     return lookup.search_drugs(S.table(spark, sf, "part").selectExpr("p_name as key"), S.catalogue(spark, sf), 5)
 
 
-@query()
+_LOOSE = _FUZZY.replace("0.68", "0.55").replace("rank <= 5", "rank <= 15")
+_FIRST_DOSE = "CAST(least(CAST(size AS INT), CAST(brand_no AS INT)) AS VARCHAR)"
+
+
+@query(
+    f"WITH z AS ({_LOOSE}), n AS (SELECT z.*, f.base_name, {_FIRST_DOSE} AS dose FROM z JOIN {P} f USING (drug_id) WHERE matched_via != 'NORMALIZED'), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY key, base_name, dose ORDER BY rank) AS once FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank) AS place FROM o WHERE once = 1) "
+    "SELECT key, drug_id, base_name, dose, round(confidence, 3) AS confidence, round(similarity, 3) AS similarity, place AS rank FROM r WHERE place <= 3"
+)
 def j13_did_you_mean(spark, sf):
     return lookup.did_you_mean(S.names(spark, sf), S.catalogue(spark, sf))
 
@@ -228,12 +236,52 @@ def j14_find_composite(spark, sf):
     return lookup.find_composite(asked, S.catalogue(spark, sf))
 
 
-@query()
+# Products of a product's base name (or first word), brand and generic name, and where the number stands in them.
+_POOL = (
+    "p AS (SELECT f.drug_id AS own, b.drug_id, b.ord, 0 AS place FROM f JOIN b ON b.base_key = f.base_name UNION ALL SELECT f.drug_id, g.drug_id, g.ord, 1 FROM f JOIN f g USING (brand_name) "
+    "UNION ALL SELECT f.drug_id, g.drug_id, g.ord, 2 FROM f JOIN f g USING (generic_name)), u AS (SELECT own, drug_id, ord, min(place) AS place FROM p WHERE own IN (SELECT own FROM k) GROUP BY ALL), "
+    "h AS (SELECT k.own, k.number, u.drug_id, u.ord, u.place, coalesce(k.number IN (f.size, f.brand_no), false) AS hit FROM (SELECT DISTINCT own, number FROM k) k JOIN u USING (own) JOIN f ON f.drug_id = u.drug_id), "
+    "c AS (SELECT *, count(*) FILTER (WHERE hit) OVER (PARTITION BY own, number) AS hits FROM h), "
+    "r AS (SELECT own, number, drug_id, row_number() OVER (PARTITION BY own, number ORDER BY place, ord, drug_id) AS rank FROM c WHERE hits = 0 OR hit)"
+)
+_FIRST_OF_NAME = "SELECT base_name, min_by(drug_id, ord) AS own FROM f GROUP BY 1"
+
+
+@query(
+    f"WITH f AS {P}, b AS (SELECT * FROM {BASES} x), a AS (SELECT DISTINCT base_name, size FROM f), k AS (SELECT lower(a.base_name) AS key, concat(a.size, ' mg') AS dose, n.own, a.size AS number FROM a JOIN ({_FIRST_OF_NAME}) n USING (base_name)), "
+    f"{_POOL} SELECT k.key, k.dose, r.drug_id, r.rank FROM k JOIN r ON r.own = k.own AND r.number = k.number WHERE r.rank <= 30"
+)
 def j15_same_dose(spark, sf):
     return lookup.same_dose(S.table(spark, sf, "part").selectExpr("p_name as key", "concat(p_size, ' mg') as dose"), S.catalogue(spark, sf))
 
 
-@query()
+_DOSED = "CASE line % 4 WHEN 0 THEN concat(CAST(p_size AS {S}), ' mg') WHEN 1 THEN '777 mg' END"
+
+
+@query(
+    f"WITH f AS {P}, b AS (SELECT * FROM {BASES} x), d AS (SELECT rx_id, line, upper(p_name) AS base_name, CASE line % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN '777' WHEN 2 THEN CAST(p_size AS VARCHAR) END AS number FROM {D} d), "
+    f"k AS (SELECT rx_id, line, CASE WHEN rx_id % 9 != 0 THEN own END AS own, number, count(*) AS n FROM d JOIN ({_FIRST_OF_NAME}) n USING (base_name) GROUP BY ALL), {_POOL}, "
+    "l AS (SELECT own, number, string_agg(drug_id, ',' ORDER BY rank) AS drugs FROM r WHERE rank <= 30 GROUP BY 1, 2) "
+    "SELECT k.rx_id, k.line, k.n, coalesce(l.drugs, '') AS drugs, k.number FROM k LEFT JOIN l ON l.own = k.own AND l.number IS NOT DISTINCT FROM k.number"
+)
+def x18_available_drugs(spark, sf):
+    """The dose is said, or a strength of no product, or stands in the name, or nowhere; every ninth order has no product."""
+    cat = S.catalogue(spark, sf)
+    found = lookup.resolve(S.table(spark, sf, "part").selectExpr("p_name as key"), cat).select(c("key").alias("p_name"), "drug_id")
+    rows = S.dictation(spark, sf).join(found, "p_name").withColumn("drug_id", F.when(c("rx_id") % 9 != 0, c("drug_id")))
+    rows = rows.withColumn("dose", F.when(c("line") % 4 == 0, c("p_size").cast("string"))).withColumn("strength", F.expr(_DOSED.format(S="string")))
+    rows = rows.withColumn("medicine", F.when(c("line") % 4 == 2, F.concat("p_name", F.lit(" "), "p_size", F.lit(" mg"))).otherwise(c("p_name")))
+    out = lookup.with_available_drugs(rows, cat)
+    number = F.when(c("line") % 4 == 1, "777").when(c("line") % 4 != 3, c("p_size").cast("string"))
+    return out.groupBy("rx_id", "line", F.array_join(F.transform("available_drugs", lambda x: x["drug_id"]), ",").alias("drugs"), number.alias("number")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"WITH z AS ({_LOOSE}), k AS ({S.NAMES_SQL}), e AS (SELECT lower(base_name) AS key, min_by(drug_id, ord) AS drug_id FROM {P} f GROUP BY 1), w AS (SELECT base_key, min_by(drug_id, ord) AS drug_id FROM {BASES} b GROUP BY 1), "
+    "l AS (SELECT key, drug_id, 0.95 AS confidence, 1 AS rung, false AS suggested FROM e UNION ALL SELECT key, drug_id, round(confidence, 3), 3, true FROM z WHERE matched_via != 'NORMALIZED' AND rank = 1 "
+    "UNION ALL SELECT k.key, w.drug_id, 0.9, 4, false FROM k JOIN w ON w.base_key = upper(split_part(k.key, ' ', 1)) WHERE length(split_part(k.key, ' ', 1)) >= 4 AND split_part(k.key, ' ', 1) != 'cold'), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rung) AS first FROM l) SELECT key, drug_id, CAST(confidence AS DOUBLE) AS confidence, rung, suggested FROM o WHERE first = 1"
+)
 def j16_ground_medicine(spark, sf):
     return lookup.ground_medicine(S.names(spark, sf), S.catalogue(spark, sf))
 

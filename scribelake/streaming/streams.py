@@ -8,6 +8,7 @@ the watermark has passed it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,35 +26,120 @@ def with_late_limit(stream: DataFrame, late: str = LATE) -> DataFrame:
     return stream.withWatermark("ts", late)
 
 
-class _Flags(StatefulProcessor):
-    """What is remembered of a session lives in one value state; a row with control `reset` forgets it."""
+IDLE = timedelta(minutes=10)
 
-    def __init__(self, rule: Rule):
-        self.rule = rule
+
+class _InOrder(StatefulProcessor):
+    """Rows of a session one by one in order of event time, whatever the order and the batches in which they come.
+
+    A row is held until the watermark has reached its ts, so that no earlier row can follow; an event-time timer wakes a
+    session whose rows are due without new ones. After a pause of more than `idle` a session begins anew, and what is remembered of
+    it is dropped by a timer once the watermark is so far past its last row. `fields` are held of a row besides ts.
+    """
+
+    FIELDS: tuple[tuple[str, str], ...] = ()
+    MEMORY = ""
+    OUT = ""
+
+    def __init__(self, idle: timedelta | None):
+        self.idle_ms = None if idle is None else int(idle.total_seconds() * 1000)
+
+    def begin(self) -> tuple:
+        """What is remembered at first."""
+        raise NotImplementedError
+
+    def step(self, memory: tuple, key: int, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        """What is remembered after a row, and what goes out."""
+        raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("heard", "floor double, loud boolean, run long, late long")
+        self.handle = handle
+        self.held = handle.getListState("held", "ts_us long, " + ", ".join(f"{name} {kind}" for name, kind in self.FIELDS))
+        self.memory = handle.getValueState("memory", self.MEMORY + ", last_us long")
+
+    def _held(self) -> list[tuple]:
+        return [tuple(r) for r in self.held.get()] if self.held.exists() else []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        heard = Heard(*self.state.get()) if self.state.exists() else Heard(self.rule.floor)
-        frame, flags = pd.concat(list(rows)).sort_values("frame_no"), []
-        control = frame["control"] if "control" in frame else [None] * len(frame)
-        for rms, zcr, what in zip(frame["rms"], frame["zcr"], control):
-            heard = Heard(self.rule.floor) if what == "reset" else heard.then(rms, zcr, self.rule)
-            flags.append(heard.is_speech(self.rule))
-        self.state.update((float(heard.floor), bool(heard.loud), int(heard.run), int(heard.late)))
-        out = pd.DataFrame({"session_id": frame["session_id"], "frame_no": frame["frame_no"], "ts": frame["ts"], "is_speech": flags})
-        yield out[frame["control"].isna()] if "control" in frame else out
+        held = self._held()
+        for frame in rows:
+            us = frame["us"].tolist()
+            columns = [frame[name].astype(object).where(frame[name].notna(), None).tolist() if name in frame else [None] * len(frame) for name, _ in self.FIELDS]
+            held += list(zip(us, *columns))
+        yield self._release(key, held, timers.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._release(key, self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, key, held: list[tuple], watermark_ms: int) -> pd.DataFrame:
+        held.sort(key=lambda r: r[:2])
+        due = sum(r[0] <= watermark_ms * 1000 for r in held)
+        kept = self.memory.get() if self.memory.exists() else None
+        memory, last, out = (tuple(kept[:-1]), kept[-1], []) if kept else (self.begin(), None, [])
+        for us, *row in held[:due]:
+            if self.idle_ms is not None and last is not None and us - last > self.idle_ms * 1000:
+                memory = self.begin()
+            memory, more = self.step(memory, key[0], us, tuple(row))
+            last = us if last is None else max(last, us)
+            out += more
+        if due:
+            self.memory.update((*memory, last))
+        if held[due:]:
+            self.held.put(held[due:])
+        else:
+            self.held.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held[due:]:
+            self.handle.registerTimer(held[due][0] // 1000 + 1)
+        elif self.idle_ms is not None and self.memory.exists():
+            if last // 1000 + self.idle_ms <= watermark_ms:
+                self.memory.clear()
+            else:
+                self.handle.registerTimer(last // 1000 + self.idle_ms)
+        names = [c.split()[0] for c in self.OUT.split(", ")]
+        frame = pd.DataFrame(out, columns=names)
+        return frame.astype({name: {"long": "int64", "boolean": "bool", "string": object}[kind] for name, kind in (c.split() for c in self.OUT.split(", "))})
 
     def close(self) -> None:
         pass
 
 
-def speech_flags(frames: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """session_id, frame_no, ts, rms, zcr (and control) -> session_id, frame_no, ts, is_speech."""
-    return frames.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Flags(rule), outputStructType="session_id long, frame_no long, ts timestamp, is_speech boolean", outputMode="Append", timeMode="None"
+def _in_order(rows: DataFrame, processor: _InOrder, late: str) -> DataFrame:
+    """us: ts in microseconds, whatever the session's time zone."""
+    out = with_late_limit(rows, late).withColumn("us", F.unix_micros("ts")).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.OUT, outputMode="Append", timeMode="EventTime"
     )
+    return out.select(*[F.timestamp_micros(c).alias("ts") if c == "us" else c for c in out.columns])
+
+
+class _Flags(_InOrder):
+    """The flag of each frame. A row with control `reset` forgets the session."""
+
+    FIELDS = (("frame_no", "long"), ("rms", "double"), ("zcr", "double"), ("control", "string"))
+    MEMORY = "floor double, loud boolean, run long, late long"
+    OUT = "session_id long, frame_no long, us long, is_speech boolean"
+
+    def __init__(self, rule: Rule, idle: timedelta | None):
+        super().__init__(idle)
+        self.rule = rule
+
+    def begin(self) -> tuple:
+        return tuple(Heard(self.rule.floor))
+
+    def step(self, memory: tuple, key: int, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        frame_no, rms, zcr, control = row
+        if control == "reset":
+            return self.begin(), []
+        nan = float("nan")
+        heard = Heard(*memory).then(nan if rms is None else rms, nan if zcr is None else zcr, self.rule)
+        memory = (float(heard.floor), bool(heard.loud), int(heard.run), int(heard.late))
+        return memory, [] if control else [(key, frame_no, us, heard.is_speech(self.rule))]
+
+
+def speech_flags(frames: DataFrame, rule: Rule = Rule(), late: str = LATE, idle: timedelta | None = IDLE) -> DataFrame:
+    """session_id, frame_no, ts, rms, zcr (and control) -> session_id, frame_no, ts, is_speech."""
+    return _in_order(frames, _Flags(rule, idle), late)
 
 
 def utterances(frames: DataFrame, gap: str = "390 milliseconds", least_ms: int = 300, late: str = LATE) -> DataFrame:
@@ -143,159 +229,143 @@ def assemble_transcript(sentences: DataFrame, idle_ms: int | None = 60_000, most
 
 
 class _Buffer(StatefulProcessor):
-    """The frames of the last keep_ms of a session; older ones leave the state."""
+    """The frames of the last keep_ms of a session, in any order; older ones leave the state, and so does all of a session whose
+    last frame is keep_ms behind the watermark."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.frames = handle.getListState("frames", "frame_no long, ms long")
+        self.handle = handle
+        self.frames = handle.getListState("frames", "ms long, frame_no long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for x in self.frames.get()] if self.frames.exists() else []
-        for no, ts in pd.concat(list(rows)).sort_values(["ts", "frame_no"])[["frame_no", "ts"]].itertuples(index=False):
-            held.append((int(no), int(pd.Timestamp(ts).value // 1_000_000)))
-        newest = max(ms for _, ms in held)
-        held = [(n, ms) for n, ms in held if newest - ms <= self.keep_ms]
+        for frame in rows:
+            held += zip((frame["us"] // 1000).tolist(), frame["frame_no"].tolist())
+        newest = max(held)[0]
+        held = sorted(x for x in held if newest - x[0] <= self.keep_ms)
         self.frames.put(held)
-        yield pd.DataFrame({"session_id": [key[0]], "first_frame": [held[0][0]], "last_frame": [held[-1][0]], "frames": [len(held)]})
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(newest + self.keep_ms + 1)
+        yield pd.DataFrame({"session_id": [key[0]], "first_frame": [held[0][1]], "last_frame": [held[-1][1]], "frames": [len(held)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.frames.clear()
+        yield pd.DataFrame({"session_id": [], "first_frame": [], "last_frame": [], "frames": []}).astype("int64")
 
     def close(self) -> None:
         pass
 
 
-def bounded_buffer(frames: DataFrame, keep_ms: int = 120_000) -> DataFrame:
+def bounded_buffer(frames: DataFrame, keep_ms: int = 120_000, late: str = LATE) -> DataFrame:
     """session_id, first_frame, last_frame, frames in the last keep_ms of the session, after each batch."""
-    return frames.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Buffer(keep_ms), outputStructType="session_id long, first_frame long, last_frame long, frames long", outputMode="Update", timeMode="None"
+    return with_late_limit(frames, late).withColumn("us", F.unix_micros("ts")).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Buffer(keep_ms), outputStructType="session_id long, first_frame long, last_frame long, frames long", outputMode="Update", timeMode="EventTime"
     )
 
 
-class _Commit(StatefulProcessor):
+class _Commit(_InOrder):
     """Decoded windows overlap: a text is committed at a pause, without the words that the one before ended with."""
 
-    def __init__(self, silence_s: float):
+    FIELDS = (("seq", "long"), ("text", "string"), ("silence_s", "double"))
+    MEMORY = "done string"
+    OUT = "session_id long, seq long, text string"
+
+    def __init__(self, silence_s: float, idle: timedelta | None):
+        super().__init__(idle)
         self.silence_s = silence_s
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "text string")
+    def begin(self) -> tuple:
+        return ("",)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        done = self.last.get()[0] if self.last.exists() else ""
-        out = []
-        for seq, text, silence in pd.concat(list(rows)).sort_values("seq")[["seq", "text", "silence_s"]].itertuples(index=False):
-            if silence >= self.silence_s and (text or "").strip():
-                old, new = done.split(), text.split()
-                n = next((i for i in range(min(8, len(old), len(new)), 0, -1) if [w.lower() for w in old[-i:]] == [w.lower() for w in new[:i]]), 0)
-                if fresh := " ".join(new[n:]):
-                    out.append((key[0], seq, fresh))
-                    done = " ".join([*old, *new[n:]][-64:])
-        self.last.update((done,))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "text"]).astype({"session_id": "int64", "seq": "int64"})
-
-    def close(self) -> None:
-        pass
+    def step(self, memory: tuple, key: int, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        seq, text, silence = row
+        if silence is None or silence < self.silence_s or not (text or "").strip():
+            return memory, []
+        old, new = memory[0].split(), text.split()
+        n = next((i for i in range(min(8, len(old), len(new)), 0, -1) if [w.lower() for w in old[-i:]] == [w.lower() for w in new[:i]]), 0)
+        if not new[n:]:
+            return memory, []
+        return (" ".join([*old, *new[n:]][-64:]),), [(key, seq, " ".join(new[n:]))]
 
 
-def commit_on_silence(texts: DataFrame, silence_s: float = 0.8) -> DataFrame:
-    """session_id, seq, text, silence_s -> committed session_id, seq, text."""
-    return texts.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Commit(silence_s), outputStructType="session_id long, seq long, text string", outputMode="Append", timeMode="None"
-    )
+def commit_on_silence(texts: DataFrame, silence_s: float = 0.8, late: str = LATE, idle: timedelta | None = IDLE) -> DataFrame:
+    """session_id, seq, ts, text, silence_s -> committed session_id, seq, text."""
+    return _in_order(texts, _Commit(silence_s, idle), late)
 
 
-class _Changes(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "is_speech boolean")
+class _Changes(_InOrder):
+    FIELDS = (("frame_no", "long"), ("is_speech", "boolean"))
+    MEMORY = "speaking boolean"
+    OUT = "session_id long, frame_no long, us long, is_speech boolean"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("frame_no")
-        before = self.last.get()[0] if self.last.exists() else False
-        earlier = frame["is_speech"].shift(1)
-        earlier.iloc[0] = before
-        self.last.update((bool(frame["is_speech"].iloc[-1]),))
-        yield frame[frame["is_speech"] != earlier.astype(bool)][["session_id", "frame_no", "ts", "is_speech"]]
+    def begin(self) -> tuple:
+        return (False,)
 
-    def close(self) -> None:
-        pass
+    def step(self, memory: tuple, key: int, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        frame_no, flag = row[0], bool(row[1])
+        return (flag,), [(key, frame_no, us, flag)] if flag != memory[0] else []
 
 
-def transition_stream(flags: DataFrame) -> DataFrame:
+def transition_stream(flags: DataFrame, late: str = LATE, idle: timedelta | None = IDLE) -> DataFrame:
     """Frames at which the flag of a session changes."""
-    return flags.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Changes(), outputStructType="session_id long, frame_no long, ts timestamp, is_speech boolean", outputMode="Append", timeMode="None"
-    )
+    return _in_order(flags, _Changes(idle), late)
 
 
-class _Recent(StatefulProcessor):
-    """Frames of the last keep_ms before speech, emitted once it begins; the list never holds more."""
+class _Recent(_InOrder):
+    """Frames of the last keep_ms before speech, emitted once it begins; what is remembered never holds more."""
 
-    def __init__(self, keep_ms: int):
-        self.keep_ms = keep_ms
+    FIELDS = (("frame_no", "long"), ("is_speech", "boolean"))
+    MEMORY = "speaking boolean, quiet array<struct<frame_no:bigint,ms:bigint>>"
+    OUT = "session_id long, frame_no long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.quiet = handle.getListState("quiet", "frame_no long, ms long")
-        self.last = handle.getValueState("last", "is_speech boolean")
+    def __init__(self, keep_ms: int, idle: timedelta | None):
+        super().__init__(idle)
+        self.keep_ms = keep_ms
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        quiet = [tuple(x) for x in self.quiet.get()] if self.quiet.exists() else []
-        speaking, out = (self.last.get()[0] if self.last.exists() else False), []
-        for no, ts, flag in pd.concat(list(rows)).sort_values("frame_no")[["frame_no", "ts", "is_speech"]].itertuples(index=False):
-            ms = int(pd.Timestamp(ts).value // 1_000_000)
-            if flag and not speaking:
-                out += [(key[0], n) for n, m in quiet if ms - m <= self.keep_ms]
-                quiet = []
-            if not flag:
-                quiet = [(n, m) for n, m in quiet if ms - m <= self.keep_ms] + [(int(no), ms)]
-            speaking = bool(flag)
-        if quiet:
-            self.quiet.put(quiet)
-        else:
-            self.quiet.clear()
-        self.last.update((speaking,))
-        yield pd.DataFrame(out, columns=["session_id", "frame_no"]).astype("int64")
+    def begin(self) -> tuple:
+        return (False, [])
 
-    def close(self) -> None:
-        pass
+    def step(self, memory: tuple, key: int, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        frame_no, flag, ms, quiet = row[0], bool(row[1]), us // 1000, [tuple(q) for q in memory[1]]
+        quiet = [(n, m) for n, m in quiet if ms - m <= self.keep_ms]
+        if flag:
+            return (True, [] if not memory[0] else quiet), [(key, n) for n, _ in quiet] if not memory[0] else []
+        return (False, [*quiet, (frame_no, ms)]), []
 
 
-def preroll_stream(flags: DataFrame, keep_ms: int = 200) -> DataFrame:
+def preroll_stream(flags: DataFrame, keep_ms: int = 200, late: str = LATE, idle: timedelta | None = IDLE) -> DataFrame:
     """session_id, frame_no of quiet frames within keep_ms before speech begins."""
-    return flags.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Recent(keep_ms), outputStructType="session_id long, frame_no long", outputMode="Append", timeMode="None"
-    )
+    return _in_order(flags, _Recent(keep_ms, idle), late)
 
 
-class _Gate(StatefulProcessor):
+class _Gate(_InOrder):
     """RMS gate with its own noise floor; speech counts as recent for hold_s after the last loud frame."""
 
-    def __init__(self, hold_s: float):
-        self.hold_s = hold_s
+    FIELDS = (("frame_no", "long"), ("rms", "double"))
+    MEMORY = "floor double, spoke long"
+    OUT = "session_id long, frame_no long, active boolean"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("gate", "floor double, spoke long")
+    def __init__(self, hold_s: float, idle: timedelta | None):
+        super().__init__(idle)
+        self.hold_us = hold_s * 1_000_000
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        floor, spoke = self.state.get() if self.state.exists() else (0.004, -(10**17))
-        frame, active = pd.concat(list(rows)).sort_values("frame_no"), []
-        for ts, rms in frame[["ts", "rms"]].itertuples(index=False):
-            at = pd.Timestamp(ts).value // 1000
-            if rms > max(0.010, 2.2 * floor):
-                spoke = at
-            else:
-                floor = 0.95 * floor + 0.05 * rms
-            active.append(at - spoke <= self.hold_s * 1_000_000)
-        self.state.update((float(floor), int(spoke)))
-        yield pd.DataFrame({"session_id": frame["session_id"], "frame_no": frame["frame_no"], "active": active})
+    def begin(self) -> tuple:
+        return 0.004, -(10**17)
 
-    def close(self) -> None:
-        pass
+    def step(self, memory: tuple, key: int, us: int, row: tuple) -> tuple[tuple, list[tuple]]:
+        (floor, spoke), (frame_no, rms) = memory, row
+        if rms is not None and rms > max(0.010, 2.2 * floor):
+            spoke = us
+        elif rms is not None:
+            floor = 0.95 * floor + 0.05 * rms
+        return (float(floor), int(spoke)), [(key, frame_no, us - spoke <= self.hold_us)]
 
 
-def energy_gate(frames: DataFrame, hold_s: float = 1.8) -> DataFrame:
-    return frames.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Gate(hold_s), outputStructType="session_id long, frame_no long, active boolean", outputMode="Append", timeMode="None"
-    )
+def energy_gate(frames: DataFrame, hold_s: float = 1.8, late: str = LATE, idle: timedelta | None = IDLE) -> DataFrame:
+    return _in_order(frames, _Gate(hold_s, idle), late)
 
 
 def dedup_stream(requests: DataFrame, late: str = LATE) -> DataFrame:

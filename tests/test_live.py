@@ -70,12 +70,49 @@ def in_batches(spark, tmp_path, parts, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_flags_over_batches(spark, sessions, tmp_path):
-    rows = [r for r in frame_rows(sessions) if r[0] in (2, 4)]
-    parts = [[r for r in rows if lo <= r[1] < hi] for lo, hi in ((0, 13), (13, 100), (100, 400))]
-    found = live.to_its_end(streams.speech_flags(in_batches(spark, tmp_path, parts, SCHEMA)), "test").collect()
-    want = {(s, k): f for s in (2, 4) for k, (f, _) in enumerate(plain_flags(sessions[s]))}
-    assert {(r["session_id"], r["frame_no"]): r["is_speech"] for r in found} == want
+LAST = (99, 0, START + timedelta(hours=9), 0.0, 0.1)  # of another session: the watermark passes all rows before
+
+
+def test_flags_of_rows_out_of_order(spark, sessions, tmp_path):
+    """Frames come in any order, up to ten seconds late and so in later batches, and give what one pass over all gives."""
+    rng = random.Random(1)
+    rows = sorted((r for r in frame_rows(sessions) if r[0] in (1, 2, 4)), key=lambda r: r[2] + timedelta(seconds=rng.uniform(0, 8)))
+    parts = [rows[k : k + 300] for k in range(0, len(rows), 300)]
+    assert any(parts[k][i][1] > parts[k + 1][j][1] and parts[k][i][0] == parts[k + 1][j][0] for k in range(3) for i in range(300) for j in range(0, 300, 7))
+    found = live.to_its_end(streams.speech_flags(in_batches(spark, tmp_path, [*parts, [LAST]], SCHEMA)), "test").collect()
+    want = {(s, k): f for s in (1, 2, 4) for k, (f, _) in enumerate(plain_flags(sessions[s]))}
+    assert {(r["session_id"], r["frame_no"]): r["is_speech"] for r in found} == want and len(found) == len(want)
+
+
+def test_other_operators_out_of_order(spark, sessions, tmp_path):
+    """The same of changes, the frames before speech, and the gate: shuffled batches equal one sorted batch."""
+    rng = random.Random(7)
+    flagged = [(s, k, ts, rms, (k // 11 + s) % 3 == 0) for s, k, ts, rms, _ in frame_rows(sessions) if s in (2, 4)]
+    schema, last = "session_id long, frame_no long, ts timestamp, rms double, is_speech boolean", (99, 0, LAST[2], 0.0, False)
+    mixed = sorted(flagged, key=lambda r: r[2] + timedelta(seconds=rng.uniform(0, 8)))
+    for k, f in enumerate((streams.transition_stream, lambda x: streams.preroll_stream(x, 100), lambda x: streams.energy_gate(x, 0.3))):
+        got = []
+        for name, parts in (("sorted", [flagged, [last]]), ("mixed", [mixed[:90], mixed[90:210], mixed[210:], [last]])):
+            (tmp_path / f"{name}{k}").mkdir()
+            found = live.to_its_end(f(in_batches(spark, tmp_path / f"{name}{k}", parts, schema)), "test").drop("ts").collect()
+            got.append(sorted(tuple(r) for r in found if r["session_id"] != 99))
+        assert got[0] == got[1] and got[0]
+
+
+def test_finished_sessions_leave_no_state(spark, sessions, tmp_path):
+    rows = [r for r in frame_rows(sessions) if r[0] == 2]
+    again = [(2, 100 + k, START + timedelta(hours=10, milliseconds=30 * k), 0.5, 0.1) for k in range(3)]
+    stream = in_batches(spark, tmp_path, [rows, [LAST], again, [(98, 0, START + timedelta(hours=20), 0.0, 0.1)]], SCHEMA)
+    spark.conf.set(*streams.STATE_STORE)
+    at = str(tmp_path / "checkpoint")
+    out = []
+    run = streams.speech_flags(stream).writeStream.option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(lambda b, _: out.extend(b.collect())).start()
+    run.awaitTermination()
+    read = lambda name: {r["key"]["session_id"] for r in spark.read.format("statestore").option("stateVarName", name).load(at).collect()}
+    assert 2 not in read("memory") and 99 not in read("memory")
+    # The session that speaks again after its time begins anew: its first loud frame is no speech.
+    flags = {r["frame_no"]: r["is_speech"] for r in out if r["session_id"] == 2}
+    assert [flags[100], flags[101], flags[102]] == [False, True, True] and len(flags) == len(rows) + 3
 
 
 def test_transcripts_with_control_rows(spark, tmp_path):
@@ -120,8 +157,12 @@ def test_late_rows_are_dropped(spark, tmp_path):
 
 
 def test_commit_without_overlap(spark, tmp_path):
-    schema = "session_id long, seq long, text string, silence_s double"
-    parts = [[(1, 0, "take one tablet", 1.0), (1, 1, "not yet", 0.1)], [(1, 2, "One Tablet after food", 0.9), (1, 3, "after food", 0.8)]]
+    schema = "session_id long, seq long, text string, silence_s double, ts timestamp"
+    at = lambda s: START + timedelta(seconds=s)
+    parts = [
+        [(1, 0, "take one tablet", 1.0, at(0)), (1, 2, "One Tablet after food", 0.9, at(2))], [(1, 1, "not yet", 0.1, at(1)), (1, 3, "after food", 0.8, at(3)), (1, 4, None, 0.9, at(4))],
+        [(9, 0, "x", 0.0, at(900))],
+    ]
     found = live.to_its_end(streams.commit_on_silence(in_batches(spark, tmp_path, parts, schema)), "test").orderBy("seq").collect()
     assert [(r["seq"], r["text"]) for r in found] == [(0, "take one tablet"), (2, "after food")]
 
