@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..storage import discard, materialize, shared_folder  # noqa: F401
 
 FIT_CHARS = 30_000  # of a row that a model is fitted on; with the bound on rows, this bounds what the driver holds
 
+MARK_BITS = 1 << 29  # of the bitmap of marks, at most: 64 MB
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,3 +50,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     found.sort(key=lambda r: (r["pick"], r["doc_id"], r["label"], r["text"]))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return [(r["text"], r["label"]) for r in found], share
+
+
+def maybe_marked(key: Column, marks: DataFrame) -> Column:
+    """False for keys (long) that are surely none of marks (one column, long).
+
+    The marks go to the workers as a bitmap with a bit for each mark's last digits: of 64 bits a mark, so that one in 64 other
+    keys is let through, but never more than MARK_BITS, whatever the number of marks; beyond some ten million marks more are
+    let through. What is let through must meet the marks in a join; the rest stays where it is read.
+    """
+    marks = marks.toDF("mark")
+    bits = min(MARK_BITS, max(64, 1 << (64 * marks.count() - 1).bit_length()))
+    at = F.col("mark").bitwiseAND(F.lit(bits - 1))
+    words = marks.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(mark & {bits - 1} & 63 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    shared = marks.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        place = keys.to_numpy(np.int64) & (bits - 1)
+        return pd.Series((shared.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return maybe(key)

@@ -25,10 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, unused
+from .common import discard, materialize, maybe_marked, read_table, unused
 
 RADIUS, LARGEST_SHARD = 3, 8192
-BROADCAST_ROWS = 200_000  # of 17 bytes
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -237,12 +236,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, largest: int = LARGES
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, largest: int = LARGEST_SHARD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = RADIUS, largest: int = LARGEST_SHARD) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id that is not null, and of rows alike in
     id the one with the smallest hash of its text. Rows alike in both are one document.
 
-    What is decided is a short row for each (id, hash of text); texts stay where they are read, unless more than
-    broadcast_rows go, for then docs and decisions meet by a shuffle.
+    What is decided is a short row for each (id, hash of text). A bitmap of bounded size tells which rows a decision may be
+    about; only these and their texts meet the decisions by a join, all others stay where they are read.
     """
     text_key = F.xxhash64("text")
     rows = with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -258,16 +257,14 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, largest: int = LARGEST_SH
     gone = copies.join(kept, here, "left_anti").select("doc_id", "text_key", F.lit(False).alias("repeated"))
     again = copies.where("n > 1").join(kept, here, "left_semi").select("doc_id", "text_key", F.lit(True).alias("repeated"))
     decided = materialize(gone.unionByName(again), "simhash-decided", copies)
-    n = {r["repeated"]: r["count"] for r in decided.groupBy("repeated").count().collect()}
-    small = sum(n.values()) <= broadcast_rows
-    at = docs["doc_id"].cast("long").eqNullSafe(decided["doc_id"]) & (F.xxhash64(docs["text"]) == decided["text_key"])
-    left = docs.join(F.broadcast(decided) if small else decided, at, "left_anti")
-    if not n.get(True):
-        return left
-    once, key = unused(docs.columns, "kept_id", "kept_key")
-    twice = docs.join(F.broadcast(decided.where("repeated")) if small else decided.where("repeated"), at, "left_semi")
-    twice = twice.withColumn(once, F.col("doc_id").cast("long")).withColumn(key, text_key).dropDuplicates([once, key])
-    return left.unionByName(twice.select(*docs.columns))
+    discard(first)
+    own, once, key = unused(docs.columns, "decided", "kept_id", "kept_key")
+    maybe = maybe_marked(F.xxhash64(F.col("doc_id").cast("long"), text_key), decided.select(F.xxhash64("doc_id", "text_key")))
+    sure, open_ = docs.where(~maybe), docs.where(maybe).withColumn(once, F.col("doc_id").cast("long")).withColumn(key, text_key)
+    open_ = open_.join(decided.toDF("__id", "__key", own), F.col(once).eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__key")), "left").drop("__id", "__key")
+    left = open_.where(F.col(own).isNull()).select(*docs.columns)
+    twice = open_.where(own).dropDuplicates([once, key]).select(*docs.columns)
+    return sure.unionByName(left).unionByName(twice)
 
 
 def op5_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,20 @@ def test_long_paths(spark):
     links = list(zip(names, names[1:])) + [(2000, 2001), (2001, 2002), (2003, 2003)]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert got == {n: min(names) for n in names if n != min(names)} | {2001: 2000, 2002: 2000}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 29])
+def test_deduplicate(spark, texts, monkeypatch, bits):
+    """Whether the bitmap lets all rows through to the join or few."""
+    from scribelake.llm import common
+
+    monkeypatch.setattr(common, "MARK_BITS", bits)
+    rows = [(100 - i, t, "x") for i, t in enumerate(texts)] + [(100, texts[0], "again"), (None, "lone words with no id at all", None), (None, "lone words with no id at all", None), (500, None, "y"), (501, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, decided string").repartition(4)
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    root, first = plain_components(sorted(set(fps)), lambda a, b: (a ^ b).bit_count() <= 3), {}
+    for r, f in zip(rows, fps):
+        first[root[f]] = min(first.get(root[f], (True, 1 << 60)), (r[0] is None, r[0] or 0))
+    got = [(r["doc_id"] is None, r["doc_id"] or 0) for r in simhash.deduplicate(docs).collect()]
+    assert sorted(got) == sorted(first.values())
+    assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(docs.where("false")).count() == 0
