@@ -16,8 +16,10 @@ lie in it, so those that hold the same ones are tried once, and those whose shin
 lightest item of that length cannot match. A near copy at SIMILARITY differs in about 28 of 256 bits (standard deviation
 5), so RADIUS leaves out some 1 in 10,000 of those at the very edge; tests measure it.
 
-The benchmark is shipped to the workers in blocks of ITEMS_AT_ONCE items at most; a worker holds the index of one block,
-and each further block is one more pass over the documents.
+The benchmark's distinct rows are numbered and shipped to the workers in blocks of ITEMS_AT_ONCE items at most; a worker holds
+the index of one block. One block is one pass over the documents. Of several, each is a pass over the texts that writes what it finds, by the
+hash of the text; a bitmap of bounded size then tells which documents may have a match, and only these meet the matches
+in a join.
 
 Null and empty texts contain nothing; items without a word match nothing. Equal items match alike, repeated rows too.
 Of windows that match an item equally well, the first is reported. Very long texts are read whole; what is held of one
@@ -30,16 +32,16 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import materialize, maybe_marked, read_table, unused
 
-SHINGLE, SIMILARITY, BITS, RADIUS, ITEMS_AT_ONCE = 5, 0.8, 256, 47, 2000
+SHINGLE, SIMILARITY, BITS, RADIUS, ITEMS_AT_ONCE, ITEM_CHARS = 5, 0.8, 256, 47, 2000, 5000
 MEMO_ENTRIES, AT_ONCE = 500_000, 2048  # words kept by a worker; windows fingerprinted at a time
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -249,17 +251,35 @@ def _shingles(texts: DataFrame) -> DataFrame:
     return words.select(F.explode(F.pandas_udf(_distinct_shingles, "array<long>")("words")).alias("shingle"))
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], dict[int, int]]]:
-    """The benchmark's rows, ITEMS_AT_ONCE at most at a time, and the counts of their shingles in the whole benchmark, where not 1."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str, int]], dict[int, int]]]:
+    """The benchmark's distinct rows (item_id, text, how often), ITEMS_AT_ONCE at most at a time, and the counts of their
+    shingles in the whole benchmark, where not 1. An item of over ITEM_CHARS characters counts as several."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    n = rows.count()
-    parts = -(-n // ITEMS_AT_ONCE)
-    counts = materialize(_shingles(rows).groupBy("shingle").count().where("count > 1"), "benchmark-shingles") if parts else None
+    rows = rows.groupBy("item_id", "text").agg(F.count("*").alias("n")).withColumn("weight", F.ceil(F.greatest(F.lit(1), F.length("text") / ITEM_CHARS)))
+    rows = rows.repartitionByRange("item_id", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows, "benchmark-items")
+    part = F.shiftright("row", 33)  # how monotonically_increasing_id numbers rows
+    # Each partition's sum, of which there are no more than shuffle partitions.
+    sums = sorted((r["part"], r["weight"]) for r in rows.groupBy(part.alias("part")).agg(F.sum("weight").alias("weight")).collect())
+    total, base = 0, []
+    for number, weight in sums:
+        base.append((number, total))
+        total += weight
+    parts = -(-total // ITEMS_AT_ONCE)
+    if not parts:
+        return
+    counts = materialize(_shingles(rows).groupBy("shingle").count().where("count > 1"), "benchmark-shingles")
+    if parts == 1:
+        dealt = rows.withColumn("block", F.lit(0))
+    else:
+        bases = F.broadcast(rows.sparkSession.createDataFrame(base, "part long, base long"))
+        before = F.sum("weight").over(Window.partitionBy("part").orderBy("row")) - F.col("weight")
+        dealt = rows.withColumn("part", part).join(bases, "part").withColumn("block", F.floor((F.col("base") + before) / ITEMS_AT_ONCE))
     for k in range(parts):
-        block = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        block = dealt.where(F.col("block") == k)
         found = counts if parts == 1 else counts.join(_shingles(block).distinct(), "shingle", "left_semi")
         within = {r["shingle"] % 2**64: r["count"] for r in found.collect()}
-        yield sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in block.collect()), within
+        yield sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"], r["n"]) for r in block.collect()), within
 
 
 _held: dict = {}  # this worker's index: of one block
@@ -271,39 +291,72 @@ def _finder(shared):
 
     @F.pandas_udf(MATCHES)
     def find(texts: pd.Series) -> pd.Series:
+        items, counts = shared.value
         if _held.get("block") != block:
             _held.clear()
-            _held.update(block=block, index=Benchmark(*shared.value), memo=_Hashes())
+            _held.update(block=block, index=Benchmark([((i, n), text) for i, text, n in items], counts), memo=_Hashes())
         index, memo, out = _held["index"], _held["memo"], []
         for text in texts:
             found = index.matches(word_hashes(text, memo)) if isinstance(text, str) and text else {}
-            rows = sorted((index.ids[j], s, a, n) for j, (s, a, n) in found.items())
+            rows = sorted((index.ids[j][0], s, a, n) for j, (s, a, n) in found.items() for _ in range(index.ids[j][1]))
             out.append([dict(zip(("item_id", "similarity", "start_word", "n_words"), r)) for r in rows])
         return pd.Series(out, dtype=object)
 
     return find
 
 
+def _block_of(docs: DataFrame, block) -> Column:
+    return _finder(docs.sparkSession.sparkContext.broadcast(block))("text")  # ITEMS_AT_ONCE items at most
+
+
+def _split(benchmark: DataFrame):
+    """The benchmark's only block (None if there are several, or none), and all blocks."""
+    blocks = _blocks(benchmark)
+    first = list(islice(blocks, 2))
+    return (first[0] if len(first) == 1 else None), chain(first, blocks)
+
+
+def _found(docs: DataFrame, blocks: Iterator) -> DataFrame | None:
+    """key (hash of the text), size (its length) and found (matches) of the texts that contain items, for each block. What is
+    written is as much as there are matches; a worker never holds two indexes, as each block is an execution of its own."""
+    out = None
+    for block in blocks:
+        rows = docs.select(F.xxhash64("text").alias("key"), F.length("text").alias("size"), _block_of(docs, block).alias("found"))
+        rows = materialize(rows.where(F.size("found") > 0).dropDuplicates(["key", "size"]), "benchmark-found")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, out: str = "matches") -> DataFrame:
     """docs with column out: the benchmark items that the text contains, with their best windows."""
-    context, found = docs.sparkSession.sparkContext, None
-    for block in _blocks(benchmark):
-        here = _finder(context.broadcast(block))("text")  # ITEMS_AT_ONCE items at most
-        if found is not None:
-            # One block an execution, so that a worker never holds two indexes.
-            docs = materialize(docs, "benchmark-matches")
-            here = F.concat(F.col(found), here)
-        found = out
-        docs = docs.withColumn(out, here)
-    return docs if found else docs.withColumn(out, F.from_json(F.lit("[]"), MATCHES))
+    only, blocks = _split(benchmark)
+    if only:
+        return docs.withColumn(out, _block_of(docs, only))
+    none, docs = F.from_json(F.lit("[]"), MATCHES), docs.drop(out)
+    found = _found(docs, blocks)
+    if found is None:
+        return docs.withColumn(out, none)
+    found = found.groupBy("key", "size").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias(out))
+    maybe = maybe_marked(F.xxhash64("text"), found.select("key"))
+    key, size = unused(docs.columns, "key", "size")
+    open_ = docs.where(maybe).withColumn(key, F.xxhash64("text")).withColumn(size, F.length("text"))
+    open_ = open_.join(found.withColumnsRenamed({"key": key, "size": size}), [key, size], "left").withColumn(out, F.coalesce(out, none))
+    return docs.where(~maybe).withColumn(out, none).unionByName(open_.select(*docs.columns, out))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no benchmark item."""
-    context, kept = docs.sparkSession.sparkContext, docs
-    for k, block in enumerate(_blocks(benchmark)):
-        kept = (materialize(kept, "benchmark-kept") if k else kept).where(F.size(_finder(context.broadcast(block))("text")) == 0)
-    return kept
+    only, blocks = _split(benchmark)
+    if only:
+        return docs.where(F.size(_block_of(docs, only)) == 0)
+    found = _found(docs, blocks)
+    if found is None:
+        return docs
+    found = found.select("key", "size").distinct()
+    maybe = maybe_marked(F.xxhash64("text"), found.select("key"))
+    open_ = docs.where(maybe)
+    clean = open_.join(found, (F.xxhash64(open_["text"]) == found["key"]) & (F.length(open_["text"]) == found["size"]), "left_anti")
+    return docs.where(~maybe).unionByName(clean)
 
 
 def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

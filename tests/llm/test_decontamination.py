@@ -183,3 +183,33 @@ def test_copies_and_blocks_leave_the_similarity(spark, monkeypatch):
     assert {i for d, i in got[0] if d == 0} == set(range(50, 56)) and {i for d, i in got[0] if d == 1} == {3} and (3, 85) in got[0]
     # in item 3, the shingles without the slot are in 12 texts: 37 and 5 of weight 1/12 and 1; the first of them is replaced
     assert got[0][1, 3] == pytest.approx((41 / 12 + 5) / (42 / 12 + 5 + 1 / 12))
+
+
+def test_blocks_of_repeated_rows(spark, monkeypatch):
+    """Equal rows are one item of a block, matched as often as they are; a long item counts as several."""
+    equal = [(1, "one two three four five six")] * 5000
+    others = [(10 + i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}") for i in range(10)] + [(30, None), (31, " - "), (32, "word " * 5000)]
+    benchmark = spark.createDataFrame(equal + others, "item_id long, text string").repartition(4)
+    assert [sorted(r[2] for r in items) for items, _ in dc._blocks(benchmark)] == [[1] * 12 + [5000]]
+    monkeypatch.setattr(dc, "ITEMS_AT_ONCE", 4)
+    blocks = [items for items, _ in dc._blocks(benchmark)]
+    assert all(len(b) <= 4 for b in blocks) and sorted(r[0] for b in blocks for r in b) == [1, *range(10, 20), 31, 32]
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (1, "x one two three four five six y"), (2, "alpha3 beta3 gamma3 delta3 epsilon3"), (3, "nothing"), (None, None), (4, "")], "doc_id long, text string")
+    got = dc.with_matches(docs, benchmark).collect()
+    assert sorted((str(r["doc_id"]), sorted({m["item_id"] for m in r["matches"]}), len(r["matches"])) for r in got) == [("1", [1], 5000), ("1", [1], 5000), ("2", [13], 1), ("3", [], 0), ("4", [], 0), ("None", [], 0)]
+    assert sorted(str(r["doc_id"]) for r in dc.decontaminate(docs, benchmark).collect()) == ["3", "4", "None"]
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 29])
+def test_marks(spark, monkeypatch, bits):
+    """Marked keys are let through whatever the size of the bitmap, and few others while it is large enough."""
+    from pyspark.sql import functions as F
+
+    from scribelake.llm import common
+
+    monkeypatch.setattr(common, "MARK_BITS", bits)
+    rows = spark.range(20000).select(F.xxhash64("id").alias("k"), (F.col("id") % 40 == 0).alias("marked"))
+    kept = rows.where(common.maybe_marked(F.col("k"), rows.where("marked").select("k"))).groupBy("marked").count().collect()
+    n = {r["marked"]: r["count"] for r in kept}
+    assert n[True] == 500 and (n[False] > 15000 if bits == 64 else n.get(False, 0) < 700)
+    assert rows.where(common.maybe_marked(F.col("k"), rows.where("false").select("k"))).count() == 0
