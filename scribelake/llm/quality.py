@@ -6,8 +6,9 @@ sigmoid(score a - score b) is the chance that a is preferred. The cut lies midwa
 of the scores of label 0 and the 1 - CUT_QUANTILE quantile of those of label 1; scores are shifted so that the cut lies
 at KEEP_FROM of 0..1.
 
-Fitted on at most MAX_ROWS_EACH rows of each label of the training remainders; every document is scored over its whole
-text, however long. Null and empty texts have the features of a text of no words. Repeated rows score alike, and a score
+Fitted on all labelled rows of the training remainders, over their whole texts: Spark finds the features, deals the pairs,
+and sums gradients and Hessians; the driver holds the sums alone. Each row is paired with PARTNERS rows or more of the other
+label. The quantiles are those of all rows' scores, to one rank in RANKS. Every document is scored over its whole text, however long. Null and empty texts have the features of a text of no words. Repeated rows score alike, and a score
 at the cut is kept. Without labels of both kinds every score is the share of label 1 (1 without labels). held_out is null
 for a null doc_id. An empty table gives an empty one. Other columns of docs are ignored by the query; with_quality keeps
 them and replaces a column of the name of its result.
@@ -19,12 +20,14 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import holdout_bucket, labelled_sample, read_table
+from .common import holdout_bucket, materialize, read_table
 
-MAX_ROWS_EACH, PAIRS, KEEP_FROM, CUT_QUANTILE, RIDGE = 3000, 40_000, 0.7, 0.998, 1e-3
+PAIRS, KEEP_FROM, CUT_QUANTILE, RIDGE = 40_000, 0.7, 0.998, 1e-3
+PARTNERS, RANKS, STEPS = 2, 100_000, 30
 FEATURES = (
     "log words", "word length", "spread of word length", "distinct words", "distinct lines", "upper case", "digits", "stops", "commas",
     "marks !", "marks |", "other marks", "white space", "other letters", "words in marks", "distinct word pairs", "most common word", "words a line",
@@ -67,31 +70,126 @@ def _expand(x: np.ndarray, model: dict) -> np.ndarray:
     return np.concatenate((z, z * z / 4), axis=-1)
 
 
+def _constant(n: int, share: float) -> dict:
+    """The model without labels of both kinds: the share of label 1, whatever the text."""
+    logit = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) if n else 13.8
+    return {"mean": np.zeros(len(FEATURES)), "scale": np.ones(len(FEATURES)), "weights": np.zeros(2 * len(FEATURES)), "slope": 1.0, "offset": float(logit)}
+
+
+def _sums(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the pairwise logistic loss at w, summed over differences d."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+    return -(d * p[:, None]).sum(axis=0), (d * (p * (1 - p))[:, None]).T @ d
+
+
+def _step(gradient: np.ndarray, hessian: np.ndarray, n: int, w: np.ndarray) -> np.ndarray:
+    return np.linalg.solve(hessian / n + RIDGE * np.eye(len(w)), gradient / n + RIDGE * w)
+
+
 def fit(rows: list[tuple[str, int]], share: float = 0.5, seed: int = 3) -> dict:
+    """A model of few rows that are at hand; fit_labelled is for tables."""
     y = np.array([int(v) for _, v in rows])
     x = np.array([features(t) for t, _ in rows]).reshape(len(rows), len(FEATURES))
-    flat = {"mean": np.zeros(len(FEATURES)), "scale": np.ones(len(FEATURES)), "weights": np.zeros(2 * len(FEATURES)), "slope": 1.0}
+    flat = _constant(len(y), share)
     if len(set(y.tolist())) < 2:
-        logit = np.log(max(share, 1e-6) / max(1 - share, 1e-6)) if len(y) else 13.8
-        return flat | {"offset": float(logit)}
+        return flat
     model = flat | {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-6}
     z = _expand(x, model)
     rng = np.random.default_rng(seed)
     better, worse = rng.choice(np.flatnonzero(y == 1), PAIRS), rng.choice(np.flatnonzero(y == 0), PAIRS)
     d = z[better] - z[worse]
     w = np.zeros(z.shape[1])
-    for _ in range(30):  # Newton's method on the pairwise logistic loss
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        gradient = -(d * p[:, None]).mean(axis=0) + RIDGE * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
+    for _ in range(STEPS):  # Newton's method on the pairwise logistic loss
+        step = _step(*_sums(d, w), len(d), w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
     scores = z @ w
     # Few rows of label 0 above the cut, and fewer rows of label 1 below it.
-    cut = (np.quantile(scores[y == 0], CUT_QUANTILE) + np.quantile(scores[y == 1], 1 - CUT_QUANTILE)) / 2
-    return model | {"weights": w, "offset": float(np.log(KEEP_FROM / (1 - KEEP_FROM)) - cut)}
+    return model | {"weights": w, "offset": _offset(np.quantile(scores[y == 0], CUT_QUANTILE), np.quantile(scores[y == 1], 1 - CUT_QUANTILE))}
+
+
+def _offset(bad: float, good: float) -> float:
+    return float(np.log(KEEP_FROM / (1 - KEEP_FROM)) - (bad + good) / 2)
+
+
+def _featured(rows: DataFrame) -> DataFrame:
+    """rows (label, text) -> label, part, place, x: features, and the row's place among those of its label in its part."""
+
+    def of(batches):
+        part, seen = TaskContext.get().partitionId(), [0, 0]
+        for batch in batches:
+            label = batch["label"].to_numpy()
+            place = np.zeros(len(label), np.int64)
+            for y in (0, 1):
+                place[label == y] = seen[y] + np.arange((label == y).sum())
+                seen[y] += int((label == y).sum())
+            yield pd.DataFrame({"label": label, "part": part, "place": place, "x": [features(t) for t in batch["text"]]})
+
+    return materialize(rows.select("label", "text").mapInPandas(of, "label int, part int, place long, x array<double>"), "quality-features")
+
+
+def _numbered(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """rows of _featured and n, from 0 within a label; and the number of rows of each label."""
+    sizes = rows.groupBy("label", "part").agg((F.max("place") + 1).alias("size")).collect()
+    first, total = [], [0, 0]
+    for r in sorted(sizes, key=lambda r: (r["label"], r["part"])):
+        first.append((r["label"], r["part"], total[r["label"]]))
+        total[r["label"]] += r["size"]
+    starts = rows.sparkSession.createDataFrame(first, "label int, part int, first long")
+    return rows.join(starts, ["label", "part"]).select("label", (F.col("first") + F.col("place")).alias("n"), "x"), total
+
+
+def _pairs(rows: DataFrame, total: list[int]) -> DataFrame:
+    """better, worse: the features of pairs of which each row is in as many as it takes for PAIRS in all, PARTNERS at least."""
+    each = max(PARTNERS, -(-PAIRS // sum(total)))
+    sides = []
+    for y in (1, 0):
+        other = rows.where(F.col("label") == 1 - y).select(F.col("n").alias("met"), F.col("x").alias("other"))
+        own = rows.where(F.col("label") == y).select("n", "x", F.explode(F.sequence(F.lit(1), F.lit(each))).alias("turn"))
+        own = own.select("x", F.pmod(F.xxhash64(F.lit(y), "n", "turn"), F.lit(total[1 - y])).alias("met")).join(other, "met")
+        sides.append(own.select(F.col("x" if y else "other").alias("better"), F.col("other" if y else "x").alias("worse")))
+    return materialize(sides[0].unionByName(sides[1]), "quality-pairs")
+
+
+def fit_labelled(rows: DataFrame, share: float) -> dict:
+    """The model of all rows (label 0 or 1, text)."""
+    featured = _featured(rows)
+    each = [f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(len(FEATURES))]
+    found = featured.agg(F.count("*"), F.min("label"), F.max("label"), *each).first()
+    flat = _constant(found[0], share)
+    if not found[0] or found[1] == found[2]:
+        return flat
+    model = flat | {"mean": np.array(found[3 : 3 + len(FEATURES)]), "scale": np.array(found[3 + len(FEATURES) :]) + 1e-6}
+    pairs = _pairs(*_numbered(featured))
+    count, w = pairs.count(), np.zeros(2 * len(FEATURES))
+    matrix = lambda column: np.stack(column.to_numpy()).astype(np.float64)
+    for _ in range(STEPS):
+
+        def summed(batches, w=w):
+            gradient, hessian = np.zeros(len(w)), np.zeros((len(w), len(w)))
+            for batch in batches:
+                if len(batch):
+                    g, h = _sums(_expand(matrix(batch["better"]), model) - _expand(matrix(batch["worse"]), model), w)
+                    gradient, hessian = gradient + g, hessian + h
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [np.concatenate((gradient, hessian.ravel()))]})
+
+        parts = sorted(pairs.mapInPandas(summed, "part int, sums array<double>").collect())
+        sums = np.sum([r["sums"] for r in parts], axis=0)
+        step = _step(sums[: len(w)], sums[len(w) :].reshape(len(w), len(w)), count, w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+
+    def scored(batches):
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"label": batch["label"], "score": _expand(matrix(batch["x"]), model) @ w})
+
+    scores = featured.select("label", "x").mapInPandas(scored, "label int, score double")
+    cuts = scores.groupBy("label").agg(F.percentile_approx("score", [1 - CUT_QUANTILE, CUT_QUANTILE], RANKS).alias("q")).collect()
+    low, high = ({r["label"]: r["q"][i] for r in cuts} for i in (0, 1))
+    return model | {"weights": w, "offset": _offset(high[0], low[1])}
 
 
 def score_texts(texts, model: dict) -> np.ndarray:
@@ -110,8 +208,10 @@ def with_quality(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> dict:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fit(*labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", 4, 2, MAX_ROWS_EACH))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    known = read_table(spark, sf_dir, "labels").where((holdout_bucket(F.col("doc_id"), 4) != 2) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
+    share = known.agg(F.avg("label")).first()[0]
+    return fit_labelled(docs.join(known, "doc_id"), share or 0.0)
 
 
 def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,3 +244,20 @@ def test_whole_texts_against_a_plain_network():
     small = labeller.label(texts + [None, "12", ""])
     assert small[-3:] == [("und", 0.0)] * 3 and [a for a, _ in small[:-3]] == [model["labels"][int(p.argmax())] for p in got]
     assert langid.Labeller(langid.fit([])).label(["hello"]) == [("und", 0.0)]
+
+
+def test_quality_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Mean and spread are those of every row and of whole texts, each row is in a pair, and the model orders the rows."""
+    rows = [(k % 2, f"{k} " + (prose(n=30) if k % 2 else "$$ !! || x9 " * 12)) for k in range(600)] + [(0, "a " * 40_000)]
+    table = spark.createDataFrame(rows, "label int, text string").repartition(3)
+    x = np.array([quality.features(t) for _, t in rows])
+    featured, total = quality._numbered(quality._featured(table))
+    assert total == [301, 300] and sorted((r["label"], r["n"]) for r in featured.select("label", "n").collect()) == [(y, n) for y in (0, 1) for n in range(total[y])]
+    monkeypatch.setattr(quality, "PAIRS", 900)
+    pairs = quality._pairs(featured, total).collect()
+    assert len(pairs) == 2 * 601 and {tuple(r["better"]) for r in pairs} == {tuple(v) for v, (y, _) in zip(x, rows) if y}
+    assert {tuple(r["worse"]) for r in pairs} == {tuple(v) for v, (y, _) in zip(x, rows) if not y}
+    model = quality.fit_labelled(table, 0.5)
+    assert np.allclose(model["mean"], x.mean(axis=0)) and np.allclose(model["scale"], x.std(axis=0) + 1e-6)
+    scores = quality.score_texts([t for _, t in rows], model)
+    assert np.mean((scores >= quality.KEEP_FROM) == [y == 1 for y, _ in rows]) > 0.99
