@@ -236,6 +236,5 @@ def t03_composite_options(spark, sf):
 
 @query(f"WITH f AS {P} SELECT rx_id, line, d.p_name AS medicine FROM {D} d")
 def x04_extract_medicine(spark, sf):
-    rows = S.dictation(spark, sf).select("rx_id", "line", c("text").alias("clause"), F.lit(None).cast("string").alias("seed"), "p_name", *[x for x in S.ORDER.split(", ") if x != "line"])
-    keyed = rows.withColumn("n", F.xxhash64(*S.ORDER.split(", "), "rx_id"))
-    return extract.extract_medicine(keyed, S.catalogue(spark, sf), ["rx_id", "n"]).select("rx_id", "line", F.lower("medicine").alias("medicine"))
+    rows = S.dictation(spark, sf).select("rx_id", "line", c("text").alias("clause"), F.lit(None).cast("string").alias("seed"))
+    return extract.extract_medicine(rows, S.catalogue(spark, sf)).select("rx_id", "line", F.lower("medicine").alias("medicine"))

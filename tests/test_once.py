@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from scribelake.operators import clauses
+from scribelake.operators import clauses, extract
+from scribelake.operators import formulary as C
 from scribelake.operators.once import once
 
 
@@ -29,3 +30,12 @@ def test_equal_texts_are_cut_once(spark):
     one = [(1, "Take Dolo 650 mg twice daily", ("Avoid alcohol",), 0, 28), (2, "Take Pan 40 mg once daily for 5 days", (), 45, 81)]
     assert got[:4] == [(rx, *c) for rx in (1, 2) for c in one] and [g[:3] for g in got[4:]] == [(5, 1, "Rest well")] * 2
     assert "Aggregate [text" in cut._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_prescriptions_have_equal_items(spark):
+    cat = C.catalogue(C.build_formulary(spark.createDataFrame([], C.RAW), None, True))
+    text = "Take Dolo 650 mg twice daily for 5 days. Take Pan 40 mg once daily."
+    rows = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "Take Pan 40 mg once daily.")], "rx_id int, text string")
+    got = sorted((r["rx_id"], r["item_no"], r["medicine"], r["strength"], r["duration"]) for r in extract.extract(rows, cat).collect())
+    dolo, pan = ("Dolo 650 mg", "650 mg", "5 days"), ("Pan 40 mg", "40 mg", None)
+    assert got == [(1, 1, *dolo), (1, 2, *pan), (2, 1, *dolo), (2, 2, *pan), (4, 1, *pan)]
