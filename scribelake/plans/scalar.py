@@ -11,6 +11,7 @@ from ..functions import names as N
 from ..functions import normalize as Z
 from ..functions import rules as R
 from ..functions import text as T
+from ..operators.once import once
 from . import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,20 +75,26 @@ _add("f25_split_dose", _dict, lambda: _id(dose=N.split_dose(c("truth_strength"),
 _add("p03_valid_medication", _dict, lambda: _id(valid=N.is_valid_medication(c("p_name")), invalid=N.is_valid_medication(F.when(c("line") % 2 == 0, lit("hot water")).otherwise(lit("take the doctor")))), f"SELECT rx_id, line, true AS valid, false AS invalid {D}")
 _add("t07_sort_strengths", _dict, lambda: _id(sorted=F.array_join(N.sort_strengths(F.array(F.concat(c("p_size").cast("string"), lit("%")), c("p_size").cast("string"), lit("9.5"))), ",")), f"SELECT rx_id, line, concat(CASE WHEN p_size < 9.5 THEN concat(CAST(p_size AS VARCHAR), ',9.5') ELSE concat('9.5,', CAST(p_size AS VARCHAR)) END, ',', CAST(p_size AS VARCHAR), '%') AS sorted {D}")
 
-# normalisation
+# normalisation: the same text once
+def _said_once(name: str, said: Callable[[], Column], made: Callable[[Column], Column], sql: str) -> None:
+    """rx_id, line and text: what made makes of said, which is of a dictation's columns."""
+    rows = lambda s, d: once(S.dictation(s, d).select("rx_id", "line", said().alias("said")), ["said"], lambda each: each.withColumn("text", made(c("said"))))
+    _add(name, rows, lambda: _id(text=c("text")), sql)
+
+
 _mixed = "concat(text, ' Take eight and fifty, dollar six fifty met for men ', CAST({size} AS {S}), ' roz do baar khane ke baad lo, 5 din tak aur goli')"
 _spoken = lambda: F.expr(_mixed.format(size="p_size", S="STRING"))
 _msql = _mixed.format(size="p_size", S="VARCHAR")
-_add("f07_normalize_asr", _dict, lambda: _id(text=Z.normalize_asr(_spoken())), f"SELECT rx_id, line, {sql_fold(_msql, R.HEARD)} AS text {D}")
-_add("f08_normalize_hinglish", _dict, lambda: _id(text=Z.normalize_hinglish(_spoken())), f"SELECT rx_id, line, {sql_fold(_msql, R.HINGLISH)} AS text {D}")
+_said_once("f07_normalize_asr", _spoken, Z.normalize_asr, f"SELECT rx_id, line, {sql_fold(_msql, R.HEARD)} AS text {D}")
+_said_once("f08_normalize_hinglish", _spoken, Z.normalize_hinglish, f"SELECT rx_id, line, {sql_fold(_msql, R.HINGLISH)} AS text {D}")
 _noisy = "concat('Hello doctor, how are you. Dr. Roy, yesterday 4:30 PM ', text, ' Thank you very much. BP is 120, ok. Apply ice packs to knee.')"
-_add("f09_clean_noise", _dict, lambda: _id(text=Z.clean_noise(F.expr(_noisy))), f"SELECT rx_id, line, {sql_fold(f'trim({sql_fold(_noisy, [(R.SPEAKER, chr(46) + chr(32) + chr(84) + chr(97) + chr(107) + chr(101) + chr(32))])})', [(p, ' ') for p in R.NOISE])} AS text {D}")
-_add("f10_normalize_numbers", _dict, lambda: _id(text=Z.normalize_numbers(F.expr("concat(text, '  1,', p_size, '  .5% and .25mg')"))), f"SELECT rx_id, line, concat(text, ' 1', CAST(p_size AS VARCHAR), ' 0.5 % and 0.25 mg') AS text {D}")
-_add("f11_correct_punctuation", _dict, lambda: _id(text=Z.correct_punctuation(F.expr("concat(text, '  take ', p_name, ' daily and apply ', p_name, ' , if fever persists meet doctor')"))), f"SELECT rx_id, line, concat(text, ' Take ', p_name, ' daily. Apply ', p_name, '. If fever persists. Meet doctor.') AS text {D}")
-_add("f12_normalize_text", _dict, lambda: _id(text=Z.normalize_text(c("text"))), f"SELECT rx_id, line, text {D}")
-_add("f13_spell_correct", _dict, lambda: _id(text=Z.spell_correct(F.expr("concat('Parasitamol, ', text, ' sefixime; montelecast')"))), f"SELECT rx_id, line, concat('Paracetamol, ', text, ' cefixime; montelukast') AS text {D}")
-_add("f14_clean_hallucinations", _dict, lambda: _id(text=Z.clean_hallucinations(F.expr("concat('[music] ', text, ' go go go go Thank you for watching!')"))), f"SELECT rx_id, line, concat(text, ' go') AS text {D}")
-_add("f15_word_numbers", _dict, lambda: _id(text=Z.word_numbers(F.expr("concat('one tablet, half tab and Two drops of ', text)"))), f"SELECT rx_id, line, concat('1 tablet, 0.5 tab and 2 drops of ', text) AS text {D}")
+_said_once("f09_clean_noise", lambda: F.expr(_noisy), Z.clean_noise, f"SELECT rx_id, line, {sql_fold(f'trim({sql_fold(_noisy, [(R.SPEAKER, chr(46) + chr(32) + chr(84) + chr(97) + chr(107) + chr(101) + chr(32))])})', [(p, ' ') for p in R.NOISE])} AS text {D}")
+_said_once("f10_normalize_numbers", lambda: F.expr("concat(text, '  1,', p_size, '  .5% and .25mg')"), Z.normalize_numbers, f"SELECT rx_id, line, concat(text, ' 1', CAST(p_size AS VARCHAR), ' 0.5 % and 0.25 mg') AS text {D}")
+_said_once("f11_correct_punctuation", lambda: F.expr("concat(text, '  take ', p_name, ' daily and apply ', p_name, ' , if fever persists meet doctor')"), Z.correct_punctuation, f"SELECT rx_id, line, concat(text, ' Take ', p_name, ' daily. Apply ', p_name, '. If fever persists. Meet doctor.') AS text {D}")
+_said_once("f12_normalize_text", lambda: c("text"), Z.normalize_text, f"SELECT rx_id, line, text {D}")
+_said_once("f13_spell_correct", lambda: F.expr("concat('Parasitamol, ', text, ' sefixime; montelecast')"), Z.spell_correct, f"SELECT rx_id, line, concat('Paracetamol, ', text, ' cefixime; montelukast') AS text {D}")
+_said_once("f14_clean_hallucinations", lambda: F.expr("concat('[music] ', text, ' go go go go Thank you for watching!')"), Z.clean_hallucinations, f"SELECT rx_id, line, concat(text, ' go') AS text {D}")
+_said_once("f15_word_numbers", lambda: F.expr("concat('one tablet, half tab and Two drops of ', text)"), Z.word_numbers, f"SELECT rx_id, line, concat('1 tablet, 0.5 tab and 2 drops of ', text) AS text {D}")
 _add("f39_instruction_noise", _dict, lambda: _id(text=T.clean_instruction_noise(F.expr("concat('thank you. ', case when line % 2 = 0 then text else '' end)"))), f"SELECT rx_id, line, CASE WHEN line % 2 = 0 THEN text ELSE 'NONE' END AS text {D}")
 _add("p15_clean_segments", lambda s, d: S.dictation(s, d).select("rx_id", "line", F.filter(F.transform(F.split("text", " for "), Z.clean_hallucinations), lambda t: t != "").alias("segments")), lambda: _id(text=Z.clean_hallucinations(F.array_join("segments", " "))), f"SELECT rx_id, line, rtrim(replace(text, ' for ', ' '), '.') AS text {D}")
 
@@ -102,7 +109,8 @@ _add("f31_numbered_list", _dict, lambda: _id(text=T.numbered_list(F.split("p_nam
 _add("f32_prune_contained", _dict, lambda: _id(text=F.array_join(T.prune_contained(F.array(F.split("p_name", " ")[0], c("p_name"), F.upper("p_name"), lit("other"))), ",")), f"SELECT rx_id, line, 'other' AS text {D}")
 _add("f33_align_overlap", _dict, lambda: _id(text=T.align_overlap(F.concat(lit("so "), F.upper("p_name")), F.concat(c("p_name"), lit(" for "), c("truth_duration")))), f"SELECT rx_id, line, concat('for ', truth_duration) AS text {D}")
 _block = "concat('Drug_name: \"', p_name, '\" tablet\nstrength: ', truth_strength, '\nfrequency: ', truth_frequency, '\nroute: <oral|iv>\nDrug_name: ', p_name, ' tablet\nstrength: 1')"
-_add("f26_parse_blocks", _dict, lambda: _id(n=F.size(T.parse_blocks(F.expr(_block.replace('"', "").replace("\n", "\\n")))), name=F.get(T.parse_blocks(F.expr(_block.replace('"', "").replace("\n", "\\n"))), lit(0))["Drug_name"], strength=F.get(T.parse_blocks(F.expr(_block.replace('"', "").replace("\n", "\\n"))), lit(0))["strength"], route=F.get(T.parse_blocks(F.expr(_block.replace('"', "").replace("\n", "\\n"))), lit(0))["route"]), f"SELECT rx_id, line, 1 AS n, p_name AS name, truth_strength AS strength, 'NONE' AS route {D}")
+_blocks = lambda s, d: once(S.dictation(s, d).select("rx_id", "line", "p_name", "truth_strength", "truth_frequency"), ["p_name", "truth_strength", "truth_frequency"], lambda each: each.withColumn("blocks", T.parse_blocks(F.expr(_block.replace('"', "").replace("\n", "\\n")))))
+_add("f26_parse_blocks", _blocks, lambda: _id(n=F.size("blocks"), **{k: F.get("blocks", lit(0))[f] for k, f in (("name", "Drug_name"), ("strength", "strength"), ("route", "route"))}), f"SELECT rx_id, line, 1 AS n, p_name AS name, truth_strength AS strength, 'NONE' AS route {D}")
 _one = lambda: F.array(F.struct(c("p_name").alias("Drug_name"), *[lit("NONE").alias(f) for f in T.BLOCK_FIELDS[1:]]))
 _add("f27_attach_single_dose", _dict, lambda: _id(name=F.get(T.attach_single_dose(c("text"), _one()), lit(0))["Drug_name"]), f"SELECT rx_id, line, concat(p_name, ' ', truth_strength) AS name {D}")
 _add("f28_extract_json", _dict, lambda: _id(name=F.try_variant_get(T.extract_json(F.expr("concat('Answer: ```json {\"name\": \"', p_name, '\"} ```')")), "$.name", "string")), f"SELECT rx_id, line, p_name AS name {D}")

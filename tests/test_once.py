@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from scribelake.functions import text as T
 from scribelake.operators import clauses, extract
 from scribelake.operators import formulary as C
 from scribelake.operators.once import once
@@ -39,3 +40,10 @@ def test_equal_prescriptions_have_equal_items(spark):
     got = sorted((r["rx_id"], r["item_no"], r["medicine"], r["strength"], r["duration"]) for r in extract.extract(rows, cat).collect())
     dolo, pan = ("Dolo 650 mg", "650 mg", "5 days"), ("Pan 40 mg", "40 mg", None)
     assert got == [(1, 1, *dolo), (1, 2, *pan), (2, 1, *dolo), (2, 2, *pan), (4, 1, *pan)]
+
+
+def test_block_values_are_read_once(spark):
+    rows = spark.createDataFrame([("Drug_name: A tab\nstrength: 1\nDrug_name: a\nstrength: 2",), (None,)], "c string")
+    parsed = rows.select(T.parse_blocks(F.col("c")).alias("b"))
+    assert [[(b["Drug_name"], b["strength"]) for b in r["b"]] for r in parsed.collect()] == [[("A", "1")], [("NONE", "NONE")]]
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("*duration") == 1
