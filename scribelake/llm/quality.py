@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import holdout_bucket, materialize, read_table
+from .common import holdout_bucket, materialize, maybe_marked, read_table
 
 PAIRS, KEEP_FROM, CUT_QUANTILE, RIDGE = 40_000, 0.7, 0.998, 1e-3
 PARTNERS, RANKS, STEPS = 2, 100_000, 30
@@ -113,8 +113,18 @@ def _offset(bad: float, good: float) -> float:
     return float(np.log(KEEP_FROM / (1 - KEEP_FROM)) - (bad + good) / 2)
 
 
-def _featured(rows: DataFrame) -> DataFrame:
-    """rows (label, text) -> label, part, place, x: features, and the row's place among those of its label in its part."""
+def _features(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """rows (column key, of type kind, and text) -> key, x: the features of the text."""
+
+    def of(batches):
+        for batch in batches:
+            yield pd.DataFrame({key: batch[key], "x": [features(t) for t in batch["text"]]})
+
+    return rows.select(key, "text").mapInPandas(of, f"{key} {kind}, x array<double>")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows (label, x) -> label, part, place, x: a row's place among those of its label in its part."""
 
     def of(batches):
         part, seen = TaskContext.get().partitionId(), [0, 0]
@@ -124,13 +134,18 @@ def _featured(rows: DataFrame) -> DataFrame:
             for y in (0, 1):
                 place[label == y] = seen[y] + np.arange((label == y).sum())
                 seen[y] += int((label == y).sum())
-            yield pd.DataFrame({"label": label, "part": part, "place": place, "x": [features(t) for t in batch["text"]]})
+            yield pd.DataFrame({"label": label, "part": part, "place": place, "x": batch["x"]})
+
+    return materialize(rows.select("label", "x").mapInPandas(of, "label int, part int, place long, x array<double>"), "quality-features")
+
 
-    return materialize(rows.select("label", "text").mapInPandas(of, "label int, part int, place long, x array<double>"), "quality-features")
+def _featured(rows: DataFrame) -> DataFrame:
+    """rows (label, text) -> what _placed gives."""
+    return _placed(_features(rows, "label", "int"))
 
 
 def _numbered(rows: DataFrame) -> tuple[DataFrame, list[int]]:
-    """rows of _featured and n, from 0 within a label; and the number of rows of each label."""
+    """rows of _placed and n, from 0 within a label; and the number of rows of each label."""
     sizes = rows.groupBy("label", "part").agg((F.max("place") + 1).alias("size")).collect()
     first, total = [], [0, 0]
     for r in sorted(sizes, key=lambda r: (r["label"], r["part"])):
@@ -154,7 +169,12 @@ def _pairs(rows: DataFrame, total: list[int]) -> DataFrame:
 
 def fit_labelled(rows: DataFrame, share: float) -> dict:
     """The model of all rows (label 0 or 1, text)."""
-    featured = _featured(rows)
+    return fit_featured(_features(rows, "label", "int"), share)
+
+
+def fit_featured(rows: DataFrame, share: float) -> dict:
+    """The model of all rows (label 0 or 1, x: features)."""
+    featured = _placed(rows)
     each = [f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(len(FEATURES))]
     found = featured.agg(F.count("*"), F.min("label"), F.max("label"), *each).first()
     flat = _constant(found[0], share)
@@ -208,10 +228,12 @@ def with_quality(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> dict:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text").where("text is not null and doc_id is not null")
     known = read_table(spark, sf_dir, "labels").where((holdout_bucket(F.col("doc_id"), 4) != 2) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label"))
     share = known.agg(F.avg("label")).first()[0]
-    return fit_labelled(docs.join(known, "doc_id"), share or 0.0)
+    # Texts stay where they are read: the bitmap leaves out those without a label, and features alone meet the labels.
+    marked = docs.where(maybe_marked(F.col("doc_id"), known.where("doc_id is not null").select(F.col("doc_id").cast("long"))))
+    return fit_featured(_features(marked, "doc_id", "long").join(known.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id"), share or 0.0)
 
 
 def op2_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Equal values are worked on once, and every row has its result."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from scribelake.functions import text as T
+from scribelake.llm import quality
 from scribelake.operators import clauses, extract
 from scribelake.operators import formulary as C
 from scribelake.operators.once import once
@@ -47,3 +50,17 @@ def test_block_values_are_read_once(spark):
     parsed = rows.select(T.parse_blocks(F.col("c")).alias("b"))
     assert [[(b["Drug_name"], b["strength"]) for b in r["b"]] for r in parsed.collect()] == [[("A", "1")], [("NONE", "NONE")]]
     assert parsed._jdf.queryExecution().optimizedPlan().toString().count("*duration") == 1
+
+
+def test_texts_are_not_shuffled_for_labels(spark, tmp_path, monkeypatch):
+    docs = [(i, f"word {i} " * 9 if i % 2 else "!! " * i) for i in range(1, 200)] + [(1, "again"), (None, "x"), (500, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 150)] + [(900, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    met = []
+    monkeypatch.setattr(quality, "fit_featured", lambda rows, share: met.append(rows))
+    quality.quality_model(spark, str(tmp_path))
+    plan = met[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join") < plan.index("MapInPandas")
+    known = {i for i in range(1, 150) if __import__("zlib").crc32(str(i).encode()) % 4 != 2}
+    want = sorted((i % 2, json.dumps([float(v) for v in quality.features(t)])) for i, t in docs if i in known and t is not None)
+    assert sorted((r["label"], json.dumps(list(r["x"]))) for r in met[0].collect()) == want
