@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLOCK_FIELDS, format_block
@@ -11,27 +11,31 @@ from .extract import evidence
 ITEM = ("item_no", "medicine", "strength", "dose", "dose_unit", "frequency", "duration", "route", "instruction", "additional_instruction", "item_status", "confidence")
 
 
-def overall_status(items: DataFrame) -> DataFrame:
-    """rx_id, overall_status, total_medicines, review_count."""
-    return items.groupBy("rx_id").agg(
+def _overall() -> list[Column]:
+    return [
         F.when(F.bool_and(F.col("item_status") == "ERROR"), "ERROR").when(F.bool_or(F.col("val_status").isin("NEEDS_REVIEW", "ERROR")), "NEEDS_REVIEW").otherwise("VALIDATED").alias("overall_status"),
         F.count("*").alias("total_medicines"), F.count_if(F.col("val_status") == "NEEDS_REVIEW").alias("review_count"),
-    )
+    ]
+
+
+def overall_status(items: DataFrame) -> DataFrame:
+    """rx_id, overall_status, total_medicines, review_count."""
+    return items.groupBy("rx_id").agg(*_overall())
 
 
 def assemble(items: DataFrame, raw: str = "raw_text") -> DataFrame:
     """rx_id, items (array of structs in item_no order, those in error left out, with evidence spans), overall_status,
-    total_medicines, warnings, metadata."""
+    total_medicines, warnings, metadata. Items are read once."""
     fields = {"medicine": F.col("medicine"), "strength": F.col("strength"), "frequency": F.col("frequency"), "duration": F.col("duration")}
     have = [c for c in ITEM if c in items.columns]
     rows = items.withColumn("evidence", evidence(F.col(raw), fields))
-    nested = F.array_sort(F.collect_list(F.when(F.col("item_status") != "ERROR", F.struct("item_no", F.struct(*have[1:]).alias("fields")))), lambda x, y: x["item_no"] - y["item_no"])
-    spans = F.array_sort(F.collect_list(F.struct("item_no", F.map_entries("evidence").alias("spans"))), lambda x, y: x["item_no"] - y["item_no"])
-    out = rows.groupBy("rx_id").agg(
+    nested = F.array_sort(F.collect_list(F.when(F.col("item_status") != "ERROR", F.struct("item_no", F.struct(*have[1:]).alias("fields")))))
+    spans = F.array_sort(F.collect_list(F.struct("item_no", F.map_entries("evidence").alias("spans"))))
+    return rows.groupBy("rx_id").agg(
         nested.alias("items"), spans.alias("evidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"),
         F.struct(F.count("*").alias("extracted"), F.count_if(F.col("item_status") == "ERROR").alias("rejected"), F.round(F.avg("confidence"), 4).alias("mean_confidence")).alias("metadata"),
+        *_overall(),
     )
-    return out.join(overall_status(items), "rx_id")
 
 
 def is_valid_prescription(status):
