@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions.text import ambiguous_frequency, contradictory_text, remove_commentary, removed_commentary
+from ..storage import materialize
 from . import formulary as C
 from . import lookup as L
 from .extract import NOT_FOUND
 
 
 def recognized(items: DataFrame, cat: C.Catalogue, min_confidence: float = 0.68) -> DataFrame:
-    """items and column recognized: the name or its first word is in the catalogue, or sounds like it."""
+    """items and columns recognized: the name or its first word is in the catalogue, or sounds like it; and is_medication: the name
+    may be a medicine. Names are worked on once each; their tables are of known size, so that items stay where they are if names are few."""
     first = F.split("medicine", r"\s+")[0]
-    asked = items.select("medicine").distinct()
+    asked = materialize(items.select("medicine").distinct(), "recognized-asked")
     keys = asked.select(F.col("medicine"), F.explode(F.array("medicine", first)).alias("key"))
-    names = L.resolve(keys, cat).select("key")
+    names = materialize(L.resolve(keys, cat).select("key"), "recognized-names")
     near = L.find_fuzzy(keys.join(names, "key", "left_anti"), cat, min_confidence, 1).select("key")
     known = keys.join(names.unionByName(near).distinct(), "key", "left_semi").select("medicine").distinct().withColumn("recognized", F.lit(True))
-    return items.join(known, "medicine", "left").withColumn("recognized", F.coalesce("recognized", F.lit(False)))
+    known = asked.join(known, "medicine", "left").select("medicine", F.coalesce("recognized", F.lit(False)).alias("recognized"), N.is_valid_medication(F.col("medicine")).alias("is_medication"))
+    rows = items.drop("recognized", "is_medication").join(materialize(known, "recognized", asked), "medicine", "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("recognized", "is_medication")})
 
 
 def _said(words: Column, text: Column) -> Column:
@@ -41,15 +45,17 @@ def _missing_numbers(value: Column, text: Column) -> Column:
 
 def validate_items(items: DataFrame, raw: str = "raw_text", norm: str = "norm_text") -> DataFrame:
     """items (with recognized, did_you_mean, status, conflicts, review_reasons) and errors, warnings, is_valid,
-    item_status, val_status; review_reasons grows, instruction loses foreign comment."""
+    item_status, val_status; review_reasons grows, instruction loses foreign comment. A column is_medication, as recognized gives it,
+    is taken as the check of the name, and goes."""
     text = F.concat_ws(" ", F.col(raw), F.col(norm))
     name, found = F.col("medicine"), F.col("medicine") != NOT_FOUND
     words = N.core_words(name)
+    medication = F.col("is_medication") if "is_medication" in items.columns else N.is_valid_medication(name)
     unsaid = F.col("did_you_mean").isNull() & found & (F.size(words) > 0) & ~_said(words, text) & ~_heard(words, text)
     error = lambda when, *message: F.when(when, F.concat(*[F.lit(m) if isinstance(m, str) else m for m in message]))
     errors = F.array_compact(F.concat(
         F.array(
-            error(found & ~N.is_valid_medication(name), "Entity '", name, "' is not a valid pharmaceutical entity."),
+            error(found & ~medication, "Entity '", name, "' is not a valid pharmaceutical entity."),
             error(found & ~F.col("recognized") & F.col("did_you_mean").isNull(), "Medicine '", name, "' is not recognized in the master formulary."),
             error(unsaid, "Drug name '", name, "' was not found in the text."),
         ),
@@ -62,7 +68,7 @@ def validate_items(items: DataFrame, raw: str = "raw_text", norm: str = "norm_te
         F.when(~found, F.lit("Medicine not recognized in the master formulary.")),
     ))
     foreign = F.coalesce(removed_commentary(F.col("instruction"), F.col(raw)), F.array().cast("array<string>"))
-    rows = items.withColumn("errors", errors).withColumn("__new", reasons)
+    rows = items.withColumn("errors", errors).withColumn("__new", reasons).drop("is_medication")
     rows = rows.withColumn("warnings", F.concat("__new", F.transform(foreign, lambda c: F.concat(F.lit("Removed unsolicited commentary '"), c, F.lit("'.")))))
     rows = rows.withColumn("instruction", remove_commentary(F.col("instruction"), F.col(raw)))
     conflicts = F.transform("conflicts", lambda c: F.concat(F.lit("Extraction conflict: "), c))

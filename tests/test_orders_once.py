@@ -25,3 +25,21 @@ def test_prescriptions_are_assembled_in_one_reading(spark):
     assert "Join" not in plan_of(out)
     got = {r["rx_id"]: ([i["item_no"] for i in r["items"]], [e["item_no"] for e in r["evidence"]], r["overall_status"], r["total_medicines"], r["review_count"], r["metadata"]["rejected"]) for r in out.collect()}
     assert got == {1: ([1, 2], [1, 2, 10], "NEEDS_REVIEW", 3, 1, 1), 2: ([], [1], "ERROR", 1, 0, 1), 3: ([1], [1], "VALIDATED", 1, 0, 0)}
+
+
+def test_names_are_recognized_in_one_reading(spark):
+    cat = C.catalogue(C.build_formulary(spark.createDataFrame([], C.RAW), None, True))
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def same(name):
+        read.add(1)
+        return name
+
+    names = ["Dolo 650 mg", "Dolo 650 mg", "Dolo", "the doctor", "Qwrtzp 5 mg", None, ""]
+    items = spark.createDataFrame([(i, m) for i, m in enumerate(names)], "n int, m string").select("n", same("m").alias("medicine"))
+    rows = validate.recognized(items, cat)
+    assert read.value == len(names)
+    got = {r["n"]: (r["medicine"], r["recognized"], r["is_medication"]) for r in rows.collect()}
+    want = [(True, True)] * 3 + [(False, False), (False, True), (False, False), (False, False)]
+    assert got == {i: (m, *w) for i, (m, w) in enumerate(zip(names, want))}
