@@ -43,3 +43,11 @@ def test_names_are_recognized_in_one_reading(spark):
     got = {r["n"]: (r["medicine"], r["recognized"], r["is_medication"]) for r in rows.collect()}
     want = [(True, True)] * 3 + [(False, False), (False, True), (False, False), (False, False)]
     assert got == {i: (m, *w) for i, (m, w) in enumerate(zip(names, want))}
+
+
+def test_names_are_split_once_for_pairs(spark):
+    rows = lambda *names: spark.createDataFrame([(1, k, n, *[None] * 6) for k, n in enumerate(names)], f"rx_id long, item_no int, {FIELDS}")
+    out = reconcile.pair(rows("Dolo 650", "Pan 40", "", None), rows("pan", "Azee", "dolo", ""))
+    assert plan_of(out).count("split(") == 2
+    got = [(r["pos"], r["a"] and r["a"]["medicine"], r["b"] and r["b"]["medicine"]) for r in out.collect()]
+    assert sorted(got) == [(0, "Dolo 650", "dolo"), (1, "Pan 40", "pan"), (2, "", None), (3, None, None), (4, None, "Azee"), (5, None, "")]
