@@ -176,7 +176,7 @@ def eval_key(c: Column) -> Column:
 
 def matches_expected(actual: Column, expected: Column) -> Column:
     a, e = eval_key(actual), eval_key(expected)
-    return F.when(expected.isNull(), actual.isNull()).when(actual.isNull(), False).otherwise(F.contains(a, e) | F.contains(e, a))
+    return F.when(expected.isNull(), actual.isNull()).when(actual.isNull(), False).when(actual == expected, True).otherwise(F.contains(a, e) | F.contains(e, a))
 
 
 def find_span(text: Column, part: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import matches_expected
@@ -14,9 +14,14 @@ FIELDS = ("medicine", "strength", "frequency", "duration", "route")
 
 
 def pair_by_ordinal(expected: DataFrame, actual: DataFrame, key: str = "rx_id", order: str = "item_no") -> DataFrame:
-    """Each expected item with the actual one of the same place: key, pos, e (struct), a (struct or null)."""
-    place = lambda df, name: df.select(key, F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("pos"), F.struct(*[F.col(f) for f in FIELDS]).alias(name))
-    return place(expected, "e").join(place(actual, "a"), [key, "pos"], "left")
+    """Each expected item with the actual one of the same place: key, pos, e (struct), a (struct or null).
+
+    The items of a key are few, so they meet as arrays of one row, which stay where the key is.
+    """
+    listed = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__at"), F.struct(*[F.col(f) for f in FIELDS]).alias("item")))).alias(name))
+    both = listed(expected, "__e").join(listed(actual, "__a"), key, "left")
+    rows = both.select(key, "__a", F.posexplode("__e").alias("__i", "__of"))
+    return rows.select(key, (F.col("__i") + 1).alias("pos"), F.col("__of.item").alias("e"), F.get("__a", F.col("__i"))["item"].alias("a"))
 
 
 def field_confusion(pairs: DataFrame) -> DataFrame:

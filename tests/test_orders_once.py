@@ -51,3 +51,20 @@ def test_names_are_split_once_for_pairs(spark):
     assert plan_of(out).count("split(") == 2
     got = [(r["pos"], r["a"] and r["a"]["medicine"], r["b"] and r["b"]["medicine"]) for r in out.collect()]
     assert sorted(got) == [(0, "Dolo 650", "dolo"), (1, "Pan 40", "pan"), (2, "", None), (3, None, None), (4, None, "Azee"), (5, None, "")]
+
+
+def test_pairs_by_ordinal_stay_with_their_key(spark):
+    item = lambda name: (name, None, None, None, None)
+    schema = "rx_id long, item_no int, medicine string, strength string, frequency string, duration string, route string"
+    e = spark.createDataFrame([(1, 10, *item("b")), (1, 2, *item("a")), (2, 1, *item("c")), (None, 1, *item("d"))], schema)
+    a = spark.createDataFrame([(1, 3, *item("x")), (3, 1, *item("y")), (None, 1, *item("z")), (2, 1, *item("u")), (2, 2, *item("v"))], schema)
+    out = evaluate.pair_by_ordinal(e, a)
+    assert "Window" not in plan_of(out)
+    assert {(r["rx_id"], r["pos"], r["e"]["medicine"], r["a"] and r["a"]["medicine"]) for r in out.collect()} == {(1, 1, "a", "x"), (1, 2, "b", None), (2, 1, "c", "u"), (None, 1, "d", None)}
+
+
+def test_equal_values_match_without_rules(spark):
+    pairs = [("1-0-1", "1-0-1"), ("A.", "a"), ("a b", "b"), ("a", "b"), (None, "a"), (None, None), ("a", None), ("", ""), ("...", "...")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "n int, a string, e string").select("n", T.matches_expected(F.col("a"), F.col("e")).alias("ok"))
+    assert [r["ok"] for r in sorted(rows.collect())] == [True, True, True, False, False, True, False, True, True]
+    assert json.dumps(plan_of(rows)).count("THEN true") == 1
