@@ -18,8 +18,18 @@ from scribelake.llm.common import materialize, read_table, unused
 from scribelake.llm.tokens import vocabulary_path
 
 
+BATCH_ROWS = 1000  # whole texts that a worker and its task hold at a time, at most; Spark's own bound is 10,000
+
+
+def _in_short_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score KEEP_FROM or more."""
+    _in_short_batches(spark)
     score = unused(docs.columns, "score")[0]
     scored = quality.with_quality(docs, quality.quality_model(spark, sf_dir), score)
     return scored.where(F.col(score) >= quality.KEEP_FROM).drop(score)
@@ -27,22 +37,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each near-duplicate component."""
+    _in_short_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    _in_short_batches(spark)
     return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind in brackets, n_chars counted anew."""
+    _in_short_batches(spark)
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
+    _in_short_batches(spark)
     return packing.pack(docs, vocabulary_path(), end_id=0, capacity=packing.CAPACITY)
 
 

@@ -56,3 +56,20 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, frame.withColumn("__extra", frame["doc_id"]), folder).columns == [*frame.columns, "__extra"]
         assert stage(spark, frame.where("false"), folder).count() == 0
+
+
+def test_stages_hold_few_texts(spark, tmp_path):
+    """Every stage bounds what a worker holds of whole texts, and leaves a smaller bound as it is."""
+    key, folder = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "sf")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, given = spark.read.parquet(f"{folder}/documents.parquet"), spark.conf.get(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            for before, after in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+                spark.conf.set(key, before)
+                stage(spark, docs, folder)
+                assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, given)
