@@ -18,6 +18,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict = {}
+
+
+def kept(owner: tuple, make):
+    """What make() gives, which this worker keeps for owner until another owner asks. A worker outlives its stage, so what each
+    stage keeps would add up. Not for two owners that take turns within a task."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
 def unused(columns, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from the columns."""
     taken, out = {c.lower() for c in columns}, []

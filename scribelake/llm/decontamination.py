@@ -39,10 +39,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_marked, read_table, unused
+from .common import kept, materialize, maybe_marked, read_table, unused
 
 SHINGLE, SIMILARITY, BITS, RADIUS, ITEMS_AT_ONCE, ITEM_CHARS = 5, 0.8, 256, 47, 2000, 5000
-MEMO_ENTRIES, AT_ONCE = 500_000, 2048  # words kept by a worker; windows fingerprinted at a time
+MEMO_ENTRIES, AT_ONCE = 170_000, 2048  # words kept by a worker; windows fingerprinted at a time
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -282,9 +282,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str, int]],
         yield sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"], r["n"]) for r in block.collect()), within
 
 
-_held: dict = {}  # this worker's index: of one block
-
-
 def _finder(shared):
     """A function of texts that gives the matches with the items in the broadcast variable shared."""
     block = uuid.uuid4().hex
@@ -292,10 +289,8 @@ def _finder(shared):
     @F.pandas_udf(MATCHES)
     def find(texts: pd.Series) -> pd.Series:
         items, counts = shared.value
-        if _held.get("block") != block:
-            _held.clear()
-            _held.update(block=block, index=Benchmark([((i, n), text) for i, text, n in items], counts), memo=_Hashes())
-        index, memo, out = _held["index"], _held["memo"], []
+        index, memo = kept(("benchmark", block), lambda: (Benchmark([((i, n), text) for i, text, n in items], counts), _Hashes()))
+        out = []
         for text in texts:
             found = index.matches(word_hashes(text, memo)) if isinstance(text, str) and text else {}
             rows = sorted((index.ids[j][0], s, a, n) for j, (s, a, n) in found.items() for _ in range(index.ids[j][1]))

@@ -12,8 +12,10 @@ import unicodedata
 
 import numpy as np
 
+from .common import kept
+
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 340_000  # a dict of up to 349,525 entries takes half of what the next size takes
 _TAIL = ",.;:!?%&*#$|"
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Letters in both cases, marks behind, before and within words, digits, accents, several blanks, and other scripts.
@@ -21,7 +23,6 @@ PROBES = (
     "Plain words, and MORE plain words!", "it's Don't 'S ''s we'll", "...a..b,.c! 12,3.4 x-y (z) [q]; word*** w%%", "éa ÉÜÑ straße Ǆ ﬁ", " two  blanks\nand\tmore ",
     "日本語。テスト、مرحبا", "aB Cd EF ghijklmnopqrstuvwxyz0123456789",
 )
-_workers: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -32,9 +33,7 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 def encoder(path: str, dtype: str = "<u2") -> "PieceEncoder":
     """This worker's encoder for the vocabulary file at path."""
-    if (path, dtype) not in _workers:
-        _workers[path, dtype] = PieceEncoder(path, dtype)
-    return _workers[path, dtype]
+    return kept(("encoder", path, dtype), lambda: PieceEncoder(path, dtype))
 
 
 def _plain(word: str) -> bool:
