@@ -181,3 +181,66 @@ def test_small_operators(spark):
     texts = spark.createDataFrame([(1, "Drug_name: Dolo\nstrength: 650 mg\nroute: N/A\nDrug_name: NONE")], "rx_id long, raw_text string")
     found = reconcile.second_extraction(texts, T.parse_blocks).collect()
     assert [(r["medicine"], r["strength"], r["route"], r["spans"]["strength"]["start"]) for r in found] == [("Dolo", "650 mg", None, 26)]
+
+
+class Counted:
+    """State of one session that counts what goes to and fro: calls, and elements of lists."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def put(self, values):
+        self.calls, self.value = self.calls + len(values), values
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return list(self.timers)
+
+
+def test_held_rows_are_one_element_of_state():
+    """What a session costs in calls to its state does not hang on its rows; nulls, timers and the end of a session."""
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import TimerValues
+
+    state, session = Counted(), streams._Recent(500, timedelta(seconds=60))
+    session.init(state)
+    n = 400
+    frames = pd.DataFrame({"us": [1_000_000 + 100_000 * k for k in range(n)], "frame_no": range(n), "is_speech": [k == n - 1 or None for k in range(n)]})
+    assert not list(session.handleInputRows((7,), iter([frames[200:].copy(), frames[:200].copy()]), TimerValues(0, 0)))
+    assert state.timers == [1001] and state.calls <= 4
+    state.timers, state.calls = [], 0  # Spark drops the timer that fires
+    (found,) = session.handleExpiredTimer((7,), TimerValues(0, 50_000), None)
+    assert found["frame_no"].tolist() == list(range(n - 6, n - 1)) and found["session_id"].tolist() == [7] * 5
+    assert state.timers == [40_900 + 60_000] and state.calls <= 4
+    # A later row moves the timer; the watermark past both ends the session.
+    late = pd.DataFrame({"us": [90_000_000], "frame_no": [n], "is_speech": [False]})
+    assert not list(session.handleInputRows((7,), iter([late]), TimerValues(0, 50_000))) and state.timers == [90_001]
+    state.timers = []
+    assert not list(session.handleExpiredTimer((7,), TimerValues(0, 200_000), None)) and state.value is None and state.timers == []
