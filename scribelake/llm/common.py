@@ -30,6 +30,11 @@ def kept(owner: tuple, make):
     return _kept[owner]
 
 
+def forget() -> None:
+    """Drop what kept() keeps, at the end of a task: an executor has more workers than tasks, and those that wait hold theirs."""
+    _kept.clear()
+
+
 def unused(columns, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from the columns."""
     taken, out = {c.lower() for c in columns}, []

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read_table
+from .common import discard, forget, materialize, read_table
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
@@ -56,6 +56,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, k
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")] + ["ids"] * keep_ids)
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
+        forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(pieces, PIECES + (", ids array<bigint>" if keep_ids else ""))

@@ -4,7 +4,7 @@ import gc
 
 import pandas as pd
 
-from scribelake.llm import common, decontamination
+from scribelake.llm import common, decontamination, packing
 from scribelake.llm.tokens import PieceEncoder, encoder, vocabulary_path
 
 
@@ -37,3 +37,10 @@ def test_full_memos_give_the_same_ids():
     small = PieceEncoder(vocabulary_path(), memo_entries=20)
     assert [x for t in texts for x in small.encode([t])] == PieceEncoder(vocabulary_path()).encode(texts)
     assert len(small.memo) < 40
+
+
+def test_packing_leaves_nothing_in_waiting_workers(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string").coalesce(1)
+    assert packing.token_pieces(docs, vocabulary_path(), 0, 2048).count() == 2
+    kept = docs.select("doc_id").mapInPandas(lambda batches: (pd.DataFrame({"n": [len(common._kept)]}) for _ in batches), "n long")
+    assert {r["n"] for r in kept.collect()} == {0}
