@@ -42,6 +42,7 @@ def collect_routes(route_map: DataFrame) -> DataFrame:
 
 def build_formulary(raw: DataFrame, route_map: DataFrame | None = None, with_curated: bool = False) -> DataFrame:
     spark = raw.sparkSession
+    raw = raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file of many products would be worked on in one task
     if with_curated:
         raw = union_absent(raw, curated(spark))
         mapped = route_map.select("drug_id").distinct() if route_map is not None else spark.createDataFrame([], "drug_id string")
@@ -73,9 +74,10 @@ def register_aliases(keys: DataFrame, pairs: DataFrame | None = None) -> DataFra
     """base_keys and, for each alias pair of which one side alone is a key, the other side with the same products."""
     if pairs is None:
         pairs = keys.sparkSession.createDataFrame(list(R.ALIASES), "a string, b string")
-    have = keys.select("base_key").distinct()
+    have = keys.select("base_key").distinct().hint("merge")  # of the keys' size at worst, and these are many times as large as their files
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     new = both.join(have, both["a"] == have["base_key"], "left_semi").join(have, both["b"] == have["base_key"], "left_anti").distinct()
+    new = materialize(new, "aliases")  # of known size, so that the keys are not broadcast to it
     return keys.unionByName(new.join(keys, new["a"] == keys["base_key"]).select(F.col("b").alias("base_key"), "drug_id", "ord").distinct())
 
 
@@ -121,7 +123,7 @@ def bucket_index(formulary: DataFrame, keys: DataFrame | None = None) -> DataFra
 def strength_map(formulary: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """base_key, strengths of all its products."""
     keys = register_aliases(base_keys(formulary)) if keys is None else keys
-    each = keys.join(formulary.select("drug_id", F.explode("strength_values").alias("strength")), "drug_id")
+    each = keys.join(formulary.select("drug_id", F.explode("strength_values").alias("strength")).hint("merge"), "drug_id")  # larger than its files
     return each.groupBy("base_key").agg(N.sort_strengths(F.collect_set("strength")).alias("strengths"))
 
 

@@ -50,7 +50,7 @@ def find_normalized(keys: DataFrame, cat: C.Catalogue, cleaned: Column | None =
 
 def _rungs(wanted: DataFrame, cat: C.Catalogue) -> DataFrame:
     """The product of the lowest rung, and of that rung the first in load order."""
-    firsts = cat.firsts.select("kind", F.col("key").alias("k"), "drug_id")
+    firsts = cat.firsts.select("kind", F.col("key").alias("k"), "drug_id").hint("merge")  # larger than its files
     found = wanted.join(firsts, ["kind", "k"])
     return found.groupBy("key").agg(F.min(F.struct("rung", "kind", "drug_id")).alias("f")).select("key", "f.drug_id", F.col("f.kind").alias("via"))
 
@@ -270,19 +270,23 @@ def find_composite(asked: DataFrame, cat: C.Catalogue) -> DataFrame:
     named = keyed.select("key", F.explode(F.array(*[F.struct(F.lit(r).alias("rung"), F.lit(k).alias("kind"), n.alias("name")) for r, k, n in ladder])).alias("n")).select("key", "n.*")
     named = named.join(cat.index.select("kind", F.col("key").alias("name")).distinct(), ["kind", "name"])
     named = materialize(named.groupBy("key").agg(F.min(F.struct("rung", "kind", "name")).alias("n")).select("key", "n.kind", "n.name"), "composite-names")
-    heard = find_fuzzy(keyed.join(named, "key", "left_anti"), cat, 0.70, 3).select("key", "drug_id")
-    # A product is found by each number that it fits, so a name's products meet only the sums that they have.
     code = F.col("drug_code")
     digits = F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(r"\d+"), 0)
     parts = lambda d: F.flatten(F.transform(F.sequence(F.lit(1), F.length(d)), lambda i: F.transform(F.sequence(i, F.length(d)), lambda j: F.substring(d, i, j - i + 1))))
-    fits = F.array_distinct(F.concat(F.coalesce("strength_values", F.array().cast("array<string>")), numbers_in(F.col("drug_name")), F.flatten(F.transform(digits, parts))))
-    fitting = cat.products.select("drug_id", "ord", F.explode(fits).alias("total"))
-    wanted = rows.join(named, "key").select("kind", "name", "total").distinct()
+    fits = F.array_sort(F.array_distinct(F.concat(F.coalesce("strength_values", F.array().cast("array<string>")), numbers_in(F.col("drug_name")), F.flatten(F.transform(digits, parts)))))
+    # The hint is for merging, as the catalogue is many times as large as its files, by which Spark would broadcast it.
+    fitting = cat.products.select("drug_id", "ord", fits.alias("fits")).hint("merge")
     index = cat.index.select("kind", F.col("key").alias("name"), "drug_id").join(named.select("kind", "name").distinct(), ["kind", "name"])
-    first = index.join(fitting, "drug_id").join(wanted, ["kind", "name", "total"]).groupBy("kind", "name", "total").agg(F.min(F.struct("ord", "drug_id")).alias("f"))
-    sure = rows.join(named, "key").join(first, ["kind", "name", "total"]).select("key", "a", "b", "f")
-    near = rows.join(heard, "key").join(fitting, ["drug_id", "total"]).groupBy("key", "a", "b").agg(F.min(F.struct("ord", "drug_id")).alias("f"))
-    return sure.unionByName(near).select("key", "a", "b", "f.drug_id")
+    # Of a name's products that fit the same numbers one is enough, so the numbers are told apart for these alone.
+    alike = index.join(fitting, "drug_id").groupBy("kind", "name", "fits").agg(F.min(F.struct("ord", "drug_id")).alias("f"))
+    first = alike.select("kind", "name", "f", F.explode("fits").alias("total")).groupBy("kind", "name", "total").agg(F.min("f").alias("f"))
+    found = rows.join(named, "key").join(first, ["kind", "name", "total"]).select("key", "a", "b", "f")
+    left = materialize(keyed.join(named, "key", "left_anti"), "composite-left")
+    if not left.isEmpty():
+        heard = materialize(find_fuzzy(left, cat, 0.70, 3).select("key", "drug_id"), "composite-heard")
+        near = rows.join(heard, "key").join(fitting, "drug_id").where(F.array_contains("fits", F.col("total")))
+        found = found.unionByName(near.groupBy("key", "a", "b").agg(F.min(F.struct("ord", "drug_id")).alias("f")))
+    return found.select("key", "a", "b", "f.drug_id")
 
 
 def _names_of(name: Column, rung: int) -> Column:
@@ -308,7 +312,7 @@ def ground_medicine(candidates: DataFrame, cat: C.Catalogue) -> DataFrame:
     joined, worded = F.when(F.col("spaced"), _names_of(F.regexp_replace("key", r"\s+", ""), 2)), F.when(F.col("first").isNotNull(), _names_of(F.col("first"), 4))
     every = F.flatten(F.array_compact(F.array(_names_of(F.col("key"), 1), joined, heard, worded)))
     wanted = rows.select("key", "first", F.explode(every).alias("n")).select("key", "first", "n.*").where("k != ''")
-    firsts = cat.firsts.select("kind", F.col("key").alias("k"), "drug_id")
+    firsts = cat.firsts.select("kind", F.col("key").alias("k"), "drug_id").hint("merge")  # larger than its files
     found = wanted.join(firsts, ["kind", "k"], "left").groupBy("key", "first")
     found = materialize(found.agg(F.min(F.when(F.col("drug_id").isNotNull(), F.struct("rung", "place", "drug_id"))).alias("f")), "ladder")
     sure = F.col("f.rung") <= 3
