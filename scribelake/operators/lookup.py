@@ -332,7 +332,7 @@ def composite_options(asked: DataFrame, cat: C.Catalogue, limit: int = 3) -> Dat
     """key, a, b -> key, a, b, drug_id, confidence, rank: the product of the sum of both strengths first, and then other
     products of its base name in load order, `limit` in all; none where no product has the sum."""
     found = find_composite(asked, cat)
-    product = cat.products.select("drug_id", "base_name", "ord")
+    product = cat.products.select("drug_id", "base_name", "ord").hint("merge")  # larger than its files
     leading = top(product, ["base_name"], [F.col("ord"), F.col("drug_id")], limit, "__n").drop("__n")
     sure = found.join(product, "drug_id").select("key", "a", "b", "drug_id", "base_name", F.lit(0).alias("place"), "ord")
     other = leading.withColumnRenamed("drug_id", "other_id")

@@ -35,6 +35,16 @@ def test_sums_are_found_without_a_broadcast_of_products(spark, cat):
     assert products and all("strategy=merge" in line for line in products)
 
 
+def test_options_and_strengths_without_a_broadcast_of_products(spark, cat):
+    options = lookup.composite_options(asked(spark), cat)
+    got = sorted((r["drug_id"], r["confidence"], r["rank"]) for r in options.where("key = 'cold rod' and a = 20").collect())
+    assert got == [("1", 0.85, 3), ("2", 0.85, 2), ("3", 0.95, 1)]
+    for rows in (options, C.strength_map(cat.products, cat.bases)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        products = [line for line in plan.splitlines() if "Join" in line and "drug_id" in line]
+        assert products and all("strategy=merge" in line for line in products)
+
+
 def test_products_of_a_small_file_are_dealt_over_all_partitions(spark):
     one = spark.createDataFrame(RAW, C.RAW).coalesce(1)
     assert C.build_formulary(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
