@@ -3,7 +3,7 @@
 import pytest
 
 from scribelake.operators import formulary as C
-from scribelake.operators import lookup
+from scribelake.operators import extract, lookup
 
 # drug_id, drug_code, drug_name, drug_type, generic_name, brand_name, provenance, ord
 RAW = [
@@ -48,3 +48,12 @@ def test_options_and_strengths_without_a_broadcast_of_products(spark, cat):
 def test_products_of_a_small_file_are_dealt_over_all_partitions(spark):
     one = spark.createDataFrame(RAW, C.RAW).coalesce(1)
     assert C.build_formulary(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_only_said_products_meet_clauses(spark, cat, monkeypatch):
+    seen, strength = [], extract.extract_strength
+    monkeypatch.setattr(extract, "extract_strength", lambda rows, cat, by, said=None: seen.append(said and said.count()) or strength(rows, cat, by, said))
+    rows = spark.createDataFrame([(1, "Take cold rod 5 mg twice daily. Take blue bolt 12 mg daily."), (2, "Take cold rod 40 mg daily.")], "rx_id long, text string")
+    got = sorted((r["rx_id"], r["medicine"], r["strength"], r["drug_id"], r["available_routes"]) for r in extract.extract(rows, cat).collect())
+    assert got == [(1, "blue bolt 12 mg", "12 mg", "4", ["ORAL"]), (1, "cold rod 5 mg", "5 mg", "2", ["ORAL"]), (2, "cold rod 40 mg", "40 mg", "2", ["ORAL"])]
+    assert seen == [2]
